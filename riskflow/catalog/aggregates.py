@@ -12,6 +12,7 @@ from ..operators.aggregates import (
     get_aggregator,
     group_aggregate,
     group_by_config,
+    group_median,
 )
 from ..plans.static_thresholds import nested_thresholds, threshold_rows, typed_thresholds
 from .registry import query
@@ -131,8 +132,8 @@ def median(t):
     "select l_returnflag, median(l_extendedprice) as middle from lineitem group by 1",
 )
 def median_large_groups(t):
-    return group_aggregate(
-        t.lineitem, ["l_returnflag"], [Aggregate("l_extendedprice", "median", "middle")]
+    return group_median(
+        t.lineitem, ["l_returnflag"], "l_extendedprice", "middle", large_group=10_000
     )
 
 

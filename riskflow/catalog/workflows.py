@@ -157,11 +157,11 @@ def dynamic(t):
     """,
 )
 def event_table(t):
-    # The middle table joins left and right by different keys, so it comes in twice.
-    orders = t.orders
+    # A chain joins by one key list per dataset; customers have another key than lines,
+    # so they are a second chain.
     datasets = {
         "lines": Dataset(t.lineitem, ("l_orderkey",)),
-        "orders": Dataset(orders, ("o_orderkey",)),
+        "orders": Dataset(t.orders, ("o_orderkey",)),
     }
     columns = ["lines:l_orderkey", "lines:l_extendedprice", "orders:o_totalprice",
                "orders:o_orderdate", "orders:o_custkey"]

@@ -6,8 +6,7 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
@@ -23,8 +22,10 @@ _BUILDERS: dict[str, Callable[[Column], Column]] = {
     "count": F.count,
     "median": F.median,
 }
-# Rank error allowed to the sketch that brackets a median: one in this many rows.
-_MEDIAN_ACCURACY = 100_000
+# Groups with more rows than this get their medians without being held by one task.
+LARGE_GROUP = 1_000_000
+# Large groups are few; up to this many keys are broadcast.
+_BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,7 @@ def get_aggregator(
 ) -> Column | None:
     """Aggregate expression by function name, called ``function_column`` by default.
 
-    An unknown function warns and gives None. For ``group_median``'s sake note that
-    ``median`` here is Spark's own, which holds the distinct values of a group in
-    one task; :func:`group_aggregate` does not.
+    An unknown function warns and gives None.
     """
     name = function.strip().lower()
     alias = alias or f"{function.strip()}_{column}"
@@ -67,79 +66,135 @@ def get_aggregator(
 
 
 def group_aggregate(
-    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate]
+    df: DataFrame,
+    keys: Sequence[str],
+    aggregates: Sequence[Aggregate],
+    large_group: int = LARGE_GROUP,
 ) -> DataFrame:
     """Group by the keys and compute all aggregates, one row per key.
 
-    Everything that Spark pre-aggregates before its shuffle is one aggregation.
-    Medians need the group's values together and take :func:`group_median`.
+    All of it is one aggregation. Only where a median is asked for and some group
+    has more than ``large_group`` rows, medians are computed apart by
+    :func:`group_median`; group sizes are counted first to find out.
     """
     medians = [a for a in aggregates if a.function.strip().lower() == "median"]
-    others = [a for a in aggregates if a not in medians]
-    columns = [get_aggregator(a.column, a.function, a.alias, a.order_by) for a in others]
+    if not medians or _large_groups(df, keys, large_group).isEmpty():
+        medians = []
+    together = [a for a in aggregates if a not in medians]
+    columns = [get_aggregator(a.column, a.function, a.alias, a.order_by) for a in together]
     columns = [c for c in columns if c is not None]
-    if columns:
-        result = df.groupBy(*keys).agg(*columns)
-    else:
-        result = df.select(*keys).distinct()
+    result = df.groupBy(*keys).agg(*columns) if columns else df.select(*keys).distinct()
     for m in medians:
-        result = join_groups(result, group_median(df, keys, m.column, m.alias), keys, "left")
+        middle = group_median(df, keys, m.column, m.alias, large_group)
+        result = join_groups(result, middle, keys, "left")
+    # Medians computed apart go back to where they were asked for.
     names = [a.alias for a in aggregates if a.alias in result.columns]
     return result.select(*keys, *dict.fromkeys(names))
 
 
 def group_median(
-    df: DataFrame, keys: Sequence[str], column: str | Column, alias: str
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str | Column,
+    alias: str,
+    large_group: int = LARGE_GROUP,
+    buckets: int = 4096,
 ) -> DataFrame:
     """Exact interpolated median per key, for groups of any size.
 
-    A mergeable sketch first gives every group two values that enclose its middle.
-    Rows below are then only counted, rows above are dropped, and just the few in
-    between are ordered. No task ever holds a group, however large it is. Groups
-    without a value are absent from the result.
+    Spark's own median holds the distinct values of a group in one task, which is
+    right for groups of up to ``large_group`` rows. For larger ones see
+    :func:`_large_medians`. Groups without a value are absent from the result.
     """
-    value = "__value"
-    # The enclosing ranks leave ten times the sketch's error on either side.
-    margin = 10 / _MEDIAN_ACCURACY
-    rows = df.select(*keys, as_column(column).cast("double").alias(value))
-    rows = rows.filter(F.col(value).isNotNull())
-    bracket = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx(
-            value, [0.5 - margin, 0.5 + margin], F.lit(_MEDIAN_ACCURACY)
-        ).alias("__ends"),
-    )
-    ends = F.col("__ends")
-    steps = (
-        join_groups(rows, bracket, keys)
-        .filter(F.col(value) <= ends[1])
-        .withColumn("__point", F.when(F.col(value) >= ends[0], F.col(value)))
-        .groupBy(*keys, "__n", "__point")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("__point").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.select(*keys, as_column(column).cast("double").alias("__value"))
+    rows = rows.filter(F.col("__value").isNotNull())
+    sizes = _large_groups(rows, keys, large_group)
+    found = sizes.limit(_BROADCAST_KEYS + 1).count()
+    if not found:
+        return rows.groupBy(*keys).agg(F.median("__value").alias(alias))
+    # One row per large key: broadcast once their number is known to be small.
+    mark = F.broadcast if found <= _BROADCAST_KEYS else (lambda df: df)
+    large = mark(sizes)
+    ordinary = join_groups(rows, large, keys, "left_anti")
+    apart = _large_medians(join_groups(rows, large, keys), keys, alias, buckets, mark)
+    return ordinary.groupBy(*keys).agg(F.median("__value").alias(alias)).unionByName(apart)
+
+
+def _large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more rows than the limit and their ``__n``; tasks pre-aggregate."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.filter(F.col("__n") > limit)
+
+
+def _large_medians(
+    rows: DataFrame,
+    keys: Sequence[str],
+    alias: str,
+    buckets: int,
+    mark: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Medians of groups that are too large for one task.
+
+    Equal values are counted first, so the shuffle goes by key and value and spreads
+    a group over all tasks. Then the range that holds the middle ranks is narrowed
+    twice by counting values in buckets, on a logarithmic scale and on a linear one;
+    only what is left in that range is put in order.
+    """
+    n = F.col("__n")
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    group = [*keys, "__n"]
+    points = rows.groupBy(*group, "__value").agg(F.count(F.lit(1)).alias("__rows"))
+    ends = points.groupBy(*group).agg(
+        F.min("__value").alias("__from"), F.max("__value").alias("__to"), F.lit(0).alias("__below")
     )
-    n, point, rank = F.col("__n"), F.col("__point"), F.sum("__rows").over(upto)
-    low, high = F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1")
-    found = (
-        steps.withColumn("__rank", rank)
+
+    def between(ends: DataFrame) -> DataFrame:
+        inside = join_groups(points, mark(ends), group)
+        return inside.filter(F.col("__value").between(F.col("__from"), F.col("__to")))
+
+    def ranked(df: DataFrame, order: str) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("__rank", F.col("__below") + F.sum("__rows").over(upto))
+
+    def narrowed(ends: DataFrame, scale: Callable[[Column], Column]) -> DataFrame:
+        bucket = F.width_bucket(
+            scale(F.col("__value")), scale(F.col("__from")), scale(F.col("__to")), F.lit(buckets)
+        )
+        counted = (
+            between(ends)
+            .groupBy(*group, "__below", bucket.alias("__bucket"))
+            .agg(
+                F.sum("__rows").alias("__rows"),
+                F.min("__value").alias("__first"),
+                F.max("__value").alias("__last"),
+            )
+        )
+        rank = F.col("__rank")
+        return (
+            ranked(counted, "__first")
+            .groupBy(*group)
+            .agg(
+                F.min(F.when(rank >= low, F.col("__first"))).alias("__from"),
+                F.min(F.when(rank >= high, F.col("__last"))).alias("__to"),
+                F.max(F.when(rank < low, rank)).alias("__passed"),
+                F.min("__below").alias("__below"),
+            )
+            .withColumn("__below", F.coalesce("__passed", "__below"))
+            .drop("__passed")
+        )
+
+    ends = narrowed(ends, lambda v: F.signum(v) * F.log1p(F.abs(v)))
+    ends = narrowed(ends, lambda v: v)
+    rank, value = F.col("__rank"), F.col("__value")
+    return (
+        ranked(between(ends), "__value")
         .groupBy(*keys)
         .agg(
-            F.max(F.when(point.isNull(), F.col("__rank"))).alias("__below"),
-            F.max("__rank").alias("__seen"),
-            F.first(n).alias("__n"),
-            F.min(F.when(F.col("__rank") >= low, point)).alias("__low"),
-            F.min(F.when(F.col("__rank") >= high, point)).alias("__high"),
+            (
+                (F.min(F.when(rank >= low, value)) + F.min(F.when(rank >= high, value))) / 2
+            ).alias(alias)
         )
     )
-    enclosed = (F.coalesce(F.col("__below"), F.lit(0)) < low) & (F.col("__seen") >= high)
-    median = F.when(enclosed, (F.col("__low") + F.col("__high")) / 2).otherwise(
-        F.raise_error(F.lit("median outside its bracket")).cast("double")
-    )
-    return found.select(*keys, median.alias(alias))
 
 
 def group_by_config(

@@ -44,7 +44,7 @@ def join_on_keys(
 def join_groups(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join two results on their group keys; the null group matches the null group."""
+    """Join on group keys kept from the left; the null group matches the null group."""
     names = {key: f"__group_{i}" for i, key in enumerate(keys)}
     renamed = right.withColumnsRenamed(names)
     condition = reduce(and_, (left[key].eqNullSafe(renamed[names[key]]) for key in keys))

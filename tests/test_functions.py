@@ -1,0 +1,224 @@
+"""Column functions on small literal tables."""
+
+import operator
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from riskflow.functions import comparators as cmp
+from riskflow.functions.casts import cast_value, typed_value
+from riskflow.functions.columns import composite_key, decoded_base64, flag
+from riskflow.functions.expressions import config_column, parse_sequence
+from riskflow.functions.lists import list_in, list_not_in_list, literal_pattern, normalize_pair_list, split_list
+from riskflow.functions.structs import ensure_struct_columns, field_names, set_fields, struct_of
+from riskflow.operators.columns import cast_columns
+
+
+def values(df, *columns):
+    rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).collect()
+    return [r[0] if len(columns) == 1 else tuple(r) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def currencies(spark):
+    return spark.createDataFrame(
+        [("INR,AED,EUR", "AED,INR", 100), ("INR,EUR", "EUR", 200), ("USD,INR,EUR", "AED,YEN", 300)],
+        "source_currencies string, target_currencies string, amount bigint",
+    ).coalesce(1)
+
+
+def amounts(df):
+    return sorted(r["amount"] for r in df.select("amount").collect())
+
+
+def test_currency_cases(currencies):
+    source, target = "source_currencies", F.col("target_currencies")
+    wanted = list_in(source, "INR,AED")
+    assert amounts(currencies.filter(list_in(source, target))) == [100, 200]
+    assert amounts(currencies.filter(wanted)) == [100]
+    assert amounts(currencies.filter(cmp.gt("amount", 150))) == [200, 300]
+    assert amounts(currencies.filter(wanted & cmp.gt("amount", 100))) == []
+    assert amounts(currencies.filter(cmp.eq("amount", 200))) == [200]
+
+
+def test_list_in_blanks_nulls_and_python_lists(spark):
+    df = spark.createDataFrame([("A, B,,C",), (None,), ("",)], "t string").coalesce(1)
+    assert values(df, list_in("t", "A,,C")) == [True, None, False]
+    assert values(df, list_in("t", "A,,C", drop_blank=False)) == [True, None, False]
+    assert values(df, list_in("t", ",")) == [True, None, True]
+    assert values(df, list_in("t", ["B ", "C"])) == [True, None, False]
+    assert values(df, list_in("t", "B", trim=False)) == [False, None, False]
+    assert values(df, list_in("t", [])) == [True, None, True]
+
+
+PAIRS = [
+    ("USD/EUR,INR/JPY,USD/INR,GBP/CAD,NZD/AUD,CHF/SEK", "EUR/USD,JPY/INR,INR/USD,CAD/GBP,AUD/NZD,SEK/CHF"),
+    ("EUR/GBP,SGD/USD,USD/INR,EUR/CHF", "SGD/USD,USD/INR,CHF/EUR"),
+    ("USD/JPY,USD/EUR,JPY/INR,CAD/NZD", "EUR/CHF,GBP/INR,NZD/JPY"),
+    (" USD/EUR , INR/JPY , USD/INR ", "EUR/USD,JPY/INR,INR/USD"),
+    ("USD/EUR,USD/EUR,USD/EUR", "EUR/USD"),
+    ("USD/EUR,EUR/INR,GBP/CHF,CAD/JPY,NZD/AUD,SGD/HKD", "AUD/USD,CHF/USD,EUR/GBP,USD/JPY,GBP/AUD"),
+]
+
+
+def test_pair_lists(spark):
+    df = spark.createDataFrame(PAIRS, "expr1 string, expr2 string").coalesce(1)
+    plain = values(df, list_not_in_list("expr1", F.col("expr2")))
+    stripped = values(df, list_not_in_list("expr1", F.col("expr2"), strip=True))
+    assert plain == [False, True, True, True, False, True]
+    assert stripped == [False, True, True, False, False, True]
+    assert values(df, list_not_in_list("expr1", "EUR/USD,INR/JPY,INR/USD", strip=True))[3] is False
+    with pytest.raises(ValueError):
+        list_not_in_list("expr1", 5)
+
+
+def test_normalize_pairs_with_several_separators(spark):
+    df = spark.createDataFrame([(" b / a ;d/c|f/e, x",)], "t string")
+    assert values(df, normalize_pair_list("t", more_separators=[";", "|"])) == [
+        ["a/b", "c/d", "e/f", "x"]
+    ]
+
+
+def test_split_is_literal(spark):
+    df = spark.createDataFrame([("a.b|c",)], "t string")
+    assert values(df, split_list("t", "."), split_list("t", "|")) == [(["a", "b|c"], ["a.b", "c"])]
+    odd = spark.createDataFrame([("x\\Ey",)], "t string")
+    assert values(odd, F.col("t").rlike("^x" + literal_pattern("\\E") + "y$")) == [True]
+
+
+def test_comparators_with_null(spark):
+    df = spark.createDataFrame([(1, 2), (None, 2), (3, 3)], "a int, b int").coalesce(1)
+    b = F.col("b")
+    assert values(df, cmp.lt("a", b), cmp.ge("a", b), cmp.ne("a", b)) == [
+        (True, False, True), (None, None, None), (False, True, False),
+    ]
+    assert values(df, cmp.not_in("a", [1, None])) == [False, None, True]
+    assert values(df, cmp.is_in("a", [])) in ([False, False, False], [False, None, False])
+
+
+def test_custom_operators(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (5.0, 2.0)], "a double, b double").coalesce(1)
+    assert values(df, cmp.create_operator(operator.gt)("a", 2)) == [False, True]
+    closer = cmp.create_operator(lambda a, b: abs(a - b) < 2, python=True)
+    assert values(df, closer("a", F.col("b"))) == [True, False]
+
+
+def test_flag(spark):
+    df = spark.createDataFrame([(501.0,), (500.0,), (None,), (float("nan"),)], "amount double").coalesce(1)
+    assert values(df, flag(F.col("amount") > 500)) == ["Yes", "No", "No", "Yes"]
+
+
+def test_composite_key_is_null_with_a_null_part(spark):
+    df = spark.createDataFrame([(1, "a"), (1, None)], "x int, y string").coalesce(1)
+    assert values(df, composite_key("x", "y")) == ["1_a", None]
+
+
+def test_base64(spark):
+    df = spark.createDataFrame([("aGk=",), ("!!aGk=",), (None,)], "t string").coalesce(1)
+    assert [v and bytes(v) for v in values(df, decoded_base64("t"))] == [b"hi", None, None]
+
+
+def test_typed_values(spark):
+    rows = [
+        ("5", "Integer"), (" 7 ", "integer"), ("5.0", "integer"), ("1.5", "float"), ("1d", "float"),
+        ("nan", "float"), ("TRUE", "boolean"), ("yes", "boolean"), ("x", "other"), (None, "integer"),
+        ("9", None),
+    ]
+    df = spark.createDataFrame(rows, "v string, t string").coalesce(1)
+    columns = typed_value("v", "t")
+    got = values(df, *columns.values())
+    assert got[:5] == [
+        (5, None, None, None), (7, None, None, None), (None, None, None, "5.0"),
+        (None, 1.5, None, None), (None, None, None, "1d"),
+    ]
+    assert got[5][1] != got[5][1]
+    assert got[6:] == [
+        (None, None, True, None), (None, None, False, None), (None, None, None, "x"),
+        (None, None, None, None), (None, None, None, "9"),
+    ]
+
+
+def test_cast_columns_unsigned_and_lenient(spark):
+    df = spark.createDataFrame(
+        [("4294967295", "18446744073709551615", "1.5")], "a string, b string, c string"
+    )
+    cast = cast_columns(df, {"a": "uint32", "b": "UINT64", "c": "decimal", "d": "int8"})
+    assert [t for _, t in cast.dtypes] == ["bigint", "decimal(20,0)", "decimal(38,9)"]
+    row = cast.first()
+    assert (row[0], int(row[1]), float(row[2])) == (2**32 - 1, 2**64 - 1, 1.5)
+    bad = spark.createDataFrame([("-1", "x")], "a string, b string")
+    with pytest.raises(PySparkException):
+        cast_columns(bad, {"a": "uint32"}).collect()
+    with pytest.raises(PySparkException):
+        cast_columns(bad, {"b": "int32"}).collect()
+    assert tuple(cast_columns(bad, {"a": "uint32", "b": "int32"}, strict=False).first()) == (None, None)
+
+
+def test_cast_value_defaults_to_text(spark):
+    df = spark.range(1).select(F.lit(3).alias("v"))
+    assert values(df, cast_value(F.col("v"), "float64"), cast_value(F.col("v"), None)) == [(3.0, "3")]
+
+
+def test_structs_grow_from_nothing(spark):
+    df = ensure_struct_columns(spark.range(1), "derived_values")
+    assert field_names(df, "derived_values") == []
+    grown = set_fields(F.col("derived_values"), {"a": F.lit(1), "b": F.lit(2)})
+    again = set_fields(grown, {"a": F.lit(9)})
+    assert values(df, again)[0].asDict() == {"a": 9, "b": 2}
+    assert values(df, struct_of({"x": None, "y": True}))[0].asDict() == {"x": None, "y": True}
+
+
+@pytest.fixture(scope="module")
+def event(spark):
+    return spark.createDataFrame([(7, "Active", 0, "o'b.x")], "amount int, status string, zero int, `from` string").select(
+        "*",
+        struct_of({"mean": 10, "std": 2}).alias("derived_values"),
+        struct_of({"std_cycles": 3}).alias("static_thresholds"),
+        struct_of({"upper": 16.5}).alias("dynamic_thresholds"),
+    )
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("derived.mean + derived.std * th.std_cycles", 16),
+        ("ev.amount > derived.mean", False),
+        ("-ev.amount + 2", -5),
+        ("ev.amount / ev.zero", None),
+        ("ev.amount / (ev.zero + 2)", 3.5),
+        ("ev.amount % ev.zero", None),
+        ("5 < ev.amount < 8", True),
+        ("ev.status == Active", True),
+        ("ev.status in ('Active', 'Open') and not ev.amount == 7", False),
+        ("(ev.amount > 5) & ~(dth.upper < 3) | (ev.zero == 1)", True),
+        ("ev.from == \"o'b.x\"", True),
+        ("ev.status != 'ev.amount'", True),
+        ("TRUE", True),
+        ("42", 42),
+        ("'text'", "text"),
+        ("2024-10-11", "2024-10-11"),
+    ],
+)
+def test_expressions(event, text, expected):
+    assert values(event, config_column(text)) == [expected]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "__import__('os')", "reflect('a', 'b')", "ev.amount.cast", "unknown.field", "loose", "1 +",
+        "[x for x in ev.amount]", "lambda: 1", "ev.amount[0]", "", "ev.amount is None", "a.b.c",
+    ],
+)
+def test_expressions_reject_everything_else(text):
+    with pytest.raises(ValueError):
+        config_column(text)
+
+
+def test_parse_sequence():
+    assert parse_sequence("(1, 5)") == [1, 5]
+    assert parse_sequence("['a', 'b']") == ["a", "b"]
+    assert parse_sequence("(2024-01-01, 2024-02-01)") == ["2024-01-01", "2024-02-01"]
+    assert parse_sequence("a, b") == ["a", "b"]
+    assert parse_sequence((1, 2)) == [1, 2]
