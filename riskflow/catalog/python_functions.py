@@ -84,3 +84,21 @@ def combine_groups(t):
     rows = t.events.select("user_id", "value")
     schema = "user_id bigint, n bigint, top double"
     return py.combine_groups(rows, ["user_id"], partial, merge, schema)
+
+
+@query(
+    "z6_combine_large_groups",
+    "select event_type, count(*) as n, max(value) as top from events group by 1",
+)
+def combine_large_groups(t):
+    def partial(frame: pd.DataFrame) -> pd.DataFrame:
+        top = [frame["value"].max()]
+        return pd.DataFrame({"event_type": frame["event_type"].iloc[0], "n": [len(frame)], "top": top})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame["event_type"].iloc[0]
+        return pd.DataFrame({"event_type": [first], "n": [frame["n"].sum()], "top": [frame["top"].max()]})
+
+    rows = t.events.select("event_type", "value")
+    schema = "event_type string, n bigint, top double"
+    return py.combine_groups(rows, ["event_type"], partial, merge, schema, large_group=1_000)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
+from .groups import large_keys, split_groups
 from .joins import join_groups
 
 _BUILDERS: dict[str, Callable[[Column], Column]] = {
@@ -24,8 +25,6 @@ _BUILDERS: dict[str, Callable[[Column], Column]] = {
 }
 # Groups with more rows than this get their medians without being held by one task.
 LARGE_GROUP = 1_000_000
-# Large groups are few; up to this many keys are broadcast.
-_BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -78,7 +77,7 @@ def group_aggregate(
     :func:`group_median`; group sizes are counted first to find out.
     """
     medians = [a for a in aggregates if a.function.strip().lower() == "median"]
-    if not medians or _large_groups(df, keys, large_group).isEmpty():
+    if not medians or large_keys(df, keys, large_group).isEmpty():
         medians = []
     together = [a for a in aggregates if a not in medians]
     columns = [get_aggregator(a.column, a.function, a.alias, a.order_by) for a in together]
@@ -108,22 +107,11 @@ def group_median(
     """
     rows = df.select(*keys, as_column(column).cast("double").alias("__value"))
     rows = rows.filter(F.col("__value").isNotNull())
-    sizes = _large_groups(rows, keys, large_group)
-    found = sizes.limit(_BROADCAST_KEYS + 1).count()
-    if not found:
-        return rows.groupBy(*keys).agg(F.median("__value").alias(alias))
-    # One row per large key: broadcast once their number is known to be small.
-    mark = F.broadcast if found <= _BROADCAST_KEYS else (lambda df: df)
-    large = mark(sizes)
-    ordinary = join_groups(rows, large, keys, "left_anti")
-    apart = _large_medians(join_groups(rows, large, keys), keys, alias, buckets, mark)
-    return ordinary.groupBy(*keys).agg(F.median("__value").alias(alias)).unionByName(apart)
-
-
-def _large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys with more rows than the limit and their ``__n``; tasks pre-aggregate."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.filter(F.col("__n") > limit)
+    split = split_groups(rows, keys, large_group)
+    ordinary = split.ordinary.groupBy(*keys).agg(F.median("__value").alias(alias))
+    if split.large is None:
+        return ordinary
+    return ordinary.unionByName(_large_medians(split.large, keys, alias, buckets, split.mark))
 
 
 def _large_medians(

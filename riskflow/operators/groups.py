@@ -1,0 +1,50 @@
+"""Groups too large for one task, found by counting and kept apart."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .joins import join_groups
+
+# One row per large key is broadcast up to this many keys, which is checked.
+BROADCAST_KEYS = 10_000
+
+
+def unmarked(df: DataFrame) -> DataFrame:
+    return df
+
+
+@dataclass(frozen=True)
+class SplitGroups:
+    """Rows of ordinary groups, and rows of large ones with the group's ``__n``.
+
+    ``mark`` marks a table of one row per large key for broadcast if their number
+    allows it, and otherwise leaves the join to Spark.
+    """
+
+    ordinary: DataFrame
+    large: DataFrame | None
+    mark: Callable[[DataFrame], DataFrame] = unmarked
+
+
+def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more rows than the limit and their ``__n``; tasks pre-aggregate."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.filter(F.col("__n") > limit)
+
+
+def split_groups(df: DataFrame, keys: Sequence[str], limit: int) -> SplitGroups:
+    """Split the rows by the size of their group; counts the groups right away."""
+    sizes = large_keys(df, keys, limit)
+    found = sizes.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return SplitGroups(df, None)
+    mark = F.broadcast if found <= BROADCAST_KEYS else unmarked
+    few = mark(sizes)
+    return SplitGroups(
+        join_groups(df, few, keys, "left_anti"), join_groups(df, few, keys), mark
+    )

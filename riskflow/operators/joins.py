@@ -96,7 +96,7 @@ def chain_join(datasets: Mapping[str, Dataset]) -> DataFrame:
 
 
 def full_join_groups(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Outer join of results that each hold one row per key (keys not null)."""
+    """Outer join of results by keys that are not null and, but for the last, unique."""
     return reduce(lambda a, b: a.join(b, list(keys), "full"), frames)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .groups import split_groups
+
 Frame = pd.DataFrame
 
 
@@ -68,15 +70,17 @@ def combine_groups(
     partial: Callable[[Frame], Frame],
     merge: Callable[[Frame], Frame],
     schema: str | StructType,
+    large_group: int = 100_000,
     salts: int = 16,
 ) -> DataFrame:
-    """Run a user's function over groups, in steps that never hold a whole group.
-
-    ``partial`` reduces some rows of one key to a few rows of ``schema``, which must
-    contain the keys; ``merge`` reduces partial results of one key to one such
-    result. Both must give the same outcome however the rows are split up. Partial
-    results are made before the shuffle, batch by batch, and merged first within
-    ``salts`` parts of a key and then per key.
+    """Run a user's function over the rows of each key.
+
+    ``partial`` turns rows of one key into one or few rows of ``schema``, which must
+    contain the keys. A group of up to ``large_group`` rows is one call of it. Rows
+    of a larger group are never brought together: ``partial`` runs on the batches of
+    every task before the shuffle, and ``merge`` reduces partial results of a key to
+    one such result, first within ``salts`` parts and then over all. For such groups
+    the outcome must not depend on how the rows are split up.
     """
     keys = list(keys)
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -90,14 +94,19 @@ def combine_groups(
     def merge_salted(frame: Frame) -> Frame:
         return merge(frame.drop(columns="__salt"))
 
-    partials = df.mapInPandas(reduce_batches, fields)
+    split = split_groups(df, keys, large_group)
+    ordinary = split.ordinary.groupBy(*keys).applyInPandas(partial, fields)
+    if split.large is None:
+        return ordinary
+    partials = split.large.drop("__n").mapInPandas(reduce_batches, fields)
     salted = partials.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return (
+    large = (
         salted.groupBy(*keys, "__salt")
         .applyInPandas(merge_salted, fields)
         .groupBy(*keys)
         .applyInPandas(merge, fields)
     )
+    return ordinary.unionByName(large)
 
 
 def cap_partitions(df: DataFrame, limit: int = 32) -> DataFrame:

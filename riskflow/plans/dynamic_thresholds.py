@@ -86,33 +86,41 @@ def _joined(
 ) -> DataFrame:
     """Events with the columns of all calculations.
 
-    Grouped calculations over one dataset and keys are one aggregation. Results of
-    several such groups hold one row per key and are joined with each other first,
-    so that the events, which may have a key with very many rows, are joined once.
+    Grouped calculations over one dataset and keys are one aggregation. What the
+    calculations give is joined by key first, so that the events, which may have a
+    key with very many rows, are shuffled and joined once, as the side of a left join
+    that adaptive execution can split.
     """
-    key_names = [f"__key_{k}" for k in range(len(table.primary_key))]
+    names = [f"__key_{k}" for k in range(len(table.primary_key))]
     groups: dict[tuple[str, tuple[str, ...]], list[Step]] = {}
     for step in steps:
         if step[1].derived.functions:
             groups.setdefault((step[1].dataset_id, step[1].keys), []).append(step)
-    grouped = [
-        _grouped(datasets[dataset_id], keys, members, key_names)
+    frames = [
+        _grouped(datasets[dataset_id], keys, members, names)
         for (dataset_id, keys), members in groups.items()
     ]
-    df = table.df
-    if grouped:
-        stats = full_join_groups(grouped, key_names)
-        df = join_on_keys(df, stats, table.primary_key, key_names, "left")
-    for i, calculation in steps:
-        if not calculation.derived.functions:
-            column = calculation.derived.column
-            rows = apply_filters(datasets[calculation.dataset_id].df, calculation.filters)
-            rows = rows.select(
-                *_keys_as(calculation.keys, key_names),
-                quoted(column).alias(_derived_name(i, column)),
-            )
-            df = join_on_keys(df, rows, table.primary_key, key_names, "left")
-    return df
+    frames += [
+        _as_it_is(datasets[c.dataset_id], i, c, names)
+        for i, c in steps
+        if not c.derived.functions
+    ]
+    if not frames:
+        return table.df
+    return join_on_keys(
+        table.df, full_join_groups(frames, names), table.primary_key, names, "left"
+    )
+
+
+def _as_it_is(
+    dataset: Dataset, i: int, calculation: Calculation, key_names: Sequence[str]
+) -> DataFrame:
+    """Keys and column of a calculation without group function."""
+    rows = apply_filters(dataset.df.filter(not_null(calculation.keys)), calculation.filters)
+    column = calculation.derived.column
+    return rows.select(
+        *_keys_as(calculation.keys, key_names), quoted(column).alias(_derived_name(i, column))
+    )
 
 
 def _grouped(

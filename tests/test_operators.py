@@ -216,9 +216,10 @@ def test_combine_groups_any_split(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"),
                                   F.col("id").alias("v"))
     want = rows(df.groupBy("k").agg(F.sum("v")))
-    for partitions in (1, 7):
+    schema = "k bigint, total bigint"
+    for partitions, limit in ((1, 500), (7, 500), (7, 10), (7, 5000)):
         split = df.repartition(partitions)
-        got = py.combine_groups(split, ["k"], partial, merge, "k bigint, total bigint", salts=3)
+        got = py.combine_groups(split, ["k"], partial, merge, schema, large_group=limit, salts=3)
         assert rows(got) == want
 
 
