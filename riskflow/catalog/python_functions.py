@@ -57,9 +57,12 @@ def process_records(t):
     )
 
 
-@query("z5_cap_partitions", "select l_partkey, count(*) as size from lineitem group by 1")
+@query(
+    "z5_cap_partitions",
+    "select l_returnflag, l_linestatus, count(*) as size from lineitem group by 1, 2",
+)
 def cap_partitions(t):
-    return py.cap_partitions(count_rows(t.lineitem, ["l_partkey"]), 32)
+    return py.cap_partitions(count_rows(t.lineitem, ["l_returnflag", "l_linestatus"]), 32)
 
 
 @query(

@@ -59,9 +59,7 @@ def bank_report(t):
 @query("w1_bank_report_files", BANK_REPORT)
 def bank_report_files(t):
     folder = t.new_folder("bank")
-    for name, table in zip(("accounts", "transactions", "merchants"), bank_tables(t)):
-        table.write.parquet(f"{folder}/{name}.parquet")
-    written = bank.bank_report_files(t.spark, folder, folder, threshold=50000)
+    written = bank.write_report(bank.bank_report(*bank_tables(t), threshold=50000), folder)
     report = read_csv(t.spark, f"{folder}/grouped_data.csv", written.schema)
     return report.withColumn("total_amount", F.col("total_amount").cast("double"))
 

@@ -61,22 +61,26 @@ def bank_report(
     )
 
 
-def bank_report_files(
-    spark: SparkSession, input_dir: str, output_dir: str, threshold: float = 500
-) -> DataFrame:
-    """Report from the three parquet tables of a folder, written as parquet and CSV.
+def write_report(report: DataFrame, output_dir: str) -> DataFrame:
+    """Write a report as parquet and CSV and give what was written.
 
     The report is computed once; the CSV is written from the parquet result.
     """
+    write_parquet(report, f"{output_dir}/grouped_data.parquet")
+    written = read_parquet(report.sparkSession, f"{output_dir}/grouped_data.parquet")
+    write_csv(written, f"{output_dir}/grouped_data.csv")
+    return written
+
+
+def bank_report_files(
+    spark: SparkSession, input_dir: str, output_dir: str, threshold: float = 500
+) -> DataFrame:
+    """Report from the three parquet tables of a folder, written to another one."""
     accounts, transactions, merchants = (
         read_parquet(spark, f"{input_dir}/{name}.parquet")
         for name in ("accounts", "transactions", "merchants")
     )
-    report = bank_report(accounts, transactions, merchants, threshold)
-    write_parquet(report, f"{output_dir}/grouped_data.parquet")
-    written = read_parquet(spark, f"{output_dir}/grouped_data.parquet")
-    write_csv(written, f"{output_dir}/grouped_data.csv")
-    return written
+    return write_report(bank_report(accounts, transactions, merchants, threshold), output_dir)
 
 
 def _is_decimal(df: DataFrame, column: str) -> bool:

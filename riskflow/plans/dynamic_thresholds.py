@@ -40,17 +40,27 @@ def dynamic_threshold(
             steps.append((i, calculation))
         else:
             warnings.warn(f"unknown dataset {calculation.dataset_id!r} skipped", stacklevel=2)
-    return {
-        name: EventTable(_with_thresholds(table, datasets, steps), table.primary_key)
-        for name, table in events.items()
-    }
+    by_key: dict[int, DataFrame | None] = {}
+    result = {}
+    for name, table in events.items():
+        width = len(table.primary_key)
+        if width not in by_key:
+            by_key[width] = _values_by_key(datasets, steps, width)
+        df = _with_thresholds(table, by_key[width], datasets, steps)
+        result[name] = EventTable(df, table.primary_key)
+    return result
 
 
 def _with_thresholds(
-    table: EventTable, datasets: Mapping[str, Dataset], steps: Sequence[Step]
+    table: EventTable,
+    values: DataFrame | None,
+    datasets: Mapping[str, Dataset],
+    steps: Sequence[Step],
 ) -> DataFrame:
-    events = table.df
-    df = _joined(table, datasets, steps)
+    events = df = table.df
+    if values is not None:
+        df = join_on_keys(events, values, table.primary_key, _key_names(len(table.primary_key)), "left")
+    computed = set(df.columns)
     derived = {name: field("derived_values", name) for name in field_names(events, "derived_values")}
     dynamic = {
         name: field("dynamic_thresholds", name)
@@ -60,7 +70,9 @@ def _with_thresholds(
     new_dynamic: dict[str, Column] = {}
     for i, calculation in steps:
         for name in calculation.derived.functions or (calculation.derived.column,):
-            derived[name] = new_derived[name] = F.col(_derived_name(i, name))
+            # An unknown function has been warned of and has no column.
+            if _derived_name(i, name) in computed:
+                derived[name] = new_derived[name] = F.col(_derived_name(i, name))
         resolve = _resolver(
             i, calculation, events.columns, datasets[calculation.dataset_id].df.columns,
             dict(derived), dict(dynamic),
@@ -81,17 +93,17 @@ def _with_thresholds(
     )
 
 
-def _joined(
-    table: EventTable, datasets: Mapping[str, Dataset], steps: Sequence[Step]
-) -> DataFrame:
-    """Events with the columns of all calculations.
+def _values_by_key(
+    datasets: Mapping[str, Dataset], steps: Sequence[Step], width: int
+) -> DataFrame | None:
+    """What all calculations give, by key.
 
-    Grouped calculations over one dataset and keys are one aggregation. What the
-    calculations give is joined by key first, so that the events, which may have a
-    key with very many rows, are shuffled and joined once, as the side of a left join
-    that adaptive execution can split.
+    Grouped calculations over one dataset and keys are one aggregation. Results are
+    joined by key with each other, so that the events, which may have a key with very
+    many rows, are shuffled and joined once, as the side of a left join that adaptive
+    execution can split.
     """
-    names = [f"__key_{k}" for k in range(len(table.primary_key))]
+    names = _key_names(width)
     groups: dict[tuple[str, tuple[str, ...]], list[Step]] = {}
     for step in steps:
         if step[1].derived.functions:
@@ -105,11 +117,7 @@ def _joined(
         for i, c in steps
         if not c.derived.functions
     ]
-    if not frames:
-        return table.df
-    return join_on_keys(
-        table.df, full_join_groups(frames, names), table.primary_key, names, "left"
-    )
+    return full_join_groups(frames, names) if frames else None
 
 
 def _as_it_is(
@@ -145,7 +153,7 @@ def _grouped(
             measured |= {
                 alias: F.when(condition, quoted(c)) for alias, c in zip(order, dataset.order_by)
             }
-        for function in calculation.derived.functions:
+        for function in dict.fromkeys(calculation.derived.functions):
             alias = _derived_name(i, function)
             aggregates.append(Aggregate(name, function, alias, tuple(order)))
             if function.lower() == "count" and condition is not None:
@@ -191,6 +199,10 @@ def _resolver(
     return resolve
 
 
+def _key_names(width: int) -> list[str]:
+    return [f"__key_{k}" for k in range(width)]
+
+
 def _derived_name(i: int, name: str) -> str:
     return f"__derived_{i}_{name}"
 

@@ -44,3 +44,23 @@ def test_entry(spark):
     report = entry_points.entry(spark)
     assert report.columns[:2] == ["category", "high_value_transaction"]
     assert report.count() > 0
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "bank_report", "w2_dynamic_threshold", "w4_static_thresholds", "g11_median_large_groups",
+        "g12_first_last", "g16_collect_rows", "g17_map_by_date", "l7_list_not_in_list",
+        "z6_combine_large_groups",
+    ],
+)
+def test_result_does_not_depend_on_partitions(spark, sf_dir, name):
+    default = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    for partitions, broadcast in (("1", "10MB"), ("16", "-1")):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        results.append(rows_of(QUERIES[name](spark, sf_dir).toArrow().to_pandas()))
+    spark.conf.set("spark.sql.shuffle.partitions", default)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert results[0] == results[1]

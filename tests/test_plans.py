@@ -239,6 +239,17 @@ def test_bad_threshold_expressions_raise(events, history, expression):
         )
 
 
+def test_unknown_and_repeated_functions(events, history):
+    tables = {name: EventTable(events, ("account_id",)) for name in ("one", "two")}
+    with pytest.warns(UserWarning, match="mode"):
+        result = dynamic_threshold(
+            tables, {"history": Dataset(history, ("account",))}, [calculation(("max", "mode", "max"), ())]
+        )
+    for table in result.values():
+        got = {r["event_id"]: r["derived_values"].asDict() for r in table.df.collect()}
+        assert got[1] == {"max": 99.0} and got[4] == {"max": None}
+
+
 def test_key_lists_must_pair_up(events, history):
     with pytest.raises(ValueError):
         dynamic_threshold(
