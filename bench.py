@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from riskflow.catalog import REGISTRY
-from riskflow.session import CLUSTER_SETTINGS
+from riskflow.session import settings_for
 
 HEADLINE = [
     "bank_report",
@@ -46,8 +46,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("riskflow-bench")
-    settings = CLUSTER_SETTINGS | {
-        "spark.sql.shuffle.partitions": cpus,
+    size = sum(path.stat().st_size for path in Path(folder).glob("*.parquet"))
+    settings = settings_for(size, int(cpus)) | {
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
     }

@@ -178,7 +178,7 @@ TAGS = ["ml", "ai", "cv", "nlp", "robotics", "math", "bio", "chem", "astro"]
 
 
 def _pick_sql(stream: int, size: int) -> str:
-    mixed = f"((o_orderkey % 1000003) * {7919 + 2 * stream} + {42 + 13 * stream})"
+    mixed = f"(((o_orderkey % 1000003) * {7919 + 2 * stream} + {42 + 13 * stream}) % 1000003)"
     return f"cast((({mixed} * {mixed}) % 1000003) % {size} as int)"
 
 

@@ -15,9 +15,10 @@ THRESHOLD_SQL = """
 select master.TSHLD_SET_NAME, t.TSHLD_TYPE, t.TSHLD_NAME, t.THSLD_VALUE, t.VALUE_TYPE,
        t.TSHLD_ID, t.TSHLD_SET_ID,
        cast(t.TSHLD_ID as string) || '_' || cast(t.TSHLD_SET_ID as string) as COMPOSITE_KEY
-from {master} as master
+from {thresholds} as t
+join {master} as master on master.TSHLD_ID = t.TSHLD_ID
 join {sets} as sets on sets.TSHLD_SET_TEMPLATE_ID = master.TSHLD_SET_TEMPLATE_ID
-join {thresholds} as t on t.TSHLD_ID = master.TSHLD_ID and t.TSHLD_SET_ID = sets.TSHLD_SET_ID
+                   and sets.TSHLD_SET_ID = t.TSHLD_SET_ID
 """
 
 VALUE_COLUMNS = ("value_long", "value_double", "value_bool", "value_string")
@@ -33,7 +34,7 @@ def threshold_rows_sql(
 def threshold_rows(master: DataFrame, sets: DataFrame, thresholds: DataFrame) -> DataFrame:
     """The thresholds of every set: name, type, value text and its declared type.
 
-    Thresholds join their master rows first: the set tables alone pair up many to
+    Thresholds join their master rows first: masters and sets alone pair up many to
     many.
     """
     named = thresholds.join(

@@ -19,6 +19,24 @@ CLUSTER_SETTINGS = {
 }
 
 
+_MB, _GB = 1 << 20, 1 << 30
+
+
+def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for an input size: scans and shuffles in parts that fit a task.
+
+    Scan parts grow from 128 MB to 512 MB so that hundreds of terabytes stay below a
+    few hundred thousand tasks. Shuffles start with a part per GB of input, at least
+    one per core; adaptive execution merges those that turn out small.
+    """
+    scan_part = min(max(input_bytes // 200_000, 128 * _MB), 512 * _MB)
+    shuffle_parts = min(max(input_bytes // _GB, cores), 100_000)
+    return CLUSTER_SETTINGS | {
+        "spark.sql.files.maxPartitionBytes": str(scan_part),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+    }
+
+
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir``.
 

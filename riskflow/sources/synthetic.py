@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 def _pick(row_id: Column, seed: int, stream: int, size: int) -> Column:
     """A number below ``size`` from the row id; equal ids give equal numbers.
 
-    The id is reduced before it is multiplied, so no product leaves 64 bits.
+    Every factor is reduced before it is multiplied, so no product leaves 64 bits.
     """
-    prime, factor = 1_000_003, 7919 + 2 * stream
-    mixed = F.pmod(row_id, F.lit(prime)) * factor + (seed + 13 * stream)
-    return F.pmod(F.pmod(mixed * mixed, F.lit(prime)), F.lit(size)).cast("int")
+    prime, factor = F.lit(1_000_003), 7919 + 2 * stream
+    mixed = F.pmod(F.pmod(row_id, prime) * factor + (seed + 13 * stream), prime)
+    return F.pmod(F.pmod(mixed * mixed, prime), F.lit(size)).cast("int")
 
 
 def with_choice(

@@ -7,7 +7,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from riskflow.session import working_folder
+from riskflow.session import settings_for, working_folder
 from riskflow.sources import json_records, rules_xml, sql_store, synthetic, tables
 from riskflow.streaming import staging
 
@@ -106,6 +106,9 @@ def test_synthetic_rows_do_not_depend_on_partitions(spark):
     assert all(len(set(r["tags"])) == len(r["tags"]) for r in one)
     other = synthetic.synthetic_table(spark, 500, words, tags, seed=7).collect()
     assert other != one
+    large = spark.range(2**62, 2**62 + 1000)
+    picked = synthetic.with_choice(large, "id", "choice", words)
+    assert picked.groupBy("choice").count().filter("count > 200").count() == 3
 
 
 def test_working_folder_is_below_the_shared_folder(spark):
@@ -115,6 +118,14 @@ def test_working_folder_is_below_the_shared_folder(spark):
     assert shared is None or first.startswith(shared)
 
 
+def test_settings_grow_with_the_input():
+    small, large = settings_for(10**7, 8), settings_for(10**14, 8000)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    assert small["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
+    assert int(large["spark.sql.shuffle.partitions"]) == 10**14 // 2**30
+    assert int(large["spark.sql.files.maxPartitionBytes"]) == 10**14 // 200_000
+
+
 def land(tmp_path, *documents):
     landed = tmp_path / "landed"
     landed.mkdir(exist_ok=True)
