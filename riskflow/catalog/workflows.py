@@ -202,7 +202,9 @@ def static_thresholds(t):
     f"""
     with {THRESHOLD_TABLES},
     latest as (
-      select TSHLD_NAME as name, last(THSLD_VALUE order by TSHLD_ID, TSHLD_SET_ID) as v
+      select TSHLD_NAME as name,
+             last(case when VALUE_TYPE = 'Boolean' then lower(THSLD_VALUE) else THSLD_VALUE end
+                  order by TSHLD_ID, TSHLD_SET_ID) as v
       from joined where TSHLD_SET_NAME = 'Brand#1' and TSHLD_TYPE = 'ECONOMY' group by 1)
     select p_partkey, p_size,
            (select max(v) from latest where name = 'small ring') as small_ring,

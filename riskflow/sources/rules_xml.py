@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Calculation, DerivedValues, FilterRule, ThresholdValue
 
 # Lists are declared as arrays, so that a lone element is a list of one.
 CALCULATION_SCHEMA = (
-    "DatasetId string, "
-    "Keys struct<Key: array<string>>, "
-    "Filters struct<Filter: array<struct<Column: string, Operator: string, Value: string>>>, "
-    "DerivedValues struct<Column: string, GroupFunction: string>, "
-    "`Values` struct<Value: array<struct<_VALUE: string, _name: string, _type: string>>>"
+    "DatasetId: string, "
+    "Keys: struct<Key: array<string>>, "
+    "Filters: struct<Filter: array<struct<Column: string, Operator: string, Value: string>>>, "
+    "DerivedValues: struct<Column: string, GroupFunction: string>, "
+    "`Values`: struct<Value: array<struct<_VALUE: string, _name: string, _type: string>>>"
 )
 RULE_SCHEMA = (
-    "DynamicThresholdCalculations struct<Calculation: array<struct<"
-    + CALCULATION_SCHEMA.replace("DatasetId string", "DatasetId: string")
-    .replace("Keys struct", "Keys: struct")
-    .replace("Filters struct", "Filters: struct")
-    .replace("DerivedValues struct", "DerivedValues: struct")
-    .replace("`Values` struct", "`Values`: struct")
-    + ">>>, "
-    "RetainedColumns struct<Column: array<string>>"
+    "DynamicThresholdCalculations: struct<"
+    f"Calculation: array<struct<{CALCULATION_SCHEMA}>>>, "
+    "RetainedColumns: struct<Column: array<string>>"
 )
 
 
@@ -39,25 +37,57 @@ def parse_rule(text: Column) -> Column:
 
 def load_calculations(spark: SparkSession, path: str) -> list[Calculation]:
     """Calculations of a rule file as config values, in file order."""
-    return [calculation(row) for row in read_calculations(spark, path).collect()]
+    rows = read_calculations(spark, path).collect()
+    return [calculation(row.asDict(recursive=True)) for row in rows]
+
+
+def calculations(config: Mapping[str, Any]) -> list[Calculation]:
+    """Calculations of a nested mapping with a ``Calculation`` element or list of them."""
+    return [calculation(element) for element in _listed(config.get("Calculation"))]
 
 
-def calculation(row: Row) -> Calculation:
-    """A config value from a parsed ``Calculation`` element."""
-    filters = row["Filters"]["Filter"] if row["Filters"] else None
-    keys = row["Keys"]["Key"] if row["Keys"] else None
-    values = row["Values"]["Value"] if row["Values"] else None
-    derived = row["DerivedValues"]
-    functions = (derived["GroupFunction"] or "") if derived else ""
+def calculation(element: Mapping[str, Any]) -> Calculation:
+    """A config value from a ``Calculation`` element as nested mappings.
+
+    Takes what Spark reads from XML and also the shape of common XML-to-dict readers:
+    lone elements instead of lists, attributes as ``@name``, text as ``#text``.
+    """
+    derived = element.get("DerivedValues") or {}
+    functions = (derived.get("GroupFunction") or "").split(",")
     return Calculation(
-        dataset_id=row["DatasetId"],
-        keys=tuple(keys or ()),
-        filters=tuple(FilterRule(f["Column"], f["Operator"], f["Value"]) for f in filters or ()),
+        dataset_id=element.get("DatasetId"),
+        keys=tuple(_children(element, "Keys", "Key")),
+        filters=tuple(filter_rule(f) for f in _children(element, "Filters", "Filter")),
         derived=DerivedValues(
-            column=(derived["Column"] or "") if derived else "",
-            functions=tuple(f.strip() for f in functions.split(",") if f.strip()),
+            column=derived.get("Column") or "",
+            functions=tuple(f.strip() for f in functions if f.strip()),
         ),
         values=tuple(
-            ThresholdValue(v["_name"], v["_type"], v["_VALUE"] or "") for v in values or ()
+            ThresholdValue(
+                value.get("_name", value.get("@name")),
+                value.get("_type", value.get("@type")),
+                value.get("_VALUE", value.get("#text")) or "",
+            )
+            for value in _children(element, "Values", "Value")
         ),
     )
+
+
+def filter_rule(element: Mapping[str, Any]) -> FilterRule:
+    """A filter from a mapping with ``Column``, ``Operator`` and ``Value``."""
+    return FilterRule(element.get("Column"), element.get("Operator"), element.get("Value"))
+
+
+def retained_columns(config: Mapping[str, Any]) -> list[str]:
+    """The ``dataset:column`` names of an event-level config."""
+    return list(_children(config, "RetainedColumns", "Column"))
+
+
+def _children(element: Mapping[str, Any], parent: str, child: str) -> list[Any]:
+    return _listed((element.get(parent) or {}).get(child))
+
+
+def _listed(value: Any) -> list[Any]:
+    if value is None:
+        return []
+    return list(value) if isinstance(value, (list, tuple)) else [value]

@@ -1,6 +1,7 @@
 """Column functions on small literal tables."""
 
 import operator
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -52,6 +53,42 @@ def test_list_in_blanks_nulls_and_python_lists(spark):
     assert values(df, list_in("t", [])) == [True, None, True]
 
 
+def test_list_functions_against_sets(spark):
+    rng = random.Random(11)
+
+    def text(items):
+        return ",".join(rng.choice(["", " "]) + i + rng.choice(["", "  "]) for i in items)
+
+    def some(items):
+        return rng.choices(items, k=rng.randrange(5))
+
+    letters = ["a", "b", "c", "a.b", "x|y", ""]
+    pairs = ["a/b", "b/a", "b/c", "c/b", "a", "c/a/b", "b/a/c"]
+    data = [
+        (i, text(some(letters)), text(some(letters)), ",".join(some(pairs)), ",".join(some(pairs)))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(data, "i int, a string, b string, p string, q string").repartition(3)
+    got = df.select(
+        "i",
+        list_in("a", F.col("b")).alias("drop"),
+        list_in("a", F.col("b"), drop_blank=False).alias("keep"),
+        list_in("a", F.col("b"), trim=False, drop_blank=False).alias("raw"),
+        list_not_in_list("p", F.col("q")).alias("mismatch"),
+    ).collect()
+
+    def pair_set(value):
+        return {"/".join(sorted(pair.split("/"))) for pair in value.split(",")}
+
+    for row in got:
+        _, a, b, p, q = data[row["i"]]
+        left, right = ([x.strip() for x in t.split(",")] for t in (a, b))
+        assert row["drop"] == ({x for x in right if x} <= {x for x in left if x})
+        assert row["keep"] == (set(right) <= set(left))
+        assert row["raw"] == (set(b.split(",")) <= set(a.split(",")))
+        assert row["mismatch"] == bool(pair_set(p) - pair_set(q))
+
+
 PAIRS = [
     ("USD/EUR,INR/JPY,USD/INR,GBP/CAD,NZD/AUD,CHF/SEK", "EUR/USD,JPY/INR,INR/USD,CAD/GBP,AUD/NZD,SEK/CHF"),
     ("EUR/GBP,SGD/USD,USD/INR,EUR/CHF", "SGD/USD,USD/INR,CHF/EUR"),

@@ -60,9 +60,27 @@ def test_load_calculations(spark, tmp_path):
 
 def test_parse_rule_text(spark):
     parsed = spark.range(1).select(rules_xml.parse_rule(F.lit(RULE)).alias("r")).first()["r"]
-    calculations = parsed["DynamicThresholdCalculations"]["Calculation"]
-    assert rules_xml.calculation(calculations[0]).values[0].type == "float64"
-    assert parsed["RetainedColumns"] is None
+    config = parsed.asDict(recursive=True)
+    first, second = rules_xml.calculations(config["DynamicThresholdCalculations"])
+    assert first.values[0].type == "float64" and second.dataset_id == "ds3"
+    assert rules_xml.retained_columns(config) == []
+
+
+def test_config_as_plain_mappings():
+    config = {
+        "Calculation": {
+            "DatasetId": "ds2",
+            "Keys": {"Key": "account_id"},
+            "Filters": {"Filter": {"Column": "status", "Operator": "eq", "Value": "F"}},
+            "DerivedValues": {"Column": "amount", "GroupFunction": "mean"},
+            "Values": {"Value": {"@name": "upper", "@type": "float64", "#text": "derived.mean"}},
+        }
+    }
+    (only,) = rules_xml.calculations(config)
+    assert only.keys == ("account_id",) and only.filters[0].value == "F"
+    assert only.values[0].expression == "derived.mean"
+    assert rules_xml.calculations({}) == []
+    assert rules_xml.retained_columns({"RetainedColumns": {"Column": "ds:x"}}) == ["ds:x"]
 
 
 def test_json_lines_and_whole_documents(spark, tmp_path):
