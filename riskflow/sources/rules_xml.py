@@ -7,21 +7,34 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Calculation, DerivedValues, FilterRule, ThresholdValue
 
-# Lists are declared as arrays, so that a lone element is a list of one.
-CALCULATION_SCHEMA = (
-    "DatasetId: string, "
-    "Keys: struct<Key: array<string>>, "
-    "Filters: struct<Filter: array<struct<Column: string, Operator: string, Value: string>>>, "
-    "DerivedValues: struct<Column: string, GroupFunction: string>, "
-    "`Values`: struct<Value: array<struct<_VALUE: string, _name: string, _type: string>>>"
+
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in names])
+
+
+def _list_of(child: str, item: T.DataType) -> T.StructType:
+    # Declared as an array, so that a lone element is a list of one.
+    return T.StructType([T.StructField(child, T.ArrayType(item))])
+
+
+CALCULATION_SCHEMA = T.StructType(
+    [
+        T.StructField("DatasetId", T.StringType()),
+        T.StructField("Keys", _list_of("Key", T.StringType())),
+        T.StructField("Filters", _list_of("Filter", _texts("Column", "Operator", "Value"))),
+        T.StructField("DerivedValues", _texts("Column", "GroupFunction")),
+        T.StructField("Values", _list_of("Value", _texts("_VALUE", "_name", "_type"))),
+    ]
 )
-RULE_SCHEMA = (
-    "DynamicThresholdCalculations: struct<"
-    f"Calculation: array<struct<{CALCULATION_SCHEMA}>>>, "
-    "RetainedColumns: struct<Column: array<string>>"
+RULE_SCHEMA = T.StructType(
+    [
+        T.StructField("DynamicThresholdCalculations", _list_of("Calculation", CALCULATION_SCHEMA)),
+        T.StructField("RetainedColumns", _list_of("Column", T.StringType())),
+    ]
 )
 
 
