@@ -204,6 +204,15 @@ def collect_rows(t):
     return nesting.unnest_rows(rows, ["user_id"], ["event_type", "value"])
 
 
+@query(
+    "g16_collect_large_groups",
+    "select event_type, user_id, value, count(*) as copies from events group by 1, 2, 3",
+)
+def collect_large_groups(t):
+    rows = nesting.collect_rows(t.events, ["event_type"], ["user_id", "value"], max_rows=500)
+    return nesting.unnest_rows(rows, ["event_type"], ["user_id", "value"])
+
+
 @query("g17_map_by_date", LAST_OF_DAY)
 def map_by_date(t):
     maps = nesting.features_by_date(

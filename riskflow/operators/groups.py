@@ -37,13 +37,20 @@ def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return sizes.filter(F.col("__n") > limit)
 
 
+def checked_broadcast(few: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
+    """Count the rows: None if there are none, else how to mark tables of so many."""
+    found = few.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return None
+    return F.broadcast if found <= BROADCAST_KEYS else unmarked
+
+
 def split_groups(df: DataFrame, keys: Sequence[str], limit: int) -> SplitGroups:
     """Split the rows by the size of their group; counts the groups right away."""
     sizes = large_keys(df, keys, limit)
-    found = sizes.limit(BROADCAST_KEYS + 1).count()
-    if not found:
+    mark = checked_broadcast(sizes)
+    if mark is None:
         return SplitGroups(df, None)
-    mark = F.broadcast if found <= BROADCAST_KEYS else unmarked
     few = mark(sizes)
     return SplitGroups(
         join_groups(df, few, keys, "left_anti"), join_groups(df, few, keys), mark

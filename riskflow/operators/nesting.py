@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
+from .groups import checked_broadcast, large_keys
 from .joins import join_groups
 
 
@@ -22,20 +23,20 @@ def collect_rows(
     A list is one value of one row and must fit in memory, so a key with more rows
     gets several lists, numbered by ``chunk``; all lists together hold every row.
     Equal rows are one entry with their number in ``copies``, so that a chunk stays
-    small however often a row repeats.
+    small however often a row repeats. Group sizes are counted right away.
     """
     entries = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("copies"))
-    sizes = entries.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_rows)).alias("__chunks")
-    )
-    chunk = F.pmod(F.xxhash64(*columns), F.col("__chunks")).cast("int")
-    row = F.struct(*columns, "copies")
-    return (
-        join_groups(entries, sizes, keys)
-        .withColumn("chunk", chunk)
-        .groupBy(*keys, "chunk")
-        .agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    )
+    sizes = large_keys(df, keys, max_rows)
+    mark = checked_broadcast(sizes)
+    if mark is None:
+        chunked = entries.withColumn("chunk", F.lit(0))
+    else:
+        chunks = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / F.lit(max_rows))
+        chunked = join_groups(entries, mark(sizes), keys, "left").withColumn(
+            "chunk", F.pmod(F.xxhash64(*columns), chunks).cast("int")
+        )
+    rows = F.array_sort(F.collect_list(F.struct(*columns, "copies")))
+    return chunked.groupBy(*keys, "chunk").agg(rows.alias("rows"))
 
 
 def unnest_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -179,9 +179,11 @@ def test_collect_rows_splits_large_groups(spark):
     df = spark.createDataFrame(data, "k string, v int")
     lists = nesting.collect_rows(df, ["k"], ["v"], max_rows=50)
     sizes = {(r["k"], r["chunk"]): len(r["rows"]) for r in lists.collect()}
-    assert max(sizes.values()) < 100 and len([k for k, _ in sizes if k == "hot"]) == 20
-    back = nesting.unnest_rows(lists, ["k"], ["v"])
-    assert rows(back) == rows(df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("copies")))
+    assert max(sizes.values()) < 100 and len([k for k, _ in sizes if k == "hot"]) == 30
+    want = rows(df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("copies")))
+    assert rows(nesting.unnest_rows(lists, ["k"], ["v"])) == want
+    whole = nesting.collect_rows(df, ["k"], ["v"])
+    assert whole.count() == 3 and rows(nesting.unnest_rows(whole, ["k"], ["v"])) == want
 
 
 def test_features_by_date_last_one_wins(spark):
