@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 
+def _names(value: str | Sequence[str]) -> tuple[str, ...]:
+    return (value,) if isinstance(value, str) else tuple(value)
+
+
 @dataclass(frozen=True)
 class Dataset:
     """A table with its joining keys.
@@ -20,6 +25,10 @@ class Dataset:
     keys: tuple[str, ...] = ()
     order_by: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "keys", _names(self.keys))
+        object.__setattr__(self, "order_by", _names(self.order_by))
+
 
 @dataclass(frozen=True)
 class EventTable:
@@ -28,6 +37,9 @@ class EventTable:
     df: DataFrame
     primary_key: tuple[str, ...]
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "primary_key", _names(self.primary_key))
+
 
 @dataclass(frozen=True)
 class FilterRule:
@@ -63,4 +75,7 @@ class Calculation:
     keys: tuple[str, ...]
     derived: DerivedValues
     filters: tuple[FilterRule, ...] = ()
-    values: tuple[ThresholdValue, ...] = field(default=())
+    values: tuple[ThresholdValue, ...] = ()
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "keys", _names(self.keys))

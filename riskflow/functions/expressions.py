@@ -44,6 +44,8 @@ _BINARY = {
     # Division by zero gives null: a threshold that cannot be computed is unknown.
     ast.Div: lambda a, b: a / F.nullif(b, F.lit(0)),
     ast.Mod: lambda a, b: a % F.nullif(b, F.lit(0)),
+    ast.FloorDiv: lambda a, b: F.floor(a / F.nullif(b, F.lit(0))),
+    ast.Pow: F.pow,
     ast.BitAnd: operator.and_,
     ast.BitOr: operator.or_,
 }

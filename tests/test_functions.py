@@ -21,6 +21,7 @@ def values(df, *columns):
     return [r[0] if len(columns) == 1 else tuple(r) for r in rows]
 
 
+# Sample lists with known answers.
 @pytest.fixture(scope="module")
 def currencies(spark):
     return spark.createDataFrame(
@@ -89,6 +90,7 @@ def test_list_functions_against_sets(spark):
         assert row["mismatch"] == bool(pair_set(p) - pair_set(q))
 
 
+# Sample pair lists with known answers.
 PAIRS = [
     ("USD/EUR,INR/JPY,USD/INR,GBP/CAD,NZD/AUD,CHF/SEK", "EUR/USD,JPY/INR,INR/USD,CAD/GBP,AUD/NZD,SEK/CHF"),
     ("EUR/GBP,SGD/USD,USD/INR,EUR/CHF", "SGD/USD,USD/INR,CHF/EUR"),
@@ -225,6 +227,8 @@ def event(spark):
         ("ev.amount / ev.zero", None),
         ("ev.amount / (ev.zero + 2)", 3.5),
         ("ev.amount % ev.zero", None),
+        ("ev.amount // 2", 3),
+        ("derived.std ** 2", 4.0),
         ("5 < ev.amount < 8", True),
         ("ev.status == Active", True),
         ("ev.status in ('Active', 'Open') and not ev.amount == 7", False),

@@ -277,6 +277,7 @@ def test_event_level(spark, events, history):
         "events": Dataset(events, ("account_id",)), "history": Dataset(history, ("account",)),
         "again": Dataset(history, ("account",)),
     }
+    assert Dataset(events, "account_id").keys == EventTable(events, "account_id").primary_key
     lone = event_level("events:amount", datasets)
     assert lone.columns == ["amount"] and lone.count() == 5
     joined = event_level(["history:value", "events:event_id", "again:value"], datasets)

@@ -193,3 +193,23 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     assert sorted(r["a"] for r in results.collect()) == [1, 2, 3]
     assert results.select("batch_id").distinct().count() == 3
     assert spark.read.parquet(f"{folder}/flags").filter("done").count() == 3
+
+
+def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
+    landed = land(tmp_path, '{"a": 1}', '[{"a": 2}, {"a": 3}]')
+    folder = str(tmp_path / "run")
+    seen = []
+
+    def fails_once(staged):
+        seen.append(staged.count())
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return take_a(staged)
+
+    first = staging.start_staging_stream(spark, landed, folder, fails_once, files_per_batch=1)
+    with pytest.raises(PySparkException):
+        first.awaitTermination()
+    assert spark.read.parquet(f"{folder}/flags").count() == 1
+    staging.start_staging_stream(spark, landed, folder, fails_once, files_per_batch=1).awaitTermination()
+    results = spark.read.parquet(f"{folder}/results")
+    assert sorted(r["a"] for r in results.collect()) == [1, 2, 3] and len(seen) == 3
