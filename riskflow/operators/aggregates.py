@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
-from .groups import large_keys, split_groups
+from .groups import KeyJoin, key_join, large_keys
 from .joins import join_groups
 
 _BUILDERS: dict[str, Callable[[Column], Column]] = {
@@ -107,82 +107,84 @@ def group_median(
     """
     rows = df.select(*keys, as_column(column).cast("double").alias("__value"))
     rows = rows.filter(F.col("__value").isNotNull())
-    split = split_groups(rows, keys, large_group)
-    ordinary = split.ordinary.groupBy(*keys).agg(F.median("__value").alias(alias))
-    if split.large is None:
-        return ordinary
-    return ordinary.unionByName(_large_medians(split.large, keys, alias, buckets, split.mark))
+    ends = (
+        rows.groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.min("__value").alias("__from"),
+            F.max("__value").alias("__to"),
+            F.lit(0).alias("__below"),
+        )
+        .filter(F.col("__n") > large_group)
+    )
+    join = key_join(ends, keys)
+    if join is None:
+        return rows.groupBy(*keys).agg(F.median("__value").alias(alias))
+    ordinary = join(rows, ends, "left_anti")
+    large = _large_medians(rows, ends, keys, alias, buckets, join)
+    return ordinary.groupBy(*keys).agg(F.median("__value").alias(alias)).unionByName(large)
 
 
 def _large_medians(
     rows: DataFrame,
+    ends: DataFrame,
     keys: Sequence[str],
     alias: str,
     buckets: int,
-    mark: Callable[[DataFrame], DataFrame],
+    join: KeyJoin,
 ) -> DataFrame:
     """Medians of groups that are too large for one task.
 
-    Equal values are counted first, so the shuffle goes by key and value and spreads
-    a group over all tasks. Then the range that holds the middle ranks is narrowed
-    twice by counting values in buckets, on a logarithmic scale and on a linear one;
-    only what is left in that range is put in order.
+    ``ends`` holds each such group's size ``__n`` and the range from ``__from`` to
+    ``__to`` in which its middle ranks lie, with ``__below`` values before it. The
+    range is narrowed twice by counting values in buckets, on a logarithmic scale and
+    on a linear one; only the values left in it are put in order. Tasks count before
+    they shuffle, so each pass over the rows sends a few thousand counts per task and
+    group.
     """
-    n = F.col("__n")
+    n, rank = F.col("__n"), F.col("__rank")
     low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
-    group = [*keys, "__n"]
-    points = rows.groupBy(*group, "__value").agg(F.count(F.lit(1)).alias("__rows"))
-    ends = points.groupBy(*group).agg(
-        F.min("__value").alias("__from"), F.max("__value").alias("__to"), F.lit(0).alias("__below")
-    )
+    state = ["__n", "__below"]
 
     def between(ends: DataFrame) -> DataFrame:
-        inside = join_groups(points, mark(ends), group)
-        return inside.filter(F.col("__value").between(F.col("__from"), F.col("__to")))
+        value = F.col("__value")
+        inside = join(rows, ends, "inner")
+        return inside.filter(value.between(F.col("__from"), F.col("__to")))
 
-    def ranked(df: DataFrame, order: str) -> DataFrame:
+    def ranked(counted: DataFrame, order: str) -> DataFrame:
         upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn("__rank", F.col("__below") + F.sum("__rows").over(upto))
+        return counted.withColumn("__rank", F.col("__below") + F.sum("__rows").over(upto))
 
     def narrowed(ends: DataFrame, scale: Callable[[Column], Column]) -> DataFrame:
-        bucket = F.width_bucket(
-            scale(F.col("__value")), scale(F.col("__from")), scale(F.col("__to")), F.lit(buckets)
-        )
+        scaled = {"__low": scale(F.col("__from")), "__high": scale(F.col("__to"))}
+        bucket = F.width_bucket(scale(F.col("__value")), "__low", "__high", F.lit(buckets))
         counted = (
-            between(ends)
-            .groupBy(*group, "__below", bucket.alias("__bucket"))
+            between(ends.withColumns(scaled))
+            .groupBy(*keys, *state, bucket.alias("__bucket"))
             .agg(
-                F.sum("__rows").alias("__rows"),
+                F.count(F.lit(1)).alias("__rows"),
                 F.min("__value").alias("__first"),
                 F.max("__value").alias("__last"),
             )
         )
-        rank = F.col("__rank")
-        return (
+        found = (
             ranked(counted, "__first")
-            .groupBy(*group)
+            .groupBy(*keys, *state)
             .agg(
                 F.min(F.when(rank >= low, F.col("__first"))).alias("__from"),
                 F.min(F.when(rank >= high, F.col("__last"))).alias("__to"),
                 F.max(F.when(rank < low, rank)).alias("__passed"),
-                F.min("__below").alias("__below"),
             )
-            .withColumn("__below", F.coalesce("__passed", "__below"))
-            .drop("__passed")
         )
+        below = F.coalesce("__passed", "__below")
+        return found.withColumn("__below", below).drop("__passed")
 
     ends = narrowed(ends, lambda v: F.signum(v) * F.log1p(F.abs(v)))
     ends = narrowed(ends, lambda v: v)
-    rank, value = F.col("__rank"), F.col("__value")
-    return (
-        ranked(between(ends), "__value")
-        .groupBy(*keys)
-        .agg(
-            (
-                (F.min(F.when(rank >= low, value)) + F.min(F.when(rank >= high, value))) / 2
-            ).alias(alias)
-        )
-    )
+    counted = between(ends).groupBy(*keys, *state, "__value").agg(F.count(F.lit(1)).alias("__rows"))
+    value = F.col("__value")
+    middle = F.min(F.when(rank >= low, value)) + F.min(F.when(rank >= high, value))
+    return ranked(counted, "__value").groupBy(*keys).agg((middle / 2).alias(alias))
 
 
 def group_by_config(

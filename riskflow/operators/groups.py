@@ -4,31 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
 from .joins import join_groups
 
 # One row per large key is broadcast up to this many keys, which is checked.
-BROADCAST_KEYS = 10_000
+BROADCAST_KEYS = 100_000
 
-
-def unmarked(df: DataFrame) -> DataFrame:
-    return df
+KeyJoin = Callable[[DataFrame, DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class SplitGroups:
-    """Rows of ordinary groups, and rows of large ones with the group's ``__n``.
-
-    ``mark`` marks a table of one row per large key for broadcast if their number
-    allows it, and otherwise leaves the join to Spark.
-    """
+    """Rows of ordinary groups, and rows of large ones if there are any."""
 
     ordinary: DataFrame
     large: DataFrame | None
-    mark: Callable[[DataFrame], DataFrame] = unmarked
 
 
 def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -37,21 +33,34 @@ def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return sizes.filter(F.col("__n") > limit)
 
 
-def checked_broadcast(few: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
-    """Count the rows: None if there are none, else how to mark tables of so many."""
-    found = few.limit(BROADCAST_KEYS + 1).count()
-    if not found:
+def key_join(few: DataFrame, keys: Sequence[str]) -> KeyJoin | None:
+    """How to join rows with tables that have one row for each key of ``few``.
+
+    Looks at ``few`` right away: None if it is empty. Such tables are broadcast if the
+    keys are few enough and otherwise joined as Spark sees fit. The null group needs
+    a slower comparison, used only if it is among the keys.
+    """
+    null = reduce(or_, (quoted(key).isNull() for key in keys))
+    seen = few.limit(BROADCAST_KEYS + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(null), F.lit(False)).alias("null")
+    )
+    found = seen.first()
+    if not found["n"]:
         return None
-    return F.broadcast if found <= BROADCAST_KEYS else unmarked
+    small = found["n"] <= BROADCAST_KEYS
+    null_safe = found["null"] or not small
+
+    def join(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+        table = F.broadcast(table) if small else table
+        return join_groups(rows, table, keys, how) if null_safe else rows.join(table, [*keys], how)
+
+    return join
 
 
 def split_groups(df: DataFrame, keys: Sequence[str], limit: int) -> SplitGroups:
     """Split the rows by the size of their group; counts the groups right away."""
     sizes = large_keys(df, keys, limit)
-    mark = checked_broadcast(sizes)
-    if mark is None:
+    join = key_join(sizes, keys)
+    if join is None:
         return SplitGroups(df, None)
-    few = mark(sizes)
-    return SplitGroups(
-        join_groups(df, few, keys, "left_anti"), join_groups(df, few, keys), mark
-    )
+    return SplitGroups(join(df, sizes, "left_anti"), join(df, sizes, "left_semi"))

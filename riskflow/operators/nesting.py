@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
-from .groups import checked_broadcast, large_keys
-from .joins import join_groups
+from .groups import key_join, large_keys
 
 
 def collect_rows(
@@ -27,12 +26,12 @@ def collect_rows(
     """
     entries = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("copies"))
     sizes = large_keys(df, keys, max_rows)
-    mark = checked_broadcast(sizes)
-    if mark is None:
+    join = key_join(sizes, keys)
+    if join is None:
         chunked = entries.withColumn("chunk", F.lit(0))
     else:
         chunks = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / F.lit(max_rows))
-        chunked = join_groups(entries, mark(sizes), keys, "left").withColumn(
+        chunked = join(entries, sizes, "left").withColumn(
             "chunk", F.pmod(F.xxhash64(*columns), chunks).cast("int")
         )
     rows = F.array_sort(F.collect_list(F.struct(*columns, "copies")))

@@ -98,7 +98,7 @@ def combine_groups(
     ordinary = split.ordinary.groupBy(*keys).applyInPandas(partial, fields)
     if split.large is None:
         return ordinary
-    partials = split.large.drop("__n").mapInPandas(reduce_batches, fields)
+    partials = split.large.mapInPandas(reduce_batches, fields)
     salted = partials.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     large = (
         salted.groupBy(*keys, "__salt")

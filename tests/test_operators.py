@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from riskflow.config import Dataset, FilterRule
-from riskflow.operators import nesting
+from riskflow.operators import groups, nesting
 from riskflow.operators import python_functions as py
 from riskflow.operators.aggregates import (
     Aggregate,
@@ -146,12 +146,16 @@ def test_group_by_config_forms(spark):
         assert group_by_config(df, "k", "v", functions="min, mode").columns == ["k", "v_min"]
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64])
-def test_median_of_large_and_small_groups(spark, buckets):
+@pytest.mark.parametrize(
+    "buckets, nulls, broadcast", [(1, 0, 99), (3, 50, 99), (64, 0, 99), (64, 0, 0), (64, 50, 1)]
+)
+def test_median_of_large_and_small_groups(spark, monkeypatch, buckets, nulls, broadcast):
+    monkeypatch.setattr(groups, "BROADCAST_KEYS", broadcast)
     rng = random.Random(5)
     data = [("hot", float(rng.choice([1, 1, 1, 2, rng.gauss(0, 1e6)]))) for _ in range(1001)]
     data += [("even", float(i)) for i in range(100)] + [("same", 7.0)] * 60
     data += [("small", 1.0), ("small", 4.0), (None, 2.0)] + [(None, None)] * 40 + [("empty", None)]
+    data += [(None, float(i)) for i in range(nulls)]
     data += [("wide", v) for v in (1e300, -1e300, 0.0, 1e-300) for _ in range(20)]
     df = spark.createDataFrame(data, "k string, v double")
     want = {}
@@ -166,7 +170,8 @@ def test_median_of_large_and_small_groups(spark, buckets):
     )
     assert everything.columns == ["k", "m", "n"]
     by_key = {r["k"]: (r["m"], r["n"]) for r in everything.collect()}
-    assert by_key["empty"] == (None, 0) and by_key[None] == (2.0, 1) and by_key["even"] == (49.5, 100)
+    assert by_key["empty"] == (None, 0) and by_key["even"] == (49.5, 100)
+    assert by_key[None] == (want[None], nulls + 1)
 
 
 def test_distinct_count_ignores_null(spark):
