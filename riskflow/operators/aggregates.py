@@ -77,9 +77,11 @@ def group_aggregate(
     :func:`group_median`; group sizes are counted first to find out.
     """
     medians = [a for a in aggregates if a.function.strip().lower() == "median"]
-    if not medians or large_keys(df, keys, large_group).isEmpty():
+    together = list(aggregates)
+    if medians and not large_keys(df, keys, large_group).isEmpty():
+        together = [a for a in aggregates if a.function.strip().lower() != "median"]
+    else:
         medians = []
-    together = [a for a in aggregates if a not in medians]
     columns = [get_aggregator(a.column, a.function, a.alias, a.order_by) for a in together]
     columns = [c for c in columns if c is not None]
     result = df.groupBy(*keys).agg(*columns) if columns else df.select(*keys).distinct()

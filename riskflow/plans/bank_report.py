@@ -36,9 +36,10 @@ def bank_report(
     task and reaches the joins as one row per partner, never as all of its
     transactions.
     """
+    high = F.coalesce(F.col("amount") > threshold, F.lit(False))
     pairs = (
-        transactions.withColumn("high_value_transaction", flag(F.col("amount") > threshold))
-        .groupBy("account_id", "merchant_id", "high_value_transaction")
+        transactions.withColumn("__high", high)
+        .groupBy("account_id", "merchant_id", "__high")
         .agg(
             F.sum("amount").alias("__amount"),
             F.count("transaction_id").alias("__transactions"),
@@ -49,7 +50,7 @@ def bank_report(
     joined = join_on_keys(joined, accounts.select("account_id", "balance"), ["account_id"])
     balance, rows = F.col("balance"), F.col("__rows").cast("decimal(18,0)")
     weighted = balance * (rows if _is_decimal(accounts, "balance") else F.col("__rows"))
-    return joined.groupBy("category", "high_value_transaction").agg(
+    report = joined.groupBy("category", "__high").agg(
         F.sum("__amount").alias("total_amount"),
         F.sum("__transactions").alias("transaction_count"),
         (
@@ -59,6 +60,8 @@ def bank_report(
         F.countDistinct("account_id").alias("unique_accounts"),
         F.countDistinct("merchant_id").alias("unique_merchants"),
     )
+    named = report.withColumn("__high", flag(F.col("__high")))
+    return named.withColumnRenamed("__high", "high_value_transaction")
 
 
 def write_report(report: DataFrame, output_dir: str) -> DataFrame:

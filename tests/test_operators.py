@@ -132,6 +132,15 @@ def test_aggregates_by_name(spark):
         get_aggregator("v", "first")
 
 
+def test_aggregates_of_columns(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, v double")
+    double = F.col("v") * 2
+    wanted = [Aggregate(double, "median", "m"), Aggregate(double + 1, "max", "x"), Aggregate(double, "sum", "s")]
+    for limit in (1, 100):
+        got = group_aggregate(df, ["k"], wanted, large_group=limit)
+        assert rows(got) == [("a", 4.0, 7.0, 8.0), ("b", 10.0, 11.0, 10.0)]
+
+
 def test_group_by_config_forms(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("b", 5.0, 3)], "k string, v double, t int")
     assert group_by_config(df, "k", "v", functions="mean").columns == ["k", "mean"]
