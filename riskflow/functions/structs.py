@@ -28,9 +28,13 @@ def set_fields(base: Column, values: Mapping[str, Column]) -> Column:
 
 
 def ensure_struct_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Give the table an empty struct for each of the columns it lacks."""
-    missing = {name: F.struct() for name in names if name not in df.columns}
-    return df.withColumns(missing) if missing else df
+    """Make each column a struct that is never null, empty where the table has none.
+
+    A null struct becomes a struct of nulls, since fields set on null would be lost.
+    """
+    return df.withColumns(
+        {name: F.struct(*[field(name, f).alias(f) for f in field_names(df, name)]) for name in names}
+    )
 
 
 def field_names(df: DataFrame, column: str) -> list[str]:

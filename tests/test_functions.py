@@ -208,9 +208,21 @@ def test_structs_grow_from_nothing(spark):
     assert values(df, struct_of({"x": None, "y": True}))[0].asDict() == {"x": None, "y": True}
 
 
+def test_null_structs_take_fields(spark):
+    rows = [(1, (5,)), (2, None)]
+    df = spark.createDataFrame(rows, "id int, derived_values struct<a: int>").coalesce(1)
+    nothing = df.withColumn("dynamic_thresholds", F.lit(None))
+    ensured = ensure_struct_columns(nothing, "derived_values", "dynamic_thresholds")
+    grown = set_fields(F.col("derived_values"), {"b": F.lit(9)})
+    assert [tuple(v) for v in values(ensured, grown)] == [(5, 9), (None, 9)]
+    other = set_fields(F.col("dynamic_thresholds"), {"b": F.lit(9)})
+    assert [tuple(v) for v in values(ensured, other)] == [(9,), (9,)]
+
+
 @pytest.fixture(scope="module")
 def event(spark):
-    return spark.createDataFrame([(7, "Active", 0, "o'b.x")], "amount int, status string, zero int, `from` string").select(
+    columns = "amount int, status string, zero int, `from` string"
+    return spark.createDataFrame([(7, "Active", 0, "o'b.x")], columns).select(
         "*",
         struct_of({"mean": 10, "std": 2}).alias("derived_values"),
         struct_of({"std_cycles": 3}).alias("static_thresholds"),
