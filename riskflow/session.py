@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,12 +39,8 @@ def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine: executors on
-    other machines could not read it.
+    Where that is not set, the warehouse folder takes its place, which all executors of a
+    session share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/riskflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
