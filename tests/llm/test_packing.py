@@ -55,7 +55,7 @@ def test_query(spark, sf_dir):
 
 def test_small_sequences_keep_ids(spark):
     texts = {1: None, 2: "", 3: "a b c d e f g " * 40, 4: "tie tie", 5: "tie tie", 6: "<|endoftext|> x"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumnsRenamed({}).selectExpr("*", "1 as length")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 as length")
     rows = [r.asDict() for r in pack_documents(docs.repartition(3), TOKENIZER, capacity=16).collect()]
     check(rows, texts, 16)
     assert pack_documents(docs.limit(0), TOKENIZER).count() == 0
@@ -64,7 +64,7 @@ def test_small_sequences_keep_ids(spark):
 def test_repeated_rows_and_null_id(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     rows = pack_documents(docs, TOKENIZER).collect()
-    assert sorted((r["offset"], r["sequence_id"]) for r in rows) == [(0, 0), (3, 0), (6, 0)] or len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
+    assert sorted((r["offset"], r["sequence_id"]) for r in rows) == [(0, 0), (3, 0), (6, 0)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -87,7 +87,8 @@ def test_plan(histogram):
     assert placed == histogram
     assert all(total <= capacity for total in load.values())
     need = sum(length * count for length, count in histogram.items())
-    assert len(load) <= 1.7 * need / capacity + 1
+    # Two sequences at most half full would have become one.
+    assert len(load) <= 2 * need / capacity + 1
 
 
 def test_plan_does_not_grow_with_the_corpus():
