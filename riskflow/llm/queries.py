@@ -12,6 +12,7 @@ from .decontamination import benchmark_leaks
 from .exact_dedup import exact_duplicates
 from .html_extraction import extract_main_text
 from .line_dedup import dedup_lines
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .secret_scan import scan_secrets, secret_digests
 
@@ -99,6 +100,11 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_digests(format_windows(conversations.union(spark.createDataFrame(rows, conversations.schema))))
 
 
+@query("op8_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op9_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
