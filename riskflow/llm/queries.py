@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat_format import conversation_digests, format_windows
 from .decontamination import benchmark_leaks
@@ -14,7 +15,9 @@ from .html_extraction import extract_main_text
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .quality_resampling import resample
 from .secret_scan import scan_secrets, secret_digests
+from .toxicity_chain import toxicity
 
 #: Vocabularies lie beside the Python packages of every executor.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -81,6 +84,12 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
 
 
+@query("op3_quality_resampling")
+def quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents sampled, one row each."""
+    return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op4_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), TOKENIZER, with_ids=False)
@@ -100,6 +109,13 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_digests(format_windows(conversations.union(spark.createDataFrame(rows, conversations.schema))))
 
 
+@query("op7_toxicity_chain")
+def toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents found toxic, one row each. Low quality comes before toxicity in the chain."""
+    labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity(table(spark, folder, "documents"), labels, ["low_quality", "toxic"]).filter("is_toxic")
+
+
 @query("op8_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
@@ -124,3 +140,10 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 )
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
