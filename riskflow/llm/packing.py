@@ -16,9 +16,10 @@ sequence length only, so it may be kept whole on the driver and in each task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,9 +33,42 @@ from .stored import stored
 
 SEQUENCE_TOKENS = 2048
 SEPARATOR = np.zeros(1, "<u4").tobytes()
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 CACHE_CHARS = 64
 
+# A run of letters and a run of signs after it are tokenized apart from each other. These
+# letters have one form only, and lower case one by one.
+PLAIN_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+
+
+class Recent:
+    """A bounded memory of two generations; what is still used moves to the younger one."""
+
+    def __init__(self) -> None:
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Words not remembered; the others are in the younger generation from now on."""
+        young, old = self._young, self._old
+        unknown = []
+        for word in words:
+            if word not in young:
+                if (ids := old.get(word)) is None:
+                    unknown.append(word)
+                else:
+                    young[word] = ids
+        return unknown
+
+    def add(self, fresh: dict[str, bytes]) -> Mapping[str, bytes]:
+        """Remember ``fresh``; returns the younger generation, which has all words asked for last."""
+        young = self._young
+        young.update(fresh)
+        if len(young) > CACHE_WORDS:
+            self._old = {word: ids for word, ids in young.items() if len(word) <= CACHE_CHARS}
+            self._young = {}
+        return young
+
 
 class WordIds:
     """Token ids of texts, as little-endian bytes.
@@ -48,23 +82,37 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        self._words, self._letters = Recent(), Recent()
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        words = set().union(*split)
-        missing = [word for word in words if word not in self._known]
-        if len(self._known) + len(missing) > CACHE_WORDS:
-            self._known.clear()
-            missing = list(words)
-        encoded = self._tokenizer.encode_batch(missing, add_special_tokens=False)
-        fresh = {word: np.array(ids.ids, "<u4").tobytes() for word, ids in zip(missing, encoded)}
-        known = self._known
-        known.update((word, ids) for word, ids in fresh.items() if len(word) <= CACHE_CHARS)
-        long_words = {word: ids for word, ids in fresh.items() if len(word) > CACHE_CHARS}
-        if not long_words:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join(known[w] if w in known else long_words[w] for w in words) for words in split]
+        known = self._words.add(self._of_words(self._words.missing(set().union(*split))))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        plain = {word: (match[1].lower(), match[2]) for word in words if (match := PLAIN_WORD.fullmatch(word))}
+        parts = {part for pair in plain.values() for part in pair}
+        letters = self._letters.missing(parts)
+        fresh = self._of_letters([part for part in letters if part.isalpha()])
+        known = self._letters.add(fresh | self._encoded([part for part in letters if not part.isalpha()]))
+        found = {word: known[core] + known[signs] for word, (core, signs) in plain.items()}
+        return found | self._encoded([word for word in words if word not in plain])
+
+    def _of_letters(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters only, encoded as one text: each ends where a token ends a word."""
+        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self._ends[np.minimum(ids, len(self._ends) - 1)]) + 1
+        if len(ends) != len(words):
+            return self._encoded(words)
+        data, places = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return {word: data[start:end] for word, start, end in zip(words, places, places[1:])}
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        encoded = self._tokenizer.encode_batch(words, add_special_tokens=False)
+        return {word: np.array(ids.ids, "<u4").tobytes() for word, ids in zip(words, encoded)}
 
 
 @lru_cache(maxsize=2)
