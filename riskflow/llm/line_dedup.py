@@ -22,28 +22,36 @@ lines are counted once per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stored import stored
 
 MIN_CHARS = 16
 CHUNK = 64
+#: No document has so many lines; no id is as large.
+LINES = 1 << 31
+NO_DOCUMENT = str(1 << 63)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line that is not blank: doc_id, line_no, line, line_key."""
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
+    """Every line that is not blank: doc_id, line_no, line, key_a, key_b."""
     return (
-        docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-        .select("doc_id", "line_no", F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("line"))
+        docs.select("doc_id", *more, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+        .select("doc_id", "line_no", *more, F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("line"))
         .filter("line <> ''")
-        .withColumn("line_key", _key(F.col("line")))
+        # 128 bits that stand for a line.
+        .withColumns({"key_a": F.xxhash64("line"), "key_b": F.xxhash64(F.lit("second"), "line")})
     )
 
 
-def _key(line: Column) -> Column:
-    """128 bits that stand for a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b"))
+KEY = ["key_a", "key_b"]
+
+
+def _place() -> Column:
+    """Order of lines as one number: document, then line; documents without an id come last."""
+    document = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(NO_DOCUMENT).cast("decimal(20,0)"))
+    return (document * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(32,0)")
 
 
 def _kept_part(size: Column) -> Column:
@@ -69,138 +77,136 @@ def _part_keys(line: Column) -> Column:
     return F.flatten(F.transform(near, keys))
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """line_key, first_seen, line and ``variant``: the whole line's and its deletions' hashes.
-
-    Deletions carry their place; the whole line meets deletions of longer lines under the
-    hash without a place.
-    """
-    count = F.ceil(F.length("line") / F.lit(CHUNK)).cast("int")
-
-    def hashes(shift: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.col("n_chunks") - 1),
-            lambda i: F.xxhash64(i, F.substr(F.col("line"), i * CHUNK + 1 + shift, F.lit(CHUNK))),
-        )
-
-    def xor_of(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0).cast("bigint"), lambda left, right: left.bitwiseXOR(right))
-
-    # A chunk after the last one is empty; its hash is left out on both sides.
-    cut = lines.withColumn("n_chunks", count).withColumn("own", hashes(0)).withColumn("shifted", hashes(1))
+def _deletions(lines: DataFrame) -> DataFrame:
+    """Every line without each of its characters: line_id, ``variant`` (a hash), ``place``."""
+    cut = _cut(lines)
     size = F.length("line")
-    last_empty = (size - 1) == (F.col("n_chunks") - 1) * CHUNK
-    cut = cut.withColumn(
-        "shifted", F.when(last_empty, F.slice("shifted", F.lit(1), F.col("n_chunks") - 1)).otherwise(F.col("shifted"))
-    )
-    whole = cut.select("line_key", "first_seen", F.xxhash64(F.lit("text"), size, xor_of(F.col("own"))).alias("variant"))
-    places = (
+    pieces = (
         cut.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
         .withColumn(
             "rest",
-            xor_of(F.slice("own", F.lit(1), F.col("i"))).bitwiseXOR(
-                xor_of(F.slice("shifted", F.col("i") + 2, F.greatest(F.size("shifted") - F.col("i") - 1, F.lit(0))))
+            _xor(F.slice("own", F.lit(1), F.col("i"))).bitwiseXOR(
+                _xor(F.slice("shifted", F.col("i") + 2, F.greatest(F.size("shifted") - F.col("i") - 1, F.lit(0))))
             ),
         )
-        .withColumn("piece", F.substr("line", F.col("i") * CHUNK + 1, F.lit(CHUNK + 1)))
         .select(
-            "line_key",
-            "first_seen",
+            "line_id",
             size.alias("size"),
             "i",
             "rest",
-            "piece",
+            F.substr("line", F.col("i") * CHUNK + 1, F.lit(CHUNK + 1)).alias("piece"),
             F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), size - F.col("i") * CHUNK) - 1)).alias("at"),
         )
     )
     piece = F.concat(F.substr("piece", F.lit(1), F.col("at")), F.substr("piece", F.col("at") + 2))
     own = F.when(piece == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64("i", piece))
-    deleted = places.select(
-        "line_key",
-        "first_seen",
-        (F.col("i") * CHUNK + F.col("at")).alias("place"),
+    return pieces.select(
+        "line_id",
         F.xxhash64(F.lit("text"), F.col("size") - 1, F.col("rest").bitwiseXOR(own)).alias("variant"),
+        (F.col("i") * CHUNK + F.col("at")).alias("place"),
     )
-    # The same deletion meets others at its place, and whole lines under the bare variant.
-    keyed = deleted.select(
-        "line_key", "first_seen", F.explode(F.array(F.xxhash64("variant", "place"), F.col("variant"))).alias("variant"), F.lit(False).alias("is_whole")
-    )
-    return whole.withColumn("is_whole", F.lit(True)).unionByName(keyed)
 
 
-def near_duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Lines that go: doc_id, line_no (from 0) and the document and line that they repeat."""
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    lines = _lines(source)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    parts = F.when(F.length("line") >= MIN_CHARS, _part_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
+def _cut(lines: DataFrame) -> DataFrame:
+    """Lines with the hashes of their chunks, ``own``, and of those a character later, ``shifted``."""
+
+    def hashes(shift: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.col("n_chunks") - 1),
+            lambda i: F.xxhash64(i, F.substr(F.col("line"), i * CHUNK + 1 + shift, F.lit(CHUNK))),
+        )
+
+    size = F.length("line")
+    cut = lines.withColumn("n_chunks", F.ceil(size / F.lit(CHUNK)).cast("int"))
+    # Where the last chunk is one character, nothing is left of it a character later.
+    last_empty = (size - 1) == (F.col("n_chunks") - 1) * CHUNK
+    shifted = F.when(last_empty, F.slice(hashes(1), F.lit(1), F.col("n_chunks") - 1)).otherwise(hashes(1))
+    return cut.withColumn("own", hashes(0)).withColumn("shifted", shifted)
+
+
+def _xor(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda left, right: left.bitwiseXOR(right))
+
+
+def _candidate_lines(source: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All distinct lines (key_a, key_b, seen) and those that may have a partner (and line, line_id)."""
+    parts = [F.when(F.length("line") >= MIN_CHARS, F.get(_part_keys(F.col("line")), F.lit(i))).alias(f"part_{i}") for i in range(4)]
+    names = [f"part_{i}" for i in range(4)]
     distinct = stored(
-        lines.select("line_key", place.alias("place"), parts.alias("parts"))
-        .groupBy("line_key")
-        .agg(F.min("place").alias("first_seen"), F.first("parts").alias("parts")),
+        lines.select(*KEY, _place().alias("place"), *parts)
+        .groupBy(*KEY)
+        .agg(F.min("place").alias("seen"), *[F.min(name).alias(name) for name in names]),
         "distinct-lines",
     )
-    shared = (
-        distinct.select(F.explode("parts").alias("part"))
-        .groupBy("part")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("part")
-    )
-    able = (
-        distinct.select("line_key", "first_seen", F.explode("parts").alias("part"))
-        .join(shared, "part", "left_semi")
-        .select("line_key", "first_seen")
-        .distinct()
-    )
-    able = stored(able, "lines-with-candidates")
-    # The text of a line is read where it was seen first.
-    at_first = lines.select("doc_id", "line_no", "line", "line_key").alias("l")
-    spot = [
-        F.col("l.doc_id").eqNullSafe(F.col("a.first_seen.doc_id")),
-        F.col("l.line_no") == F.col("a.first_seen.line_no"),
-        F.col("l.line_key") == F.col("a.line_key"),
-    ]
-    texts = at_first.join(able.alias("a"), spot, "left_semi").dropDuplicates(["line_key"])
-    texts = stored(
-        texts.select("line_key", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no").alias("first_seen"), "line"),
-        "candidate-lines",
+    each = F.explode(F.filter(F.array(*names), lambda part: part.isNotNull())).alias("part")
+    shared = distinct.select(each).groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+    able = stored(distinct.select(*KEY, "seen", each).join(shared, "part", "left_semi").drop("part").distinct(), "able-lines")
+    # The text of a line is read in the document that has it first.
+    line_no = F.pmod("seen", F.lit(LINES).cast("decimal(11,0)")).cast("int")
+    document = ((F.col("seen") - line_no) / F.lit(LINES).cast("decimal(11,0)")).cast("decimal(20,0)")
+    wanted = able.select(F.when(document < F.lit(NO_DOCUMENT).cast("decimal(20,0)"), document).cast("bigint").alias("doc_id"), line_no.alias("line_no"))
+    by_document = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    found = source.alias("d").join(by_document.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.wanted")
+    there = _lines(found, "wanted").filter(F.array_contains("wanted", F.col("line_no"))).drop("wanted")
+    texts = there.withColumn("seen", _place()).join(able, [*KEY, "seen"], "left_semi").dropDuplicates(KEY)
+    # Numbers of sorted rows are in the rows' order.
+    texts = texts.select(*KEY, "seen", "line").orderBy("seen").withColumn("line_id", F.monotonically_increasing_id())
+    return distinct, stored(texts, "candidate-lines")
+
+
+def _meetings(lines: DataFrame) -> DataFrame:
+    """Pairs of lines that may be within an edit: ``a`` and an earlier one, ``b``.
+
+    Deletions at the same place are replaced characters, each meets the earliest of them. A
+    whole line equals deletions of longer lines: they meet it, and it meets the earliest.
+    """
+    whole = _cut(lines).select(
+        "line_id",
+        F.xxhash64(F.lit("text"), F.length("line"), _xor(F.col("own"))).alias("variant"),
+        F.lit(None).cast("int").alias("place"),
     )
-    variants = _variants(texts)
-    # A variant's lines meet at the earliest of them, the earliest whole line or deletion.
+    # One shuffle and one sort serve both windows.
+    same = Window.partitionBy("variant").orderBy("place", "line_id")
+    same = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = Window.partitionBy("variant", "place").orderBy("line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_whole = F.col("place").isNull()
     met = (
-        variants.groupBy("variant")
-        .agg(
-            F.min(F.struct("first_seen", "line_key")).alias("earliest"),
-            F.min(F.when(F.col("is_whole"), F.struct("first_seen", "line_key"))).alias("whole"),
-            F.count("*").alias("n"),
-        )
-        .filter("n > 1")
-    )
-    links = (
-        variants.join(met, "variant")
-        .select("line_key", "first_seen", F.explode(F.array_distinct(F.array("earliest", "whole"))).alias("partner"))
-        .filter("partner is not null and partner.first_seen < first_seen")
-        .select("line_key", F.col("partner.line_key").alias("partner_key"), F.col("partner.first_seen").alias("partner_seen"))
-        .distinct()
+        _deletions(lines)
+        .unionByName(whole)
+        .withColumns({"whole": F.max(F.when(is_whole, F.col("line_id"))).over(same), "earliest": F.min("line_id").over(same)})
+        .withColumn("first", F.first("line_id").over(placed))
     )
-    own, other = texts.select("line_key", "line").alias("o"), texts.select("line_key", "line").alias("p")
+    partners = F.when(is_whole, F.array("earliest")).otherwise(F.array("first", "whole"))
+    return met.select(F.col("line_id").alias("a"), F.explode(partners).alias("b")).filter("b < a").distinct()
+
+
+def near_duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Lines that go: doc_id, line_no (from 0) and the document and line that they repeat."""
+    source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    lines = _lines(source)
+    distinct, texts = _candidate_lines(source, lines)
+    pairs = _meetings(texts)
+    own = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"), *KEY)
+    other = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"), F.col("seen").alias("seen_b"))
     close = (
-        links.join(own, links["line_key"] == F.col("o.line_key"))
-        .join(other, links["partner_key"] == F.col("p.line_key"))
-        .filter(F.levenshtein("o.line", "p.line", 1).between(0, 1))
-        .groupBy(links["line_key"])
-        .agg(F.min("partner_seen").alias("near_seen"))
+        pairs.join(own, "a")
+        .join(other, "b")
+        .filter(F.levenshtein("line_a", "line_b", 1).between(0, 1))
+        .groupBy(*KEY)
+        .agg(F.min("seen_b").alias("near_seen"))
     )
-    decided = distinct.select("line_key", "first_seen").join(close, "line_key", "left")
-    # All rows of a line whose earliest partner is earlier go; of the others all but the first.
-    every = lines.select("doc_id", "line_no", "line_key")
-    return (
-        every.join(decided, "line_key")
-        .withColumn("here", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no"))
-        .filter("near_seen is not null or first_seen < here")
-        .withColumn("kept", F.least("first_seen", F.coalesce("near_seen", "first_seen")))
-        .select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
+    decided = distinct.select(*KEY, "seen").join(close, KEY, "left")
+    decided = decided.select(*KEY, "seen", F.least("seen", F.coalesce("near_seen", "seen")).alias("kept"))
+    # All rows of a line with an earlier partner go; of the others all but the first.
+    every = lines.select("doc_id", "line_no", *KEY)
+    gone = every.join(decided, KEY).withColumn("here", _place()).filter("kept < seen or seen < here")
+    kept_line = F.pmod("kept", F.lit(LINES).cast("decimal(11,0)")).cast("int")
+    kept_document = ((F.col("kept") - kept_line) / F.lit(LINES).cast("decimal(11,0)")).cast("decimal(20,0)")
+    return gone.select(
+        "doc_id",
+        "line_no",
+        F.when(kept_document < F.lit(NO_DOCUMENT).cast("decimal(20,0)"), kept_document).cast("bigint").alias("kept_doc_id"),
+        kept_line.alias("kept_line_no"),
     )
 
 
