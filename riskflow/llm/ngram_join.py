@@ -3,7 +3,7 @@
 A text's set holds its distinct five-word shingles, as 64-bit hashes. Two sets of sizes a and
 b link when their similarity is 0.75 or more, so they differ in at most (a + b) / 7 elements.
 
-Sizes fall into bands, a band per power of two; a set near the end of a band takes part in
+Sizes fall into bands, a band per power of 16; a set near the end of a band takes part in
 the next one as well, so that sets that can link share a band. Within a band the domain of
 hashes is cut into blocks, each block into partitions, and the subsets of ``SUBSET`` of the
 ``PARTS`` partitions of every block are enumerated: a signature is the hash of the set's
@@ -16,8 +16,10 @@ puts signatures last whose elements all are frequent in a sample of texts, as th
 passages that many documents share; the order only decides the cost, never the result.
 
 Texts of equal set are one class before anything else. Classes that share a signature meet
-at one of them; equal pairs are verified on the whole texts; verified links join classes to
-components. Signatures whose classes are not all in one component by then are gone through
+at one of them. Pairs are first held against sketches (the parity of the number of elements
+in each of 1024 parts of the domain; sketches differ in no more places than sets do), which
+refutes most pairs that do not link; the others are verified on the whole texts. Verified
+links join classes to components. Signatures whose classes are not all in one component by then are gone through
 again with another class in the middle, and in the end pair by pair across components, so
 no link is lost and no pair within a component is looked at.
 
@@ -38,6 +40,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +51,16 @@ from .word_hashes import WordHashes, mixed, multipliers
 SHINGLE = 5
 PARTS = 2
 SUBSET = 1
-#: Bands below this power of two have one partition for each element.
-SINGLE_BANDS = 6
-SAMPLE_DOCS = 4_000
+#: Sizes of a band differ by less than 2 ** BAND_BITS; sets of the first bands (under 256
+#: elements) have one partition for each element.
+BAND_BITS = 4
+SINGLE_BANDS = 2
+SAMPLE_DOCS = 10_000
 FREQUENT_IN_SAMPLE = 3
 FREQUENT_LIMIT = 100_000
-STAR_ROUNDS = 2
+BROADCAST_KEYS = 500_000
+STAR_ROUNDS = 1
+SKETCH_BITS = 10
 FACTORS = multipliers(SHINGLE)
 BAND_SALTS = multipliers(128)
 
@@ -87,9 +94,9 @@ def _subset_signatures(elements: np.ndarray, frequent: np.ndarray, band: int) ->
     salt = BAND_SALTS[band]
     if band < SINGLE_BANDS:
         return mixed(elements ^ salt), frequent
-    # About twice as many partitions as the band's largest set has elements; the sorted
+    # At least twice as many partitions as the band's largest set has elements; the sorted
     # elements of a partition are neighbours.
-    bits = band + 2
+    bits = BAND_BITS * (band + 1) + 1
     places = elements >> np.uint64(64 - bits)
     starts = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
     sums = np.add.reduceat(mixed(elements ^ salt), starts)
@@ -117,12 +124,12 @@ def signatures_of(elements: np.ndarray, frequent_elements: np.ndarray) -> np.nda
     if len(frequent_elements):
         at = np.minimum(np.searchsorted(frequent_elements, elements), len(frequent_elements) - 1)
         frequent = frequent_elements[at] == elements
-    band = size.bit_length() - 1
+    band = (size.bit_length() - 1) // BAND_BITS
     largest = 4 * size // 3
     out = []
-    for number in (band, band + 1) if largest >= 2 << band else (band,):
+    for number in (band, band + 1) if largest >> (BAND_BITS * (band + 1)) else (band,):
         values, all_frequent = _subset_signatures(elements, frequent, number)
-        differing = (size + min(largest, (2 << number) - 1)) // 7
+        differing = (size + min(largest, (1 << (BAND_BITS * (number + 1))) - 1)) // 7
         spoiled = differing * (comb(PARTS - 1, SUBSET - 1) if number >= SINGLE_BANDS else 1)
         if len(values) <= spoiled:
             raise ValueError("too few signatures for the guarantee: elements are not spread like hashes")
@@ -136,33 +143,44 @@ def _print_of(elements: np.ndarray) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
 
 
+def _sketch(elements: np.ndarray) -> np.ndarray:
+    """The parities of the counts of elements by their first bits, as 64-bit numbers."""
+    counts = np.bincount((elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+    return np.packbits(counts & 1).view(np.int64)
+
+
 def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b, signatures, and the text of rows without an id."""
+    """doc_id, row (a number), n_shingles, print_a, print_b, signatures, and the text of rows without an id."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, prints, signatures = [], [], []
+            sizes, prints, signatures, sketches = [], [], [], []
             for text in batch.column("text"):
                 elements = shingles_of(text.as_py())
                 sizes.append(len(elements))
                 prints.append(_print_of(elements))
+                sketches.append(_sketch(elements))
                 signatures.append(signatures_of(elements, frequent).view(np.int64))
             ids = batch.column("doc_id")
             lengths = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
             values = np.concatenate(signatures) if signatures else np.zeros(0, np.int64)
+            rows, row = np.arange(row, row + len(ids)), row + len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
+                    pa.array(rows),
                     pa.array(sizes, pa.int64()),
                     *[pa.array([p[i] for p in prints], pa.int64()) for i in range(2)],
                     pa.ListArray.from_arrays(pa.array(lengths), pa.array(values)),
+                    pa.array(sketches, pa.list_(pa.int64())),
                     pa.array([None if i.is_valid else t.as_py() for i, t in zip(ids, batch.column("text"))], pa.string()),
                 ],
-                ["doc_id", "n_shingles", "print_a", "print_b", "signatures", "text"],
+                ["doc_id", "row", "n_shingles", "print_a", "print_b", "signatures", "sketch", "text"],
             )
 
     return docs.mapInArrow(
-        profile, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, signatures array<bigint>, text string"
+        profile, "doc_id bigint, row bigint, n_shingles bigint, print_a bigint, print_b bigint, signatures array<bigint>, sketch array<bigint>, text string"
     )
 
 
@@ -214,8 +232,11 @@ class _Sets:
         return self._sets[key]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link. Texts travel once per pair, those of b only where pairs lie."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) and whether their texts link."""
+    pairs = stored(pairs, "pairs")
+    keys = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "pair-keys")
+    texts = stored(_class_texts(docs, classes, keys), "texts")
     left = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
@@ -236,7 +257,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _class_texts(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     """The text of one document of each class in ``keys``: key, text."""
     wanted = classes.join(keys, "key")
-    by_id = docs.join(wanted.filter("text is null").select(F.col("first_id").alias("doc_id"), "key", "print_a", "print_b"), "doc_id")
+    named = wanted.filter("text is null").select(F.col("first_id").alias("doc_id"), "key", "print_a", "print_b")
+    if keys.count() <= BROADCAST_KEYS:
+        # Rows of four numbers. The texts then need not be shuffled.
+        named = F.broadcast(named)
+    by_id = docs.join(named, "doc_id").dropDuplicates(["doc_id", "key", "text"])
     loose = wanted.filter("text is not null").select("key", "print_a", "print_b", "text")
 
     def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +274,7 @@ def _class_texts(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFr
 
     # An id may name several texts; only one of the class's set will do.
     rows = by_id.select("key", "print_a", "print_b", "text").mapInArrow(same_set, "key bigint, text string")
-    return rows.unionByName(loose.select("key", "text")).dropDuplicates(["key"])
+    return rows.unionByName(loose.select("key", "text"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -261,22 +286,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = stored(
         profiles.filter("n_shingles > 0")
         .groupBy(*prints)
-        .agg(F.min("doc_id").alias("first_id"), F.first("text", ignorenulls=True).alias("text"), F.first("n_shingles").alias("size"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("text", ignorenulls=True).alias("text"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
         .select(
             *prints,
             "first_id",
             "size",
+            "sketch",
             F.when(F.col("first_id").isNull(), F.coalesce("text", F.lit(""))).alias("text"),
             # An id that names several sets cannot stand for one of them.
             F.when(F.count("*").over(Window.partitionBy(named)) == 1, named).otherwise(F.col("print_a")).alias("key"),
         ),
         "classes",
     )
-    members = stored(profiles.drop("signatures", "text").join(classes.drop("text", "size"), prints, "left"), "members")
+    members = stored(profiles.drop("signatures", "sketch", "text").join(classes.drop("text", "size", "sketch"), prints, "left"), "members")
     multi = _shared_signatures(profiles, members)
-    keys = multi.select("key").union(multi.select(F.col("pivot"))).distinct()
-    texts = stored(_class_texts(source, classes, keys), "texts")
-    labels = _linked(multi, texts, classes.select("key", "size"))
+    labels = _linked(multi, source, classes)
     labelled = members.alias("m").join(labels.alias("l"), F.col("m.key") == F.col("l.key"), "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("l.label", "m.key").alias("label"))
     names = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -286,32 +310,34 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _shared_signatures(profiles: DataFrame, members: DataFrame) -> DataFrame:
-    """Signatures of two classes and more: signature, pivot (the smallest key), key of each other class."""
-    # Signatures of a class are taken from its first document alone.
-    prints = ["print_a", "print_b"]
-    odd = ~F.col("key").eqNullSafe(F.col("first_id"))
-    others = members.filter(odd | ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", *prints).distinct().alias("o")
-    own = profiles.filter("n_shingles > 0").alias("p")
-    same = [F.col("p.doc_id").eqNullSafe(F.col("o.doc_id")), *[F.col(f"p.{c}") == F.col(f"o.{c}") for c in prints]]
-    first = own.join(others, same, "left_anti").select(F.col("doc_id").alias("key"), "signatures")
-    rows = first.unionByName(own.join(members.filter(odd).select(*prints, "key").distinct(), prints).select("key", "signatures"))
-    each = rows.select(F.explode("signatures").alias("signature"), "key")
-    by_key = Window.partitionBy("signature").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return stored(each.withColumn("pivot", F.first("key").over(by_key)).filter("key <> pivot").distinct(), "shared-signatures")
-
-
-def _linked(multi: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Signatures of two classes and more: signature, pivot, key of each other class.
+
+    Profiles meet under their row's number; only those that share a signature with an
+    earlier row are then given the key of their class.
+    """
+    each = profiles.select(F.explode("signatures").alias("signature"), "row")
+    by_row = Window.partitionBy("signature").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = each.withColumn("first_row", F.first("row").over(by_row)).filter("row <> first_row")
+    keys = members.select("row", "key")
+    named = met.join(keys, "row").drop("row").join(keys.select(F.col("row").alias("first_row"), F.col("key").alias("pivot")), "first_row")
+    return stored(named.filter("key <> pivot").select("signature", "pivot", "key").distinct(), "shared-signatures")
+
+
+def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """key and label of all classes that link with another."""
-    fits = "4 * least(a_size, b_size) >= 3 * greatest(a_size, b_size)"
 
-    def sized(pairs: DataFrame) -> DataFrame:
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes and sketches do not refute."""
         out = pairs
         for name in ("a", "b"):
-            out = out.join(sizes.select(F.col("key").alias(name), F.col("size").alias(f"{name}_size")), name)
-        return out.filter(fits).select("a", "b")
+            out = out.join(classes.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "sketch")]), name)
+        apart = F.zip_with("a_sketch", "b_sketch", lambda left, right: F.bit_count(left.bitwiseXOR(right)))
+        places = F.aggregate(apart, F.lit(0), lambda total, n: total + n)
+        fits = F.expr("4 * least(a_size, b_size) >= 3 * greatest(a_size, b_size)")
+        return out.filter(fits).filter(7 * places <= F.col("a_size") + F.col("b_size")).select("a", "b")
 
     pairs = multi.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
-    done = stored(_verified(sized(pairs), texts), "verified-pairs")
+    done = stored(_verified(possible(pairs), docs, classes), "verified-pairs")
     labels = components(done.filter("linked"))
     # Signatures of two classes are settled by their one pair.
     wide = multi.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1").select("signature")
@@ -334,8 +360,8 @@ def _linked(multi: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
             near = left.join(right, F.col("l.signature") == F.col("r.signature")).filter("l.label < r.label")
             near = near.select("l.key", F.col("r.key").alias("other"))
         fresh = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        fresh = sized(fresh).join(done, ["a", "b"], "left_anti")
-        verified = stored(_verified(fresh, texts), "verified-pairs")
+        fresh = possible(fresh).join(done, ["a", "b"], "left_anti")
+        verified = stored(_verified(fresh, docs, classes), "verified-pairs")
         done = done.unionByName(verified)
         if not verified.filter("linked").isEmpty():
             labels = components(done.filter("linked"))
