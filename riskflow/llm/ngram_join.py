@@ -17,7 +17,8 @@ passages that many documents share; the order only decides the cost, never the r
 
 Texts of equal set are one class before anything else. Classes that share a signature meet
 at one of them. Pairs are first held against sketches (the parity of the number of elements
-in each of 1024 parts of the domain; sketches differ in no more places than sets do), which
+in each part of the domain, 1024 parts or more by size; sketches differ in no more places
+than sets do), which
 refutes most pairs that do not link; the others are verified on the whole texts. Verified
 links join classes to components. Signatures whose classes are not all in one component by then are gone through
 again with another class in the middle, and in the end pair by pair across components, so
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -41,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -60,7 +61,9 @@ FREQUENT_IN_SAMPLE = 3
 FREQUENT_LIMIT = 100_000
 BROADCAST_KEYS = 500_000
 STAR_ROUNDS = 1
-SKETCH_BITS = 10
+#: Sketches of small sets have 1024 bits; each step takes eight times as many.
+SKETCH_BITS = 1 << 10
+SKETCH_STEP = 8
 FACTORS = multipliers(SHINGLE)
 BAND_SALTS = multipliers(128)
 
@@ -144,11 +147,25 @@ def _print_of(elements: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(elements: np.ndarray) -> np.ndarray:
-    """The parities of the counts of elements by their first bits, as 64-bit numbers."""
-    counts = np.bincount((elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+    """The parities of the counts of elements by their last bits, as 64-bit numbers."""
+    bits = SKETCH_BITS
+    while bits <= len(elements):
+        bits *= SKETCH_STEP
+    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(counts & 1).view(np.int64)
 
 
+def _folded(sketch: Column) -> Column:
+    """A sketch as one with so many times fewer bits."""
+    parts = F.size(sketch) / SKETCH_STEP
+
+    def both(left: Column, right: Column) -> Column:
+        return F.zip_with(left, right, lambda x, y: x.bitwiseXOR(y))
+
+    slices = [F.slice(sketch, (parts * i).cast("int") + 1, parts.cast("int")) for i in range(SKETCH_STEP)]
+    return reduce(both, slices)
+
+
 def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """doc_id, row (a number), n_shingles, print_a, print_b, signatures, and the text of rows without an id."""
 
@@ -331,10 +348,16 @@ def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         out = pairs
         for name in ("a", "b"):
             out = out.join(classes.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "sketch")]), name)
-        apart = F.zip_with("a_sketch", "b_sketch", lambda left, right: F.bit_count(left.bitwiseXOR(right)))
+        left, right = F.col("a_sketch"), F.col("b_sketch")
+        # Sets that can link are at most one step of sketches apart.
+        left, right = (
+            F.when(F.size(left) > F.size(right), _folded(left)).otherwise(left),
+            F.when(F.size(right) > F.size(left), _folded(right)).otherwise(right),
+        )
+        apart = F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         places = F.aggregate(apart, F.lit(0), lambda total, n: total + n)
         fits = F.expr("4 * least(a_size, b_size) >= 3 * greatest(a_size, b_size)")
-        return out.filter(fits).filter(7 * places <= F.col("a_size") + F.col("b_size")).select("a", "b")
+        return out.filter(fits & (7 * places <= F.col("a_size") + F.col("b_size"))).select("a", "b")
 
     pairs = multi.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
     done = stored(_verified(possible(pairs), docs, classes), "verified-pairs")
