@@ -132,9 +132,7 @@ def median(t):
     "select l_returnflag, median(l_extendedprice) as middle from lineitem group by 1",
 )
 def median_large_groups(t):
-    return group_median(
-        t.lineitem, ["l_returnflag"], "l_extendedprice", "middle", large_group=10_000
-    )
+    return group_median(t.lineitem, ["l_returnflag"], "l_extendedprice", "middle")
 
 
 @query(
@@ -197,20 +195,30 @@ def functions_of_column(t):
 
 @query(
     "g16_collect_rows",
-    "select user_id, event_type, value, count(*) as copies from events group by 1, 2, 3",
+    """
+    select user_id, cast(ts as date) as chunk, event_type, value, count(*) as copies
+    from events group by 1, 2, 3, 4
+    """,
 )
 def collect_rows(t):
-    rows = nesting.collect_rows(t.events, ["user_id"], ["event_type", "value"])
-    return nesting.unnest_rows(rows, ["user_id"], ["event_type", "value"])
+    rows = nesting.collect_rows(
+        t.events, ["user_id"], ["event_type", "value"], F.col("ts").cast("date")
+    )
+    return nesting.unnest_rows(rows, ["user_id", "chunk"], ["event_type", "value"])
 
 
 @query(
     "g16_collect_large_groups",
-    "select event_type, user_id, value, count(*) as copies from events group by 1, 2, 3",
+    """
+    select event_type, user_id % 64 as chunk, user_id, value, count(*) as copies
+    from events group by 1, 2, 3, 4
+    """,
 )
 def collect_large_groups(t):
-    rows = nesting.collect_rows(t.events, ["event_type"], ["user_id", "value"], max_rows=500)
-    return nesting.unnest_rows(rows, ["event_type"], ["user_id", "value"])
+    rows = nesting.collect_rows(
+        t.events, ["event_type"], ["user_id", "value"], F.col("user_id") % 64
+    )
+    return nesting.unnest_rows(rows, ["event_type", "chunk"], ["user_id", "value"])
 
 
 @query("g17_map_by_date", LAST_OF_DAY)

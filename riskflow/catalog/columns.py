@@ -236,7 +236,8 @@ def composite(t):
     select o_orderkey, o_totalprice + 2.5 * (o_custkey % 7) as bound,
            o_totalprice / nullif(o_custkey % 3, 0) as ratio,
            o_totalprice > 2 * 60000 and o_orderstatus = 'F' or not (o_custkey >= 100) as flag,
-           o_orderpriority in ('1-URGENT', '5-LOW') as edge, 16 as constant
+           o_orderpriority in ('1-URGENT', '5-LOW') as edge, 16 as constant,
+           o_orderdate >= timestamp '1996-01-08' as late
     from orders
     """,
 )
@@ -253,6 +254,7 @@ def expression(t):
         "flag": "(ev.o_totalprice > 2 * th.limit) & (ev.o_orderstatus == F) | ~(ev.o_custkey >= 100)",
         "edge": "ds.o_orderpriority in ('1-URGENT', '5-LOW')",
         "constant": "10 + 2 * 3",
+        "late": "ev.o_orderdate >= 1996-01-08",
     }
     return prepared.select(
         "o_orderkey", *[config_column(text).alias(name) for name, text in texts.items()]

@@ -211,6 +211,6 @@ def regex_replace(t):
     """,
 )
 def trim_items(t):
-    text = F.concat(F.lit(" "), "p_name", F.lit(" ; "), "p_brand")
+    text = F.concat(F.lit("\t\n "), "p_name", F.lit(" \r\n;\t"), "p_brand", F.lit("\n"))
     items = lists.list_items(text, ";", drop_blank=False)
     return t.part.select("p_partkey", F.array_join(items, ";").alias("items"))

@@ -104,4 +104,4 @@ def combine_large_groups(t):
 
     rows = t.events.select("event_type", "value")
     schema = "event_type string, n bigint, top double"
-    return py.combine_groups(rows, ["event_type"], partial, merge, schema, large_group=1_000)
+    return py.combine_groups(rows, ["event_type"], partial, merge, schema)

@@ -135,23 +135,20 @@ def threshold_sql(t):
 
 @query(
     "s7_parquet_sink",
-    "select l_orderkey, l_partkey, l_extendedprice, l_shipdate from lineitem where l_quantity > 10",
+    "select * from lineitem",
 )
 def parquet_sink(t):
     path = t.new_folder("parquet")
-    lines = t.lineitem.filter(F.col("l_quantity") > 10)
-    tables.write_parquet(
-        lines.select("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate"), path
-    )
+    tables.write_parquet(t.lineitem, path)
     return tables.read_parquet(t.spark, path)
 
 
-@query("s8_csv_sink", "select s_suppkey, s_name, s_acctbal from supplier")
+@query("s8_csv_sink", "select doc_id, text, lang, source, n_chars from documents")
 def csv_sink(t):
     path = t.new_folder("csv")
-    suppliers = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
-    tables.write_csv(suppliers, path)
-    return tables.read_csv(t.spark, path, suppliers.schema)
+    documents = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
+    tables.write_csv(documents, path)
+    return tables.read_csv(t.spark, path, documents.schema, line_breaks=True)
 
 
 @query("s9_nested_json", LAST_OF_DAY)
@@ -178,16 +175,17 @@ TAGS = ["ml", "ai", "cv", "nlp", "robotics", "math", "bio", "chem", "astro"]
 
 
 def _pick_sql(stream: int, size: int) -> str:
-    mixed = f"(((o_orderkey % 1000003) * {7919 + 2 * stream} + {42 + 13 * stream}) % 1000003)"
-    return f"cast((({mixed} * {mixed}) % 1000003) % {size} as int)"
+    digits = f"substr(md5(o_orderkey || ':42:{stream}'), 1, 15)"
+    return f"cast(cast('0x' || {digits} as bigint) % {size} as int)"
 
 
 @query(
     "s11_synthetic_columns",
     f"""
     select o_orderkey, {CHOICES}[{_pick_sql(1, 8)} + 1] as animal,
-           array_to_string(list_slice({TAGS + TAGS}, {_pick_sql(2, 9)} + 1,
-                           {_pick_sql(2, 9)} + {_pick_sql(3, 6)}), ',') as tags
+           array_to_string(list_transform(list_slice(list_sort(list_transform({TAGS},
+               lambda x: {{'h': md5(o_orderkey || ':42:2:' || x), 'item': x}})),
+               1, {_pick_sql(3, 6)}), lambda e: e.item), ',') as tags
     from orders
     """,
 )
@@ -200,8 +198,8 @@ def synthetic_columns(t):
 
 NAMED_SQL = {
     "returns_by_supplier": """
-        select l_suppkey, count(*) as returned_lines, max(l_shipdate) as last_shipdate
-        from {lineitem} where l_returnflag = 'R' group by l_suppkey
+        select l_suppkey, l_returnflag, count(*) as lines, max(l_shipdate) as last_shipdate
+        from {lineitem} group by l_suppkey, l_returnflag
     """
 }
 
@@ -209,8 +207,8 @@ NAMED_SQL = {
 @query(
     "s12_named_query",
     """
-    select l_suppkey, count(*) as returned_lines, max(l_shipdate) as last_shipdate
-    from lineitem where l_returnflag = 'R' group by l_suppkey
+    select l_suppkey, l_returnflag, count(*) as lines, max(l_shipdate) as last_shipdate
+    from lineitem group by l_suppkey, l_returnflag
     """,
 )
 def named_query(t):

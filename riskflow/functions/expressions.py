@@ -34,8 +34,23 @@ COLUMN_PREFIXES = ("ev", "ds")
 Resolver = Callable[[str, str], Column]
 
 _PREFIXES = "|".join((*STRUCT_PREFIXES, *COLUMN_PREFIXES))
-_PATH = re.compile(rf"""('[^']*'|"[^"]*")|\b({_PREFIXES})\.([A-Za-z_]\w*)""")
-_DATE = re.compile(r"\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?")
+_DATE_TEXT = r"\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?"
+_DATE = re.compile(_DATE_TEXT)
+_PATH = re.compile(
+    rf"""('[^']*'|"[^"]*")|\b({_PREFIXES})\.([A-Za-z_]\w*)|(?<![\w.])({_DATE_TEXT})(?![\w.])"""
+)
+_WHOLE_TYPES = ("tinyint", "smallint", "int", "bigint")
+
+
+def _floor_divide(a: Column, b: Column) -> Column:
+    """Python's ``//`` as a whole number; that of whole numbers does not go through double."""
+    b = F.nullif(b, F.lit(0))
+    x, y = a.cast("bigint"), b.cast("bigint")
+    rounded_up = (x % y != 0) & ((x < 0) != (y < 0))
+    exact = F.call_function("div", x, y) - F.when(rounded_up, 1).otherwise(0)
+    whole = F.typeof(a).isin(*_WHOLE_TYPES) & F.typeof(b).isin(*_WHOLE_TYPES)
+    return F.when(whole, exact).otherwise(F.floor(a / b))
+
 
 _BINARY = {
     ast.Add: operator.add,
@@ -44,7 +59,7 @@ _BINARY = {
     # Division by zero gives null: a threshold that cannot be computed is unknown.
     ast.Div: lambda a, b: a / F.nullif(b, F.lit(0)),
     ast.Mod: lambda a, b: a % F.nullif(b, F.lit(0)),
-    ast.FloorDiv: lambda a, b: F.floor(a / F.nullif(b, F.lit(0))),
+    ast.FloorDiv: _floor_divide,
     ast.Pow: F.pow,
     ast.BitAnd: operator.and_,
     ast.BitOr: operator.or_,
@@ -83,8 +98,9 @@ def config_column(text: str, resolve: Resolver | None = None) -> Column:
         return F.lit(source.lower() == "true")
     if _DATE.fullmatch(source):
         return F.lit(source)
-    # Any field name is allowed after a prefix, also words Python keeps for itself.
-    marked = _PATH.sub(lambda m: m[1] or f"{m[2]}.f_{m[3]}", source)
+    # Any field name is allowed after a prefix, also words Python keeps for itself. A date
+    # outside quotes is a date, not a subtraction.
+    marked = _PATH.sub(lambda m: m[1] or (f"'{m[4]}'" if m[4] else f"{m[2]}.f_{m[3]}"), source)
     try:
         tree = ast.parse(marked, mode="eval").body
     except SyntaxError as error:

@@ -23,13 +23,18 @@ def split_list(column: Column | str, separator: str = ",") -> Column:
     return F.split(as_column(column), literal_pattern(separator))
 
 
+def trimmed(item: Column) -> Column:
+    """Without white space at both ends, tabs and line breaks included."""
+    return F.btrim(item, F.lit(" \t\n\x0b\f\r"))
+
+
 def list_items(
     column: Column | str, separator: str = ",", trim: bool = True, drop_blank: bool = True
 ) -> Column:
     """Items of separated text, trimmed and without blanks unless told otherwise."""
     items = split_list(column, separator)
     if trim:
-        items = F.transform(items, lambda item: F.trim(item))
+        items = F.transform(items, trimmed)
     if drop_blank:
         items = F.filter(items, lambda item: item != "")
     return items
@@ -57,8 +62,8 @@ def list_in(
     elif isinstance(column2, str):
         wanted = list_items(F.lit(column2), separator, trim, drop_blank)
     else:
-        texts = [str(item).strip() if trim else str(item) for item in column2]
-        wanted = F.array(*[F.lit(text) for text in texts]).cast("array<string>")
+        texts = [F.lit(str(item)) for item in column2]
+        wanted = F.array(*[trimmed(t) if trim else t for t in texts]).cast("array<string>")
     return all_contained(wanted, container)
 
 

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import as_column
-from .groups import KeyJoin, key_join, large_keys
 from .joins import join_groups
 
 _BUILDERS: dict[str, Callable[[Column], Column]] = {
@@ -23,8 +23,11 @@ _BUILDERS: dict[str, Callable[[Column], Column]] = {
     "count": F.count,
     "median": F.median,
 }
-# Groups with more rows than this get their medians without being held by one task.
-LARGE_GROUP = 1_000_000
+# Ranks from a sketch are off by a group's size over this at most; medians are looked for
+# within MARGIN of all ranks on both sides, a multiple of that, then within two of STEPS.
+SKETCH_ACCURACY = 10_000
+MARGIN = 4 / SKETCH_ACCURACY
+STEPS = 100
 
 
 @dataclass(frozen=True)
@@ -65,128 +68,96 @@ def get_aggregator(
 
 
 def group_aggregate(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggregates: Sequence[Aggregate],
-    large_group: int = LARGE_GROUP,
+    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate]
 ) -> DataFrame:
     """Group by the keys and compute all aggregates, one row per key.
 
-    All of it is one aggregation. Only where a median is asked for and some group
-    has more than ``large_group`` rows, medians are computed apart by
-    :func:`group_median`; group sizes are counted first to find out.
+    All of it is one aggregation but for medians, which :func:`group_median` computes.
     """
     medians = [a for a in aggregates if a.function.strip().lower() == "median"]
-    together = list(aggregates)
-    if medians and not large_keys(df, keys, large_group).isEmpty():
-        together = [a for a in aggregates if a.function.strip().lower() != "median"]
-    else:
-        medians = []
+    together = [a for a in aggregates if a.function.strip().lower() != "median"]
     columns = [get_aggregator(a.column, a.function, a.alias, a.order_by) for a in together]
     columns = [c for c in columns if c is not None]
     result = df.groupBy(*keys).agg(*columns) if columns else df.select(*keys).distinct()
     for m in medians:
-        middle = group_median(df, keys, m.column, m.alias, large_group)
+        middle = group_median(df, keys, m.column, m.alias)
         result = join_groups(result, middle, keys, "left")
-    # Medians computed apart go back to where they were asked for.
+    # Medians go back to where they were asked for.
     names = [a.alias for a in aggregates if a.alias in result.columns]
     return result.select(*keys, *dict.fromkeys(names))
 
 
 def group_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str | Column,
-    alias: str,
-    large_group: int = LARGE_GROUP,
-    buckets: int = 4096,
+    df: DataFrame, keys: Sequence[str], column: str | Column, alias: str
 ) -> DataFrame:
-    """Exact interpolated median per key, for groups of any size.
-
-    Spark's own median holds the distinct values of a group in one task, which is
-    right for groups of up to ``large_group`` rows. For larger ones see
-    :func:`_large_medians`. Groups without a value are absent from the result.
+    """Exact interpolated median per key, in the same way for groups of any size.
+
+    Sketches give two values around the middle ranks, then, of the rows between those,
+    two closer ones; tasks aggregate before they shuffle, and how far a sketch is off
+    does not depend on the values. Rows before the last range are counted, and only the
+    distinct values in it, a few of 100,000 rows, are put in order. NaN is above every
+    number. Groups without a value are absent from the result; columns that are not
+    numbers raise.
     """
+    data_type = df.select(as_column(column).alias("v")).schema["v"].dataType
+    if not isinstance(data_type, T.NumericType):
+        raise ValueError(f"no median of {data_type.simpleString()}")
     rows = df.select(*keys, as_column(column).cast("double").alias("__value"))
     rows = rows.filter(F.col("__value").isNotNull())
-    ends = (
-        rows.groupBy(*keys)
+    value, n = F.col("__value"), F.col("__n")
+    infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+
+    def sketch(values: Column, shares: Sequence[float]) -> Column:
+        return F.percentile_approx(F.nanvl(values, infinite), list(shares), SKETCH_ACCURACY)
+
+    def ends(first: Column, last: Column) -> dict[str, Column]:
+        # The sketch has no NaN, so what ends at infinity has them.
+        return {"__from": first, "__to": F.when(last == infinite, nan).otherwise(last)}
+
+    def upto_end(table: DataFrame) -> DataFrame:
+        return join_groups(rows, table, keys).filter(value <= F.col("__to"))
+
+    cuts = rows.groupBy(*keys).agg(
+        sketch(value, (0.5 - MARGIN, 0.5 + MARGIN)).alias("__cuts"), F.count(F.lit(1)).alias("__n")
+    )
+    cuts = cuts.withColumns(ends(F.col("__cuts")[0], F.col("__cuts")[1])).drop("__cuts")
+    inside = value >= F.col("__from")
+    closer = upto_end(cuts).groupBy(*keys).agg(
+        F.max("__n").alias("__n"),
+        F.count(F.when(~inside, 1)).alias("__below"),
+        F.count(F.when(inside, 1)).alias("__inside"),
+        sketch(F.when(inside, value), [i / STEPS for i in range(STEPS + 1)]).alias("__cuts"),
+    )
+
+    def step(rank: Column) -> Column:
+        return (rank - F.col("__below")) / F.col("__inside") * STEPS
+
+    first = F.get("__cuts", F.greatest(F.floor(step(low)) - 1, F.lit(0)).cast("int"))
+    last = F.get("__cuts", F.least(F.ceil(step(high)) + 1, F.lit(STEPS)).cast("int"))
+    closer = closer.withColumns(ends(first, last)).select(*keys, "__n", "__from", "__to")
+    counted = (
+        upto_end(closer)
+        .groupBy(*keys, "__n", F.when(inside, value).alias("__at"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+    )
+    upto = Window.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_first())
+    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank, at = F.col("__rank"), F.col("__at")
+    found = (
+        counted.withColumn("__rank", F.sum("__rows").over(upto))
+        .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min("__value").alias("__from"),
-            F.max("__value").alias("__to"),
-            F.lit(0).alias("__below"),
+            F.min(F.when(rank >= low, at)).alias("__a"),
+            F.min(F.when(rank >= high, at)).alias("__b"),
+            F.coalesce(F.bool_or(at.isNull() & (rank >= low)), F.lit(False)).alias("__missed"),
         )
-        .filter(F.col("__n") > large_group)
     )
-    join = key_join(ends, keys)
-    if join is None:
-        return rows.groupBy(*keys).agg(F.median("__value").alias(alias))
-    ordinary = join(rows, ends, "left_anti")
-    large = _large_medians(rows, ends, keys, alias, buckets, join)
-    return ordinary.groupBy(*keys).agg(F.median("__value").alias(alias)).unionByName(large)
-
-
-def _large_medians(
-    rows: DataFrame,
-    ends: DataFrame,
-    keys: Sequence[str],
-    alias: str,
-    buckets: int,
-    join: KeyJoin,
-) -> DataFrame:
-    """Medians of groups that are too large for one task.
-
-    ``ends`` holds each such group's size ``__n`` and the range from ``__from`` to
-    ``__to`` in which its middle ranks lie, with ``__below`` values before it. The
-    range is narrowed twice by counting values in buckets, on a logarithmic scale and
-    on a linear one; only the values left in it are put in order. Tasks count before
-    they shuffle, so each pass over the rows sends a few thousand counts per task and
-    group.
-    """
-    n, rank = F.col("__n"), F.col("__rank")
-    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
-    state = ["__n", "__below"]
-
-    def between(ends: DataFrame) -> DataFrame:
-        value = F.col("__value")
-        inside = join(rows, ends, "inner")
-        return inside.filter(value.between(F.col("__from"), F.col("__to")))
-
-    def ranked(counted: DataFrame, order: str) -> DataFrame:
-        upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return counted.withColumn("__rank", F.col("__below") + F.sum("__rows").over(upto))
-
-    def narrowed(ends: DataFrame, scale: Callable[[Column], Column]) -> DataFrame:
-        scaled = {"__low": scale(F.col("__from")), "__high": scale(F.col("__to"))}
-        bucket = F.width_bucket(scale(F.col("__value")), "__low", "__high", F.lit(buckets))
-        counted = (
-            between(ends.withColumns(scaled))
-            .groupBy(*keys, *state, bucket.alias("__bucket"))
-            .agg(
-                F.count(F.lit(1)).alias("__rows"),
-                F.min("__value").alias("__first"),
-                F.max("__value").alias("__last"),
-            )
-        )
-        found = (
-            ranked(counted, "__first")
-            .groupBy(*keys, *state)
-            .agg(
-                F.min(F.when(rank >= low, F.col("__first"))).alias("__from"),
-                F.min(F.when(rank >= high, F.col("__last"))).alias("__to"),
-                F.max(F.when(rank < low, rank)).alias("__passed"),
-            )
-        )
-        below = F.coalesce("__passed", "__below")
-        return found.withColumn("__below", below).drop("__passed")
-
-    ends = narrowed(ends, lambda v: F.signum(v) * F.log1p(F.abs(v)))
-    ends = narrowed(ends, lambda v: v)
-    counted = between(ends).groupBy(*keys, *state, "__value").agg(F.count(F.lit(1)).alias("__rows"))
-    value = F.col("__value")
-    middle = F.min(F.when(rank >= low, value)) + F.min(F.when(rank >= high, value))
-    return ranked(counted, "__value").groupBy(*keys).agg((middle / 2).alias(alias))
+    a, b = F.col("__a"), F.col("__b")
+    missed = F.col("__missed") | b.isNull()
+    middle = F.when(a == b, a).otherwise(F.lit(0.5) * a + F.lit(0.5) * b)
+    failed = F.raise_error(F.lit("a sketch missed the middle of a group")).cast("double")
+    return found.select(*keys, F.when(missed, failed).otherwise(middle).alias(alias))
 
 
 def group_by_config(

@@ -95,11 +95,6 @@ def chain_join(datasets: Mapping[str, Dataset]) -> DataFrame:
     return join_chain(datasets).select(*selected.values())
 
 
-def full_join_groups(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Outer join of results by keys that are not null and, but for the last, unique."""
-    return reduce(lambda a, b: a.join(b, list(keys), "full"), frames)
-
-
 def not_null(keys: Sequence[str]) -> Column:
     return reduce(and_, (quoted(key).isNotNull() for key in keys))
 

@@ -8,34 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
-from .groups import key_join, large_keys
 
 
 def collect_rows(
     df: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str],
-    max_rows: int = 10_000,
+    chunk: str | Column,
 ) -> DataFrame:
-    """Rows of each key as sorted lists of structs, in chunks of about ``max_rows``.
+    """Rows of each key and ``chunk`` as one sorted list of structs.
 
-    A list is one value of one row and must fit in memory, so a key with more rows
-    gets several lists, numbered by ``chunk``; all lists together hold every row.
-    Equal rows are one entry with their number in ``copies``, so that a chunk stays
-    small however often a row repeats. Group sizes are counted right away.
+    A list is one value of one row and must fit in memory. The caller names what bounds
+    it, such as the day of an event; the shape is the same at any size, and all lists of
+    a key together hold every row. Equal rows are one entry with their number in
+    ``copies``, so that a list stays small however often a row repeats.
     """
-    entries = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("copies"))
-    sizes = large_keys(df, keys, max_rows)
-    join = key_join(sizes, keys)
-    if join is None:
-        chunked = entries.withColumn("chunk", F.lit(0))
-    else:
-        chunks = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / F.lit(max_rows))
-        chunked = join(entries, sizes, "left").withColumn(
-            "chunk", F.pmod(F.xxhash64(*columns), chunks).cast("int")
-        )
+    chunked = df.withColumn("chunk", as_column(chunk))
+    entries = chunked.groupBy(*keys, "chunk", *columns).agg(F.count(F.lit(1)).alias("copies"))
     rows = F.array_sort(F.collect_list(F.struct(*columns, "copies")))
-    return chunked.groupBy(*keys, "chunk").agg(rows.alias("rows"))
+    return entries.groupBy(*keys, "chunk").agg(rows.alias("rows"))
 
 
 def unnest_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

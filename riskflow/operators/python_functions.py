@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .groups import split_groups
-
 Frame = pd.DataFrame
 
 
@@ -70,49 +68,61 @@ def combine_groups(
     partial: Callable[[Frame], Frame],
     merge: Callable[[Frame], Frame],
     schema: str | StructType,
-    large_group: int = 100_000,
-    salts: int = 16,
+    merge_width: int = 1000,
+    held_rows: int = 100_000,
 ) -> DataFrame:
-    """Run a user's function over the rows of each key.
-
-    ``partial`` turns rows of one key into one or few rows of ``schema``, which must
-    contain the keys. A group of up to ``large_group`` rows is one call of it. Rows
-    of a larger group are never brought together: ``partial`` runs on the batches of
-    every task before the shuffle, and ``merge`` reduces partial results of a key to
-    one such result, first within ``salts`` parts and then over all. For such groups
-    the outcome must not depend on how the rows are split up.
+    """Run a user's function over the rows of each key, without bringing them together.
+
+    ``partial`` turns some rows of a key into one or few rows of ``schema``, which must
+    contain the keys; ``merge`` turns such rows of a key into one such result. Both must
+    give the same however the rows are split up, at any size: a count is a count of rows
+    and then a sum, a distinct count is no such function.
+
+    Every task runs ``partial`` on its Arrow batches and keeps one merged result per key;
+    it hands on what it keeps where that grows beyond ``held_rows``. Results of
+    ``merge_width`` tasks are merged in one place, then those of all places.
     """
     keys = list(keys)
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    def reduce_batches(frames: Iterator[Frame]) -> Iterator[Frame]:
+    def of_each_key(function: Callable[[Frame], Frame], frame: Frame) -> Frame:
+        parts = [function(group) for _, group in frame.groupby(keys, dropna=False, sort=False)]
+        return pd.concat(parts, ignore_index=True)
+
+    def reduce_task(frames: Iterator[Frame]) -> Iterator[Frame]:
+        held: list[Frame] = []
+        rows, limit = 0, held_rows
         for frame in frames:
-            parts = [partial(group) for _, group in frame.groupby(keys, dropna=False, sort=False)]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    def merge_salted(frame: Frame) -> Frame:
-        return merge(frame.drop(columns="__salt"))
-
-    split = split_groups(df, keys, large_group)
-    ordinary = split.ordinary.groupBy(*keys).applyInPandas(partial, fields)
-    if split.large is None:
-        return ordinary
-    partials = split.large.mapInPandas(reduce_batches, fields)
-    salted = partials.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    large = (
-        salted.groupBy(*keys, "__salt")
-        .applyInPandas(merge_salted, fields)
+            if frame.empty:
+                continue
+            held.append(of_each_key(partial, frame))
+            rows += len(held[-1])
+            if rows > limit:
+                merged = of_each_key(merge, pd.concat(held, ignore_index=True))
+                held, rows = [merged], len(merged)
+                if rows > held_rows / 2:
+                    yield merged
+                    held, rows = [], 0
+        if held:
+            yield of_each_key(merge, pd.concat(held, ignore_index=True))
+
+    def merge_place(frame: Frame) -> Frame:
+        return merge(frame.drop(columns="__place"))
+
+    place = F.floor(F.spark_partition_id() / F.lit(merge_width)).alias("__place")
+    return (
+        df.mapInPandas(reduce_task, fields)
+        .select("*", place)
+        .groupBy(*keys, "__place")
+        .applyInPandas(merge_place, fields)
         .groupBy(*keys)
         .applyInPandas(merge, fields)
     )
-    return ordinary.unionByName(large)
 
 
-def cap_partitions(df: DataFrame, limit: int = 32) -> DataFrame:
-    """At most this many partitions, without a shuffle.
+def cap_partitions(df: DataFrame, limit: int) -> DataFrame:
+    """This many partitions, for a small result on its way to a sink.
 
-    For small results on their way to a sink: it also limits the tasks of the stage
-    that computes the result.
+    The result is shuffled, so that the stage that computes it keeps all its tasks.
     """
-    return df.coalesce(limit)
+    return df.repartition(limit)

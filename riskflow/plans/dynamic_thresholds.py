@@ -16,8 +16,8 @@ from ..functions.columns import quoted
 from ..functions.expressions import Resolver, column_resolver, config_column
 from ..functions.structs import ensure_struct_columns, field, field_names, set_fields
 from ..operators.aggregates import Aggregate, group_aggregate
-from ..operators.filters import apply_filters, rules_condition
-from ..operators.joins import full_join_groups, join_on_keys, not_null
+from ..operators.filters import rules_condition
+from ..operators.joins import join_on_keys, not_null
 
 Step = tuple[int, Calculation]
 
@@ -31,8 +31,9 @@ def dynamic_threshold(
 
     Calculations apply in order; a later field of the same name overwrites the
     earlier one. A calculation without group function takes its dataset's column as
-    it is and keeps one event row per matching dataset row, so its dataset should
-    be unique by key.
+    it is and keeps one event row per matching dataset row, whose values all such
+    calculations over that dataset take. A second such dataset gives its last row by
+    key, or must be unique by key if it has no order.
     """
     steps = []
     for i, calculation in enumerate(calculations):
@@ -40,7 +41,7 @@ def dynamic_threshold(
             steps.append((i, calculation))
         else:
             warnings.warn(f"unknown dataset {calculation.dataset_id!r} skipped", stacklevel=2)
-    by_key: dict[int, DataFrame | None] = {}
+    by_key: dict[int, list[DataFrame]] = {}
     result = {}
     for name, table in events.items():
         width = len(table.primary_key)
@@ -53,13 +54,13 @@ def dynamic_threshold(
 
 def _with_thresholds(
     table: EventTable,
-    values: DataFrame | None,
+    tables: Sequence[DataFrame],
     datasets: Mapping[str, Dataset],
     steps: Sequence[Step],
 ) -> DataFrame:
     events = df = table.df
-    if values is not None:
-        df = join_on_keys(events, values, table.primary_key, _key_names(len(table.primary_key)), "left")
+    for values in tables:
+        df = join_on_keys(df, values, table.primary_key, _key_names(len(table.primary_key)), "left")
     computed = set(df.columns)
     derived = {name: field("derived_values", name) for name in field_names(events, "derived_values")}
     dynamic = {
@@ -95,40 +96,60 @@ def _with_thresholds(
 
 def _values_by_key(
     datasets: Mapping[str, Dataset], steps: Sequence[Step], width: int
-) -> DataFrame | None:
-    """What all calculations give, by key.
+) -> list[DataFrame]:
+    """What all calculations give, by key: tables for left joins onto the events.
 
-    Grouped calculations over one dataset and keys are one aggregation. Results are
-    joined by key with each other, so that the events, which may have a key with very
-    many rows, are shuffled and joined once, as the side of a left join that adaptive
-    execution can split.
+    Grouped calculations over one dataset and keys are one aggregation, and all their
+    results one table with a row per key. Calculations without group function over one
+    dataset and keys are one table, of which the first may repeat keys.
     """
     names = _key_names(width)
-    groups: dict[tuple[str, tuple[str, ...]], list[Step]] = {}
+    groups: dict[tuple[bool, str, tuple[str, ...]], list[Step]] = {}
     for step in steps:
-        if step[1].derived.functions:
-            groups.setdefault((step[1].dataset_id, step[1].keys), []).append(step)
-    frames = [
-        _grouped(datasets[dataset_id], keys, members, names)
-        for (dataset_id, keys), members in groups.items()
-    ]
-    frames += [
-        _as_it_is(datasets[c.dataset_id], i, c, names)
-        for i, c in steps
-        if not c.derived.functions
-    ]
-    return full_join_groups(frames, names) if frames else None
-
-
-def _as_it_is(
-    dataset: Dataset, i: int, calculation: Calculation, key_names: Sequence[str]
+        grouped = bool(step[1].derived.functions)
+        groups.setdefault((grouped, step[1].dataset_id, step[1].keys), []).append(step)
+    results, rows = [], []
+    for (grouped, dataset_id, keys), members in groups.items():
+        if grouped:
+            results.append(_grouped(datasets[dataset_id], keys, members, names))
+        else:
+            rows.append(_as_they_are(datasets[dataset_id], keys, members, names, first=not rows))
+    if len(results) > 1:
+        # A column is set in one of the rows of a key only.
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
+        values = [c for c in stacked.columns if c not in names]
+        results = [stacked.groupBy(*names).agg(*[F.any_value(c, True).alias(c) for c in values])]
+    return results + rows
+
+
+def _as_they_are(
+    dataset: Dataset, keys: Sequence[str], steps: Sequence[Step], key_names: Sequence[str], first: bool
 ) -> DataFrame:
-    """Keys and column of a calculation without group function."""
-    rows = apply_filters(dataset.df.filter(not_null(calculation.keys)), calculation.filters)
-    column = calculation.derived.column
-    return rows.select(
-        *_keys_as(calculation.keys, key_names), quoted(column).alias(_derived_name(i, column))
-    )
+    """Keys and columns of calculations without group function, a row per dataset row.
+
+    Events can take several rows of one such table only. Of the others a key has its last
+    row by the dataset's order; without an order a key with several rows fails the query.
+    """
+    conditions = {i: rules_condition(c.filters, dataset.df.schema) for i, c in steps}
+    rows = dataset.df.filter(not_null(keys))
+    if all(c is not None for c in conditions.values()):
+        rows = rows.filter(reduce(or_, conditions.values()))
+    columns = {}
+    for i, calculation in steps:
+        value, condition = quoted(calculation.derived.column), conditions[i]
+        name = _derived_name(i, calculation.derived.column)
+        columns[name] = value if condition is None else F.when(condition, value)
+    order = [quoted(c).alias(f"__order_{k}") for k, c in enumerate(dataset.order_by)]
+    if not first:
+        rows = rows.select(*_keys_as(keys, key_names), *order, F.struct(*[c.alias(n) for n, c in columns.items()]).alias("__row"))
+        if order:
+            place = F.struct(*[f"__order_{k}" for k in range(len(order))], "__row")
+            row = F.max_by("__row", place)
+        else:
+            repeated = F.raise_error(F.lit("a second dataset without order repeats a key"))
+            row = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.any_value("__row"))
+        return rows.groupBy(*key_names).agg(row.alias("__row")).select(*key_names, "__row.*")
+    return rows.select(*_keys_as(keys, key_names), *[c.alias(n) for n, c in columns.items()])
 
 
 def _grouped(

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 
 def json_texts(document: Column) -> Column:
-    """Records of a JSON document as texts: those of an array, or the one object.
+    """Records of a JSON document as texts: those of an array, or the one value.
 
-    Null where the document is not JSON.
+    Null where the document is not exactly one JSON value, also where something follows
+    it. Numbers of up to 38 digits keep all of them; keys of an object come in the order
+    of their names. A document may be as large as a variant value.
     """
-    text = F.trim(document)
-    as_array = F.when(text.startswith("["), text).otherwise(
-        F.concat(F.lit("["), text, F.lit("]"))
-    )
-    return F.from_json(as_array, "array<string>")
+    # The parser stops where a value ends. It has read all of the document if it came to
+    # a key after it that the document cannot hold, its own hash.
+    end = F.concat(F.lit("end"), F.xxhash64(document).cast("string"))
+    wrapped = F.concat(F.lit('{"d":'), document, F.lit(',"'), end, F.lit('":1}'))
+    parts = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
+    value = parts["d"]
+    records = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    texts = F.transform(records, lambda record: F.coalesce(F.to_json(record), F.lit("null")))
+    return F.when((F.size(parts) == 2) & F.map_contains_key(parts, end), texts)
 
 
 def explode_records(documents: DataFrame, strict: bool = True) -> DataFrame:
@@ -24,7 +30,7 @@ def explode_records(documents: DataFrame, strict: bool = True) -> DataFrame:
     Documents that are not JSON fail the query, or are left out if not ``strict``
     (:func:`bad_documents` gives them).
     """
-    present = documents.filter(F.length(F.trim("value")) > 0)
+    present = _present(documents)
     texts = json_texts(F.col("value"))
     if strict:
         texts = F.coalesce(
@@ -35,8 +41,11 @@ def explode_records(documents: DataFrame, strict: bool = True) -> DataFrame:
 
 def bad_documents(documents: DataFrame) -> DataFrame:
     """The documents that are not JSON."""
-    present = documents.filter(F.length(F.trim("value")) > 0)
-    return present.filter(json_texts(F.col("value")).isNull())
+    return _present(documents).filter(json_texts(F.col("value")).isNull())
+
+
+def _present(documents: DataFrame) -> DataFrame:
+    return documents.filter(F.col("value").rlike(r"\S"))
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
@@ -55,6 +64,10 @@ def ingest_json(
     return explode_records(read_documents(spark, path, lines), strict)
 
 
-def with_record_ids(records: DataFrame) -> DataFrame:
-    """Give records a unique ``id``, to be kept by writing the result to a table."""
-    return records.select(F.monotonically_increasing_id().alias("id"), "data")
+def with_record_ids(records: DataFrame, batch_id: int | None = None) -> DataFrame:
+    """Give records an ``id``, fixed only once the result is written to a table.
+
+    It is unique within one run; of a stream, ``batch_id`` and ``id`` together are.
+    """
+    batch = [] if batch_id is None else [F.lit(batch_id).cast("bigint").alias("batch_id")]
+    return records.select(*batch, F.monotonically_increasing_id().alias("id"), "data")

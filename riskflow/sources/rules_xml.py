@@ -39,8 +39,12 @@ RULE_SCHEMA = T.StructType(
 
 
 def read_calculations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``Calculation`` element of the XML files at the path."""
-    return spark.read.option("rowTag", "Calculation").schema(CALCULATION_SCHEMA).xml(path)
+    """One row per ``Calculation`` element of the XML files at the path, in no set order.
+
+    An element that cannot be read fails the query.
+    """
+    reader = spark.read.option("rowTag", "Calculation").option("mode", "FAILFAST")
+    return reader.schema(CALCULATION_SCHEMA).xml(path)
 
 
 def parse_rule(text: Column) -> Column:
@@ -49,9 +53,31 @@ def parse_rule(text: Column) -> Column:
 
 
 def load_calculations(spark: SparkSession, path: str) -> list[Calculation]:
-    """Calculations of a rule file as config values, in file order."""
-    rows = read_calculations(spark, path).collect()
-    return [calculation(row.asDict(recursive=True)) for row in rows]
+    """Calculations of rule files as config values, by path and then place in the file.
+
+    Raises where a file is not well-formed XML, or a calculation or filter lacks what
+    it cannot do without: a rule that lost its filter would hold for everything.
+    """
+    files = spark.read.text(path, wholetext=True)
+    # XPath reads a whole file or fails, and counts what has to be found.
+    expected = files.select(F.expr("xpath_int(value, 'count(//Calculation)')").alias("n"))
+    total = expected.agg(F.sum("n")).first()[0] or 0
+    lists = (
+        spark.read.option("rowTag", "DynamicThresholdCalculations")
+        .option("mode", "FAILFAST")
+        .schema(_list_of("Calculation", CALCULATION_SCHEMA))
+        .xml(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+            F.posexplode("Calculation").alias("place", "element"),
+        )
+    )
+    rows = lists.orderBy("path", "start", "row", "place").collect()
+    if len(rows) != total:
+        raise ValueError(f"{total} calculations at {path}, of which {len(rows)} can be read")
+    return [calculation(row["element"].asDict(recursive=True)) for row in rows]
 
 
 def calculations(config: Mapping[str, Any]) -> list[Calculation]:
@@ -68,7 +94,7 @@ def calculation(element: Mapping[str, Any]) -> Calculation:
     derived = element.get("DerivedValues") or {}
     functions = (derived.get("GroupFunction") or "").split(",")
     return Calculation(
-        dataset_id=element.get("DatasetId"),
+        dataset_id=_required(element, "DatasetId"),
         keys=tuple(_children(element, "Keys", "Key")),
         filters=tuple(filter_rule(f) for f in _children(element, "Filters", "Filter")),
         derived=DerivedValues(
@@ -88,7 +114,15 @@ def calculation(element: Mapping[str, Any]) -> Calculation:
 
 def filter_rule(element: Mapping[str, Any]) -> FilterRule:
     """A filter from a mapping with ``Column``, ``Operator`` and ``Value``."""
-    return FilterRule(element.get("Column"), element.get("Operator"), element.get("Value"))
+    column, operator = _required(element, "Column"), _required(element, "Operator")
+    return FilterRule(column, operator, element.get("Value"))
+
+
+def _required(element: Mapping[str, Any], name: str) -> Any:
+    value = element.get(name)
+    if value is None or not str(value).strip():
+        raise ValueError(f"no {name} in {dict(element)}")
+    return value
 
 
 def retained_columns(config: Mapping[str, Any]) -> list[str]:

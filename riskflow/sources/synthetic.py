@@ -8,14 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _mixed(value: Column) -> Column:
+    """Hex text that looks random; md5, so that any engine gives the same."""
+    return F.md5(value.cast("binary"))
+
+
 def _pick(row_id: Column, seed: int, stream: int, size: int) -> Column:
     """A number below ``size`` from the row id; equal ids give equal numbers.
 
-    Every factor is reduced before it is multiplied, so no product leaves 64 bits.
+    The first 15 hex digits of a hash: no number of rows makes the choices repeat.
     """
-    prime, factor = F.lit(1_000_003), 7919 + 2 * stream
-    mixed = F.pmod(F.pmod(row_id, prime) * factor + (seed + 13 * stream), prime)
-    return F.pmod(F.pmod(mixed * mixed, prime), F.lit(size)).cast("int")
+    text = F.concat(row_id.cast("string"), F.lit(f":{seed}:{stream}"))
+    digits = F.substring(_mixed(text), 1, 15)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(size)).cast("int")
 
 
 def with_choice(
@@ -30,10 +35,15 @@ def with_sample(
     df: DataFrame, row_id: str, name: str, items: Sequence[str], most: int = 5, seed: int = 42
 ) -> DataFrame:
     """Add a list column with up to ``most`` different items."""
-    ring = F.array(*map(F.lit, [*items, *items]))
-    start = _pick(F.col(row_id), seed, 2, len(items)) + 1
+    row = F.col(row_id).cast("string")
+    # Items in the order of their hashes with the row: any sample can come up.
+    entries = [
+        F.struct(_mixed(F.concat(row, F.lit(f":{seed}:2:{item}"))).alias("h"), F.lit(item).alias("item"))
+        for item in items
+    ]
     length = _pick(F.col(row_id), seed, 3, min(most, len(items)) + 1)
-    return df.withColumn(name, F.slice(ring, start, length))
+    drawn = F.slice(F.array_sort(F.array(*entries)), F.lit(1), length)
+    return df.withColumn(name, F.transform(drawn, lambda entry: entry["item"]))
 
 
 def synthetic_table(

@@ -98,7 +98,8 @@ def start_staging_stream(
 
     Spark may run a batch twice after a failure. All output of a batch, its flag
     included, goes to that batch's own partition and replaces what was there, so
-    the outcome counts each record once.
+    the outcome counts each record once. ``process`` gets ``batch_id``, ``id`` and
+    ``data``; the first two together are unique over the whole stream.
     """
     documents = (
         spark.readStream.schema("value string")
@@ -110,7 +111,8 @@ def start_staging_stream(
         session = batch.sparkSession
         part = f"batch_id={batch_id}"
         stage = f"{folder}/staged/{part}"
-        with_record_ids(explode_records(batch)).write.mode("overwrite").parquet(stage)
+        records = with_record_ids(explode_records(batch), batch_id)
+        records.write.mode("overwrite").parquet(stage)
         staged = session.read.parquet(stage)
         process(staged).write.mode("overwrite").parquet(f"{folder}/results/{part}")
         flag = session.range(1).select(

@@ -275,3 +275,20 @@ def test_parse_sequence():
     assert parse_sequence("(2024-01-01, 2024-02-01)") == ["2024-01-01", "2024-02-01"]
     assert parse_sequence("a, b") == ["a", "b"]
     assert parse_sequence((1, 2)) == [1, 2]
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    row = spark.range(1).select(
+        list_in(F.lit("A,\tB\n,C"), "B").alias("text"), list_in(F.lit("A,\tB\n,C"), ["\rB "]).alias("items")
+    )
+    assert tuple(row.first()) == (True, True)
+
+
+def test_dates_and_whole_numbers_in_expressions(spark):
+    df = spark.sql("select date'2024-02-01' as d, 9007199254740993L as n, -7 as m, 2 as two, 7.5D as x")
+    texts = {
+        "ev.d > 2024-01-08": True, "ev.d >= 2024-02-02": False, "ev.d == '2024-02-01'": True,
+        "ev.n // 1": 9007199254740993, "ev.m // ev.two": -4, "ev.m // -2": 3, "ev.x // 2": 3, "ev.n // 0": None,
+    }
+    got = df.select(*[config_column(text).alias(str(i)) for i, text in enumerate(texts)]).first()
+    assert list(got) == list(texts.values())

@@ -212,6 +212,31 @@ def test_ungrouped_calculation_keeps_every_match(spark, events, history):
     assert result.count() == 3 * 2 + 2 + 1 + 1
 
 
+def test_ungrouped_calculations_of_one_dataset_share_its_rows(spark, events, history, capsys):
+    many = spark.range(30).select(F.lit("k").alias("account"), F.col("id").cast("double").alias("value"))
+    event = spark.createDataFrame([(1, "k", 1.0)], "event_id int, account_id string, amount double")
+    twice = [
+        calculation((), (), [("one", "float64", "ds.value")]), calculation((), (), [("two", "float64", "ds.value")])
+    ]
+    table = {"e": EventTable(event, ("account_id",))}
+    result = dynamic_threshold(table, {"history": Dataset(many, ("account",))}, twice)["e"].df
+    got = [r["dynamic_thresholds"] for r in result.collect()]
+    assert len(got) == 30 and all(r["one"] == r["two"] for r in got)
+    second = [*twice, calculation((), (), [("last", "float64", "ds.value")], dataset="other")]
+    other = many.withColumn("seq", -F.col("value"))
+    for order, fails in ((("seq",), False), ((), True)):
+        datasets = {"history": Dataset(many, ("account",)), "other": Dataset(other, ("account",), order)}
+        result = dynamic_threshold(table, datasets, second)["e"].df
+        if fails:
+            with pytest.raises(PySparkException):
+                result.collect()
+        else:
+            assert {r["dynamic_thresholds"]["last"] for r in result.collect()} == {0.0}
+            assert result.count() == 30
+            result.explain()
+            assert "FullOuter" not in capsys.readouterr().out
+
+
 def test_first_and_last_follow_the_dataset_order(spark, events, history):
     calculations = [
         calculation(("first", "last"), ()),

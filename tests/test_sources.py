@@ -47,6 +47,39 @@ RULE = """<Rule><DynamicThresholdCalculations>
 </DynamicThresholdCalculations></Rule>"""
 
 
+def test_csv_as_other_tools_write_it(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('t,id\n"say ""hi"", now",1\n" s ",2\n"",3\n,4\n"two\nlines",5\n')
+    got = tables.read_csv(spark, str(tmp_path / "a.csv"), "id int, t string", line_breaks=True)
+    want = [(1, 'say "hi", now'), (2, " s "), (3, ""), (4, None), (5, "two\nlines")]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    with pytest.raises(ValueError):
+        tables.read_csv(spark, str(tmp_path / "a.csv"), "id int, other string")
+    texts = ["", None, " s ", 'a\\"b', "a\\", '"', "x,y", "l1\nl2", "tab\t", "\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    tables.write_csv(df, str(tmp_path / "out"))
+    back = tables.read_csv(spark, str(tmp_path / "out"), df.schema, line_breaks=True)
+    assert sorted(tuple(r) for r in back.collect()) == list(enumerate(texts))
+
+
+def test_broken_rules_fail(spark, tmp_path):
+    for i, (old, new) in enumerate(
+        [("</Column><Operator>", "<Operator>"), ("<Operator>between</Operator>", ""),
+         ("<DatasetId>ds3</DatasetId>", ""), ("</Rule>", "")]
+    ):
+        (tmp_path / f"{i}.xml").write_text(RULE.replace(old, new))
+        with pytest.raises((PySparkException, Py4JJavaError, ValueError)):
+            rules_xml.load_calculations(spark, str(tmp_path / f"{i}.xml"))
+
+
+@pytest.mark.parametrize("larger", ["a.xml", "b.xml"])
+def test_rules_come_by_file_and_place(spark, tmp_path, larger):
+    for name in ("a.xml", "b.xml"):
+        padding = "<!--" + "x" * 5000 + "-->" if name == larger else ""
+        (tmp_path / name).write_text(RULE.replace("ds2", name).replace("<Rule>", "<Rule>" + padding))
+    got = [c.dataset_id for c in rules_xml.load_calculations(spark, str(tmp_path))]
+    assert got == ["a.xml", "ds3", "b.xml", "ds3"]
+
+
 def test_load_calculations(spark, tmp_path):
     (tmp_path / "rule.xml").write_text(RULE)
     first, second = rules_xml.load_calculations(spark, str(tmp_path))
@@ -102,6 +135,18 @@ def test_bad_json(spark, tmp_path):
     assert [r["value"] for r in json_records.bad_documents(documents).collect()] == ["not json"]
 
 
+def test_json_loses_nothing(spark, tmp_path):
+    lines = ['[{"a":1}] {"a":2}', '{"a":1}]garbage', '{"a":1},"x":2', '{"a":1} {"b":2}', '1,"end":1},[2', "[", '{"a":1}\t']
+    good = ['[{"a":12345678901234567890.123456789012}]', '["x", null, 5]', "null", "[]"]
+    (tmp_path / "x.json").write_text("\n".join(lines + good))
+    documents = json_records.read_documents(spark, str(tmp_path))
+    assert [r["value"] for r in json_records.bad_documents(documents).collect()] == lines[:-1]
+    got = [r["data"] for r in json_records.explode_records(documents, strict=False).collect()]
+    assert got == ['{"a":1}', '{"a":12345678901234567890.123456789012}', '"x"', "null", "5", "null"]
+    with pytest.raises(PySparkException):
+        json_records.explode_records(documents).collect()
+
+
 def test_query_store(spark, tmp_path):
     (tmp_path / "big.sql").write_text("select id from {t}\nwhere id > 7")
     (tmp_path / "notes.txt").write_text("not a query")
@@ -201,6 +246,7 @@ def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
     seen = []
 
     def fails_once(staged):
+        assert staged.columns == ["batch_id", "id", "data"]
         seen.append(staged.count())
         if len(seen) == 2:
             raise RuntimeError("lost")
