@@ -21,16 +21,18 @@ hash like any other. Without labelled good documents every document stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stored import stored
-from .word_hashes import WordHashes, mixed, multipliers
+from .word_hashes import REMEMBERED, WordHashes, mixed, multipliers
 
 WORD_BUCKETS = 1 << 14
 SHAPE_BUCKETS = 1 << 10
@@ -38,6 +40,8 @@ BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 TARGET_DOCS = 20_000
 LOSS = 0.001
 SMOOTHING = 1.0
+#: Texts are hashed together until they have so many words.
+WORDS_AT_ONCE = 1 << 18
 FACTORS = multipliers(4)
 SHAPES = str.maketrans(
     {chr(c): "A" for c in range(65, 91)} | {chr(c): "a" for c in range(97, 123)} | {chr(c): "0" for c in range(48, 58)}
@@ -49,28 +53,71 @@ def _shape(word: str) -> str:
     return "".join(c for i, c in enumerate(marks) if c != marks[i - 1 : i])[:12]
 
 
-def _letters(word: str) -> str:
-    return word.lower()
+class _Words(dict):
+    """Numbers of words; ``words`` and ``shapes`` hold the two hashes of each number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words, self.shapes = array("Q"), array("Q")
+        self._shape_hashes = WordHashes(_shape)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(xxhash.xxh64_intdigest(word.lower()))
+        self.shapes.append(self._shape_hashes[word])
+        return number
 
 
 @lru_cache(maxsize=1)
-def _hashes() -> tuple[WordHashes, WordHashes]:
-    return WordHashes(_letters), WordHashes(_shape)
+def _known() -> _Words:
+    return _Words()
+
+
+def _buckets(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Buckets of all n-grams of the texts, some texts at a time, and the n-grams of each."""
+    if len(_known()) >= REMEMBERED:
+        _known.cache_clear()
+    known, numbers, size = _known(), [], 0
+    for text in texts:
+        split = (text or "").split()
+        numbers.append(np.fromiter(map(known.__getitem__, split), dtype=np.int64, count=len(split)))
+        size += len(split)
+        if size >= WORDS_AT_ONCE:
+            yield _joined(known, numbers)
+            numbers, size = [], 0
+            # Numbers are given anew only where none is in use.
+            if len(known) >= REMEMBERED:
+                _known.cache_clear()
+                known = _known()
+    if numbers:
+        yield _joined(known, numbers)
+
+
+def _joined(known: _Words, numbers: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """Word, pair and shape pair of every word that has one before it, text after text."""
+    sizes = np.array([len(n) for n in numbers], dtype=np.int64)
+    every = np.concatenate(numbers)
+    words, shapes = np.array(known.words, dtype=np.uint64)[every], np.array(known.shapes, dtype=np.uint64)[every]
+    first = np.zeros(len(every) + 1, dtype=bool)
+    first[np.cumsum(sizes) - sizes] = True
+    first = first[:-1]
+    before, own_before = np.roll(words, 1), np.roll(shapes, 1)
+    repeats = ~first & (words == before)
+    shapes = shapes + repeats.astype(np.uint64)
+    own_before = own_before + np.roll(repeats, 1).astype(np.uint64)
+    out = np.empty((len(every), 3), dtype=np.int64)
+    out[:, 0] = words % np.uint64(WORD_BUCKETS)
+    out[:, 1] = mixed(before * FACTORS[0] + words * FACTORS[1]) % np.uint64(WORD_BUCKETS)
+    out[:, 2] = mixed(own_before * FACTORS[2] + shapes * FACTORS[3]) % np.uint64(SHAPE_BUCKETS) + np.uint64(WORD_BUCKETS)
+    # The first word of a text is in no pair.
+    there = np.ones((len(every), 3), dtype=bool)
+    there[first, 1:] = False
+    return out[there], (3 * sizes - 2 * (sizes > 0)).tolist()
 
 
 def buckets_of(text: str | None) -> np.ndarray:
     """The bucket of every n-gram of a text."""
-    split = (text or "").split()
-    if not split:
-        return np.zeros(0, dtype=np.int64)
-    words, shapes = (hashes.of(split) for hashes in _hashes())
-    shapes[1:] += (words[1:] == words[:-1]).astype(np.uint64)
-    out = [
-        words % np.uint64(WORD_BUCKETS),
-        mixed(words[:-1] * FACTORS[0] + words[1:] * FACTORS[1]) % np.uint64(WORD_BUCKETS),
-        mixed(shapes[:-1] * FACTORS[2] + shapes[1:] * FACTORS[3]) % np.uint64(SHAPE_BUCKETS) + np.uint64(WORD_BUCKETS),
-    ]
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate([found for found, _ in _buckets([text])])
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -88,8 +135,8 @@ def _counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                total += np.bincount(buckets_of(text.as_py()), minlength=BUCKETS)
+            for found, _ in _buckets(batch.column("text").to_pylist()):
+                total += np.bincount(found, minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
@@ -103,13 +150,20 @@ def _counts(docs: DataFrame) -> np.ndarray:
 def _weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [buckets_of(text.as_py()) for text in batch.column("text")]
+            texts = batch.column("text").to_pylist()
+            sizes, weights = [], []
+            for found, own in _buckets(texts):
+                logs, end = ratios[found], 0
+                for size in own:
+                    weights.append(float(logs[end : end + size].sum()))
+                    end += size
+                sizes += own
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(b) for b in found], pa.int64()),
-                    pa.array([float(ratios[b].sum()) for b in found], pa.float64()),
-                    pa.array([len(text.as_py() or "") for text in batch.column("text")], pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(weights, pa.float64()),
+                    pa.array([len(text or "") for text in texts], pa.int64()),
                 ],
                 ["doc_id", "n_grams", "log_weight", "n_chars"],
             )
