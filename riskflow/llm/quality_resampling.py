@@ -24,6 +24,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from .stored import stored
 from .word_hashes import REMEMBERED, WordHashes, mixed, multipliers
 
+#: Powers of two.
 WORD_BUCKETS = 1 << 14
 SHAPE_BUCKETS = 1 << 10
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -43,14 +45,20 @@ SMOOTHING = 1.0
 #: Texts are hashed together until they have so many words.
 WORDS_AT_ONCE = 1 << 18
 FACTORS = multipliers(4)
-SHAPES = str.maketrans(
-    {chr(c): "A" for c in range(65, 91)} | {chr(c): "a" for c in range(97, 123)} | {chr(c): "0" for c in range(48, 58)}
-)
 
 
-def _shape(word: str) -> str:
-    marks = "".join("a" if ord(c) > 127 and c.islower() else "A" if ord(c) > 127 and c.isupper() else c for c in word.translate(SHAPES))
-    return "".join(c for i, c in enumerate(marks) if c != marks[i - 1 : i])[:12]
+class _Marks(dict):
+    """The mark of a character, by its number, as ``str.translate`` looks it up."""
+
+    def __missing__(self, number: int) -> str:
+        c = chr(number)
+        self[number] = mark = "0" if c in "0123456789" else "a" if c.islower() else "A" if c.isupper() else c
+        return mark
+
+
+def _shape(marks: str) -> str:
+    """Marks of a word without repeats, up to a length."""
+    return "".join(mark for mark, _ in groupby(marks))[:12]
 
 
 class _Words(dict):
@@ -59,12 +67,13 @@ class _Words(dict):
     def __init__(self) -> None:
         super().__init__()
         self.words, self.shapes = array("Q"), array("Q")
-        self._shape_hashes = WordHashes(_shape)
+        # Words have few marks between them, so shapes are remembered by marks.
+        self._marks, self._shape_hashes = _Marks(), WordHashes(_shape)
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self.words)
         self.words.append(xxhash.xxh64_intdigest(word.lower()))
-        self.shapes.append(self._shape_hashes[word])
+        self.shapes.append(self._shape_hashes[word.translate(self._marks)])
         return number
 
 
@@ -106,9 +115,9 @@ def _joined(known: _Words, numbers: list[np.ndarray]) -> tuple[np.ndarray, list[
     shapes = shapes + repeats.astype(np.uint64)
     own_before = own_before + np.roll(repeats, 1).astype(np.uint64)
     out = np.empty((len(every), 3), dtype=np.int64)
-    out[:, 0] = words % np.uint64(WORD_BUCKETS)
-    out[:, 1] = mixed(before * FACTORS[0] + words * FACTORS[1]) % np.uint64(WORD_BUCKETS)
-    out[:, 2] = mixed(own_before * FACTORS[2] + shapes * FACTORS[3]) % np.uint64(SHAPE_BUCKETS) + np.uint64(WORD_BUCKETS)
+    out[:, 0] = words & np.uint64(WORD_BUCKETS - 1)
+    out[:, 1] = mixed(before * FACTORS[0] + words * FACTORS[1]) & np.uint64(WORD_BUCKETS - 1)
+    out[:, 2] = (mixed(own_before * FACTORS[2] + shapes * FACTORS[3]) & np.uint64(SHAPE_BUCKETS - 1)) + np.uint64(WORD_BUCKETS)
     # The first word of a text is in no pair.
     there = np.ones((len(every), 3), dtype=bool)
     there[first, 1:] = False
