@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from riskflow.llm.quality_resampling import buckets_of, kth_largest, log_ratios, resample, without_rejected
+from riskflow.llm.quality_resampling import _Words, buckets_of, kth_largest, log_ratios, resample, without_rejected
 from riskflow.llm.toxicity_chain import best_threshold, features_of, fit, toxicity
 
 
@@ -50,6 +50,19 @@ def test_ratio_of_models():
     assert ratios[buckets_of("c")].sum() > 0 > ratios[buckets_of("z z")].sum()
 
 
+def test_shapes_of_words():
+    known = _Words()
+
+    def shape(word):
+        return known.shapes[known[word]]
+
+    assert shape("apple") == shape("a") == shape("äß") != shape("Apple")
+    assert shape("Äpfel") == shape("Apple") != shape("APPLE")
+    assert shape("12:30") == shape("9:5") != shape("٣:٤")
+    assert shape("!!") == shape("!") != shape("?")
+    assert shape("aB" * 6) == shape("aB" * 600) != shape("aB" * 5)
+
+
 def test_chain_on_held_out_texts(spark):
     rows = labelled(3, 1500)
     docs = spark.createDataFrame([r[:2] for r in rows] + [(5000, None), (None, "scum"), (5001, "")], "doc_id long, text string")
