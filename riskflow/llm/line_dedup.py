@@ -16,8 +16,8 @@ line repeated in a third of all documents is one line here.
 Defined cases: lines are compared without white space at their ends. Blank lines always
 stay. Lines under ``MIN_CHARS`` characters are compared exactly. A line goes if any earlier
 one (by document id, nulls last, then place) is equal or within one edit, whether that one
-stays or not. A null text is an empty one; repeated rows of an id are one document whose
-lines are counted once per row.
+stays or not. A null text is an empty one. Rows of one id are at the same places, so none of
+their lines is earlier than another's at its place; each row loses its own lines only.
 """
 
 from __future__ import annotations
@@ -180,11 +180,20 @@ def _meetings(lines: DataFrame) -> DataFrame:
     return met.select(F.col("line_id").alias("a"), F.explode(partners).alias("b")).filter("b < a").distinct()
 
 
+def _source(docs: DataFrame, doc_id: Column, text_column: str) -> DataFrame:
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+
+
 def near_duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Lines that go: doc_id, line_no (from 0) and the document and line that they repeat."""
-    source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    lines = _lines(source)
-    distinct, texts = _candidate_lines(source, lines)
+    return _gone(_source(docs, F.col(id_column).cast("bigint"), text_column)).drop("row")
+
+
+def _gone(source: DataFrame) -> DataFrame:
+    """Lines that go, with ``row``, which tells apart rows of one id that have other texts."""
+    lines = _lines(source, "row")
+    distinct, texts = _candidate_lines(source.drop("row"), lines)
     pairs = _meetings(texts)
     own = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"), *KEY)
     other = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"), F.col("seen").alias("seen_b"))
@@ -198,12 +207,13 @@ def near_duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column
     decided = distinct.select(*KEY, "seen").join(close, KEY, "left")
     decided = decided.select(*KEY, "seen", F.least("seen", F.coalesce("near_seen", "seen")).alias("kept"))
     # All rows of a line with an earlier partner go; of the others all but the first.
-    every = lines.select("doc_id", "line_no", *KEY)
+    every = lines.select("doc_id", "row", "line_no", *KEY)
     gone = every.join(decided, KEY).withColumn("here", _place()).filter("kept < seen or seen < here")
     kept_line = F.pmod("kept", F.lit(LINES).cast("decimal(11,0)")).cast("int")
     kept_document = ((F.col("kept") - kept_line) / F.lit(LINES).cast("decimal(11,0)")).cast("decimal(20,0)")
     return gone.select(
         "doc_id",
+        "row",
         "line_no",
         F.when(kept_document < F.lit(NO_DOCUMENT).cast("decimal(20,0)"), kept_document).cast("bigint").alias("kept_doc_id"),
         kept_line.alias("kept_line_no"),
@@ -213,15 +223,15 @@ def near_duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every document with the lines that stay: doc_id, n_lines, n_dropped, text."""
     gone = (
-        near_duplicate_lines(docs, id_column, text_column)
-        .distinct()
-        .groupBy("doc_id")
+        _gone(_source(docs, F.col(id_column).cast("bigint"), text_column))
+        .groupBy("doc_id", "row")
         .agg(F.collect_set("line_no").alias("gone"))
     )
-    source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    source = _source(docs, F.col(id_column), text_column)
     lines = F.split("text", "\n")
     none = F.array().cast("array<int>")
-    joined = source.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row") == F.col("g.row"))
+    joined = source.alias("d").join(gone.alias("g"), same, "left")
     marked = joined.select("d.doc_id", "d.text", F.coalesce("g.gone", none).alias("gone"))
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i))
     return marked.select(

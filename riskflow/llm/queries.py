@@ -12,7 +12,7 @@ from .chat_format import conversation_digests, format_windows
 from .decontamination import benchmark_leaks
 from .exact_dedup import exact_duplicates
 from .html_extraction import extract_main_text
-from .line_dedup import near_duplicate_lines
+from .line_dedup import dedup_lines, near_duplicate_lines
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .quality_resampling import resample
@@ -42,6 +42,47 @@ def query(name: str, sql: str | None = None) -> Callable:
 @query(
     "op1_line_dedup",
     r"""
+    with split as (
+        select doc_id, string_split(coalesce(text, ''), chr(10)) as raws from documents
+    ), raw as (
+        select doc_id, unnest(raws) as raw, unnest(range(len(raws))) as line_no from split
+    ), lines as (
+        select *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as line from raw
+    ), firsts as (
+        select line, min(row(doc_id, line_no)) as seen from lines where line <> '' group by line
+    ), sizes as (
+        select *, unnest(list_distinct([(length(line) - 1) // 8 * 4, length(line) // 8 * 4, (length(line) + 1) // 8 * 4])) as part
+        from firsts where length(line) >= 16
+    ), parts as (
+        select line, seen, part, 1 as side, left(line, part) as own from sizes
+        union all
+        select line, seen, part, 2, right(line, part) from sizes
+    ), near as (
+        select distinct a.line
+        from parts a join parts b on a.part = b.part and a.side = b.side and a.own = b.own and b.seen < a.seen
+        where abs(length(a.line) - length(b.line)) <= 1
+            and (with recursive same(n) as (
+                select 0 union all
+                select n + 1 from same where n < length(a.line) and substr(a.line, n + 1, 1) = substr(b.line, n + 1, 1)
+            ) select substr(a.line, max(n) + 1 + (length(a.line) >= length(b.line))::int)
+                = substr(b.line, max(n) + 1 + (length(b.line) >= length(a.line))::int) from same)
+    ), kept as (
+        select l.*, l.line = '' or (f.seen = row(l.doc_id, l.line_no) and n.line is null) as stays
+        from lines l left join firsts f using (line) left join near n using (line)
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_dropped,
+        coalesce(string_agg(raw, chr(10) order by line_no) filter (stays), '') as text
+    from kept group by doc_id
+    """,
+)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the lines that stay."""
+    return dedup_lines(table(spark, folder, "documents"))
+
+
+@query(
+    "op1_line_decisions",
+    r"""
     with split as (
         select doc_id, string_split(coalesce(text, ''), chr(10)) as raws from documents
     ), raw as (
@@ -73,7 +114,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     where near_seen is not null or seen <> struct_pack(d := doc_id, n := line_no)
     """,
 )
-def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+def line_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that go, and what they repeat."""
     return near_duplicate_lines(table(spark, folder, "documents"))
 

@@ -128,6 +128,22 @@ def test_line_edges(spark):
     assert dedup_lines(frame.withColumn("text", F.lit(None).cast("string"))).filter("text = ''").count() == 4
 
 
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    docs = [(1, "first line\nsecond line"), (1, "third line\nfirst line"), (1, "third line\nfirst line"), (2, None)]
+    rows = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in rows)
+    assert got == [(1, 2, 0, "first line\nsecond line"), (1, 2, 1, "third line"), (1, 2, 1, "third line"), (2, 1, 0, "")]
+
+
+def test_line_query_returns_all_documents(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in QUERIES["op1_line_dedup"](spark, sf_dir).collect()}
+    assert rows.keys() == docs.keys() and any(r["n_dropped"] for r in rows.values())
+    for doc_id, r in rows.items():
+        assert r["n_lines"] == len(docs[doc_id].split("\n"))
+        assert r["n_dropped"] or r["text"] == docs[doc_id]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab", max_size=6), st.text("ab", max_size=6))
 def test_plain_distance(a, b):
