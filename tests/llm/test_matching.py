@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from riskflow.llm import exact_dedup
-from riskflow.llm.decontamination import SPAN, benchmark_leaks, best_stretch, without_leaks, words_of
+from riskflow.llm.decontamination import SPAN, benchmark_leaks, best_stretch, masks_of, without_leaks, words_of
 from riskflow.llm.exact_dedup import BASES, PRIMES, combined, exact_duplicates, polynomial_hash, without_exact_duplicates
 from riskflow.llm.queries import QUERIES
 
@@ -58,6 +59,45 @@ def test_substitutions(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 90
 
 
+def test_every_accepted_stretch_has_a_seed():
+    for size in range(1, 17):
+        span = min(SPAN, size)
+        for number in range(1 << size):
+            equal = np.array([number >> i & 1 for i in range(size)], dtype=bool)
+            start, end = best_stretch(equal)
+            if end - start >= span:
+                windows = range(size - span + 1)
+                assert any(all(equal[at + i] for i in kept) for at in windows for kept in masks_of(span)), equal
+
+
+def test_regular_replacements(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(size, " ".join(rng.sample(vocabulary, size))) for size in (8, 9, 11, 20, 30, 40, 200, 1000)]
+    docs = []
+    for size, text in items:
+        for period in range(4, 10):
+            for phase in range(period):
+                words = [f"x{at}" if at % period == phase else word for at, word in enumerate(text.split())]
+                docs.append((len(docs), " ".join(["before", *words, "after"])))
+        for _ in range(60):
+            words = [f"x{at}" if rng.random() < 0.2 else word for at, word in enumerate(text.split())]
+            docs.append((len(docs), " ".join(["before", *words, "after"])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for doc_id, text in docs:
+        # The items are at one place or not at all.
+        words = words_of(text)[1:-1]
+        for item_id, item in items:
+            other = words_of(item)
+            if len(words) == len(other):
+                start, end = best_stretch(words == other)
+                if end - start >= min(SPAN, len(other)):
+                    want.add((doc_id, item_id))
+    assert got == want and len(want) > 300
+
+
 def test_leak_edges(spark, monkeypatch):
     docs = [(1, None), (2, ""), (3, "one two three four"), (3, "one two three four"), (None, "x one two three four, y"), (4, "... !!!"), (5, "z " * 60_000 + "a b c d e f g h i j k l m n")]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id long")
