@@ -12,7 +12,9 @@ The target model is fitted on a bounded sample of labelled documents (``TARGET_D
 raw model counts every document. ``k`` is the number of documents whose sum reaches the
 middle between labelled good and labelled bad documents (leaving out a share of ``LOSS`` of
 either at the border; where they overlap, the good ones' border). It is found by exact
-counts, so the sample is the same for every partitioning.
+counts, so the sample is the same for every partitioning. A model knows the texts that it was
+fitted on, so the weights that give the border are those under target models of the other
+folds: each text of the target sample, with its equals, is in one of ``FOLDS``.
 
 Defined cases: a null or empty text has no n-grams and the weight one (log zero). Noise is a
 hash of the id and the length, so runs agree and repeated rows share a fate; a null id has a
@@ -41,6 +43,7 @@ SHAPE_BUCKETS = 1 << 10
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 TARGET_DOCS = 20_000
 LOSS = 0.001
+FOLDS = 10
 SMOOTHING = 1.0
 #: Texts are hashed together until they have so many words.
 WORDS_AT_ONCE = 1 << 18
@@ -139,32 +142,37 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in ``docs``; one partial count per task and bucket."""
+    """How often each bucket occurs in each fold of ``docs``; one partial count per task, fold and bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(FOLDS * BUCKETS, dtype=np.int64)
         for batch in batches:
-            for found, _ in _buckets(batch.column("text").to_pylist()):
-                total += np.bincount(found, minlength=BUCKETS)
+            folds, end = batch.column("fold").to_numpy(zero_copy_only=False), 0
+            for found, own in _buckets(batch.column("text").to_pylist()):
+                total += np.bincount(np.repeat(folds[end : end + len(own)], own) * BUCKETS + found, minlength=FOLDS * BUCKETS)
+                end += len(own)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS)
-    for row in rows.collect():  # at most BUCKETS rows
+    rows = docs.select("text", "fold").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(FOLDS * BUCKETS)
+    for row in rows.collect():  # at most FOLDS * BUCKETS rows
         out[row["bucket"]] = row["n"]
-    return out
+    return out.reshape(FOLDS, BUCKETS)
+
 
+def _weights(docs: DataFrame, ratios: np.ndarray, others: np.ndarray) -> DataFrame:
+    """Log weights under ``ratios``, and under those of the ``others`` than the document's fold."""
 
-def _weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sizes, weights = [], []
+            texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
+            sizes, weights, held = [], [], []
             for found, own in _buckets(texts):
                 logs, end = ratios[found], 0
                 for size in own:
                     weights.append(float(logs[end : end + size].sum()))
+                    held.append(float(others[folds[len(held)]][found[end : end + size]].sum()))
                     end += size
                 sizes += own
             yield pa.RecordBatch.from_arrays(
@@ -172,13 +180,14 @@ def _weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(weights, pa.float64()),
+                    pa.array(held, pa.float64()),
                     pa.array([len(text or "") for text in texts], pa.int64()),
                 ],
-                ["doc_id", "n_grams", "log_weight", "n_chars"],
+                ["doc_id", "n_grams", "log_weight", "held_weight", "n_chars"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(weigh, f"doc_id {kind}, n_grams bigint, log_weight double, n_chars bigint")
+    return docs.mapInArrow(weigh, f"doc_id {kind}, n_grams bigint, log_weight double, held_weight double, n_chars bigint")
 
 
 def gumbel(seed: int, *columns: str) -> Column:
@@ -219,20 +228,30 @@ def resample(
 ) -> DataFrame:
     """The documents sampled: doc_id, n_grams, log_weight, key, kept (always true)."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    source = source.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(FOLDS)))
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     wanted = F.pmod(F.xxhash64(F.lit(seed), "good_id"), F.lit(1_000_000))
     total = good.count()
     sample = good if total <= TARGET_DOCS else good.filter(wanted < int(1_000_000 * TARGET_DOCS / total))
     target = source.join(sample, source["doc_id"] == sample["good_id"], "left_semi")
-    ratios = log_ratios(_counts(target), _counts(source))
-    keyed = _weights(source, ratios).withColumn("key", F.col("log_weight") + gumbel(seed, "doc_id", "n_chars"))
-    keyed = stored(keyed.drop("n_chars"), "weights")
-    reached = stored(keyed.join(labels.select(F.col("doc_id").alias("good_id"), "quality"), F.col("doc_id") == F.col("good_id")), "labelled")
+    in_folds, raw = _counts(target), _counts(source.withColumn("fold", F.lit(0))).sum(axis=0)
+    in_all = in_folds.sum(axis=0)
+    others = np.stack([log_ratios(in_all - own, raw) for own in in_folds])
+    noise = gumbel(seed, "doc_id", "n_chars")
+    keyed = _weights(source, log_ratios(in_all, raw), others)
+    keyed = keyed.withColumns({"key": F.col("log_weight") + noise, "held_key": F.col("held_weight") + noise})
+    keyed = stored(keyed.drop("n_chars", "held_weight"), "weights")
+    # Only texts of the target sample are known to the model.
+    sampled = sample.select("good_id", F.lit(True).alias("sampled"))
+    labelled = labels.select(F.col("doc_id").alias("good_id"), "quality").join(sampled, "good_id", "left")
+    reached = keyed.join(labelled, F.col("doc_id") == F.col("good_id"))
+    reached = stored(reached.withColumn("edge", F.when(F.col("sampled"), F.col("held_key")).otherwise(F.col("key"))), "labelled")
+    keyed = keyed.drop("held_key")
     edges = {}
     for quality in (1, 0):
         own = reached.filter(F.col("quality") == quality)
         if n := own.count():
-            edges[quality] = kth_largest(own, "key", n - int(n * loss) if quality else int(n * loss) + 1)
+            edges[quality] = kth_largest(own, "edge", n - int(n * loss) if quality else int(n * loss) + 1)
     if 1 not in edges:
         return keyed.withColumn("kept", F.lit(True))
     cutoff = (edges[0] + edges[1]) / 2 if edges.get(0, np.inf) < edges[1] else edges[1]

@@ -37,6 +37,16 @@ def test_resampling_keeps_clean_and_rejects_junk(spark):
     assert resample(docs.limit(0), labels).count() == 0
 
 
+def test_few_labels_do_not_reject_clean_texts(spark):
+    rng = np.random.default_rng(7)
+    vocabulary, chances = np.array([f"w{i}" for i in range(3000)]), 1 / np.arange(1, 3001)
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(50, 300)), p=chances / chances.sum()))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in resample(docs, labels).collect()}
+    assert np.mean([i not in kept for i in range(60, 1000)]) <= 0.1
+
+
 def test_kth_largest(spark):
     values = [float(v) for v in np.random.default_rng(2).normal(size=500)] + [0.25] * 40
     frame = spark.createDataFrame([(v,) for v in values], "v double")
