@@ -17,10 +17,12 @@ from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .quality_resampling import resample
 from .secret_scan import scan_secrets, secret_digests
+from .token_counts import token_counts
 from .toxicity_chain import toxicity
 
 #: Vocabularies lie beside the Python packages of every executor.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -182,6 +184,11 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+@query("op11_token_counts")
+def token_count(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), BYTE_TOKENIZER)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
