@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import conversation_digests, format_windows
 from .decontamination import benchmark_leaks
 from .exact_dedup import exact_duplicates
+from .hard_negatives import mine_hard_negatives
 from .html_extraction import extract_main_text
 from .line_dedup import dedup_lines, near_duplicate_lines
 from .ngram_join import near_duplicates
@@ -189,6 +190,36 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), BYTE_TOKENIZER)
 
 
+@query(
+    "op13_hard_negatives",
+    """
+    with v as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: floor(256 * x::double)) as e
+        from embeddings
+        where label is not null and embedding is not null and vec_id is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scores as (
+        select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same, list_dot_product(a.e, r.e)::bigint as score
+        from v a join v r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+    ), positives as (
+        select anchor_id, id as positive_id, score as positive_score from scores where same
+        qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+    )
+    select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::int as rank,
+        id as negative_id, positive_score, score as negative_score
+    from positives p join scores s on s.anchor_id = p.anchor_id and not same
+        and 100 * score between 30 * positive_score and 90 * positive_score
+    qualify rank <= 10
+    """,
+)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the labels of every seventh are off by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", label)
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
