@@ -39,8 +39,12 @@ def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir``.
 
-    Where that is not set, the warehouse folder takes its place, which all executors of a
-    session share as well.
+    Where that is not set, a local session uses its warehouse folder. On a cluster that
+    folder may be one machine's own, so there the setting must be given.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/riskflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
