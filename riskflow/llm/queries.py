@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import conversation_digests, format_windows
+from .conversation_trie import numbered_turns, prefix_trie, with_shared_heads
 from .decontamination import benchmark_leaks
 from .exact_dedup import exact_duplicates
 from .hard_negatives import mine_hard_negatives
@@ -190,6 +191,67 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), BYTE_TOKENIZER)
 
 
+@query(
+    "op12_conversation_trie",
+    r"""
+    with own as (
+        select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+            row_number() over (
+                partition by conv_id
+                order by turn nulls first, unhex(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')))
+            ) as place
+        from conversations where conv_id is not null
+    ), heads as (
+        -- The CRC-32 of the id's digits, bit by bit.
+        select conv_id, conv_id - conv_id % 100 as first,
+            xor(4294967295, list_reduce(
+                list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)),
+                lambda crc, byte: list_reduce(
+                    list_prepend(xor(crc, byte), range(8)),
+                    lambda r, _: xor(r // 2, case when r % 2 = 1 then 3988292384 else 0 end)
+                )
+            )) % 6 as h
+        from (select distinct conv_id from own)
+    ), turns as (
+        select h.conv_id, o.place, role, text from heads h join own o on o.conv_id = h.first and o.place <= h.h
+        union all
+        select conv_id, 1000 + o.place, role, text from heads h join own o using (conv_id) where o.place > h.h
+    ), rebuilt as (
+        select conv_id, role, text, row_number() over (partition by conv_id order by place) as depth from turns
+    ), prefixes as (
+        select conv_id, depth, text,
+            sha256(string_agg(sha256(length(role) || ':' || role || text), '') over (partition by conv_id order by depth)) as prefix
+        from rebuilt
+        union all
+        select conv_id, 0, '', '' from heads
+    ), named as (
+        select *, min(conv_id) over same as node, count(*) over same as n_convs, max(depth) over (partition by conv_id) as length
+        from prefixes window same as (partition by depth, prefix)
+    ), members as (
+        select *, lag(node) over (partition by conv_id order by depth) as parent from named
+    ), nodes as (
+        select node, depth, any_value(parent) as parent, any_value(n_convs) as n_convs, any_value(text) as text,
+            count(*) filter (length = depth) as n_ends,
+            coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (length = depth), '') as ends
+        from members group by node, depth
+    ), sums as (
+        -- A node's subtree: the nodes named by its members, from its depth on.
+        select m.node, m.depth, sum((n.n_ends = n.n_convs)::int) as n_leaves, sum((n.n_convs - 1) * length(n.text)) as saved
+        from members m join nodes n on n.node = m.conv_id and n.depth >= m.depth
+        group by m.node, m.depth
+    ), children as (
+        select parent, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by all
+    )
+    select n.node as conv_id, n.depth, n.parent as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children,
+        s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+    from nodes n join sums s using (node, depth) left join children c on c.parent = n.node and c.depth = n.depth
+    """,
+)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of all conversations, rebuilt to share their beginnings."""
+    return prefix_trie(*with_shared_heads(numbered_turns(table(spark, folder, "conversations"))))
+
+
 @query(
     "op13_hard_negatives",
     """
