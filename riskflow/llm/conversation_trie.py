@@ -208,7 +208,8 @@ def subtree_totals(nodes: DataFrame, paths: DataFrame, values: Sequence[str]) ->
     if root is None:
         return nodes.select("node", "depth", *values)
     top = ["top", "top_depth"]
-    state = nodes.withColumns({"top": F.lit(root["node"]), "top_depth": F.lit(0).cast("long")})
+    # Written, so that joins on the first component's top have columns to join by, not literals.
+    state = stored(nodes.withColumns({"top": F.lit(root["node"]), "top_depth": F.lit(0).cast("long")}), "level")
     look = paths.select(F.col("conv_id").alias("__conv"), F.col("depth").alias("__depth"), F.col("node").alias("__side"), F.col("parent").alias("__above"))
     added = []
     while not state.isEmpty():
