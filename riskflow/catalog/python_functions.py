@@ -71,18 +71,11 @@ def cap_partitions(t):
 )
 def combine_groups(t):
     def partial(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"user_id": frame["user_id"].iloc[:1].to_list(), "n": [len(frame)], "top": [frame["value"].max()]}
-        )
+        groups = frame.groupby("user_id", dropna=False, as_index=False)
+        return groups.agg(n=("value", "size"), top=("value", "max"))
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "user_id": frame["user_id"].iloc[:1].to_list(),
-                "n": [frame["n"].sum()],
-                "top": [frame["top"].max()],
-            }
-        )
+        return frame.groupby("user_id", dropna=False, as_index=False).agg({"n": "sum", "top": "max"})
 
     rows = t.events.select("user_id", "value")
     schema = "user_id bigint, n bigint, top double"
@@ -94,14 +87,15 @@ def combine_groups(t):
     "select event_type, count(*) as n, max(value) as top from events group by 1",
 )
 def combine_large_groups(t):
+    """Few keys, by functions of one key's rows."""
+
     def partial(frame: pd.DataFrame) -> pd.DataFrame:
-        top = [frame["value"].max()]
-        return pd.DataFrame({"event_type": frame["event_type"].iloc[0], "n": [len(frame)], "top": top})
+        return pd.DataFrame({"n": [len(frame)], "top": [frame["value"].max()]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame["event_type"].iloc[0]
-        return pd.DataFrame({"event_type": [first], "n": [frame["n"].sum()], "top": [frame["top"].max()]})
+        return pd.DataFrame({"n": [frame["n"].sum()], "top": [frame["top"].max()]})
 
     rows = t.events.select("event_type", "value")
     schema = "event_type string, n bigint, top double"
-    return py.combine_groups(rows, ["event_type"], partial, merge, schema)
+    keys = ["event_type"]
+    return py.combine_groups(rows, keys, py.each_key(keys, partial), py.each_key(keys, merge), schema)

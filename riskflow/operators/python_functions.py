@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType, VariantType
 
 Frame = pd.DataFrame
 
@@ -62,67 +65,136 @@ def process_records(
     return df.select(column).mapInPandas(batches, schema)
 
 
+def each_key(keys: Sequence[str], function: Callable[[Frame], Frame]) -> Callable[[Frame], Frame]:
+    """A function of one key's rows as one of the rows of many keys.
+
+    It is called once a key, which costs more than a function that groups by itself.
+    """
+    keys = list(keys)
+
+    def of_many(frame: Frame) -> Frame:
+        parts = []
+        for _, group in frame.groupby(keys, dropna=False, sort=False):
+            result = function(group)
+            own = group[keys].iloc[[0] * len(result)].set_axis(result.index)
+            parts.append(result.assign(**{key: own[key] for key in keys}))
+        return pd.concat(parts, ignore_index=True) if parts else frame
+
+    return of_many
+
+
 def combine_groups(
     df: DataFrame,
     keys: Sequence[str],
     partial: Callable[[Frame], Frame],
     merge: Callable[[Frame], Frame],
     schema: str | StructType,
-    merge_width: int = 1000,
     held_rows: int = 100_000,
 ) -> DataFrame:
     """Run a user's function over the rows of each key, without bringing them together.
 
-    ``partial`` turns some rows of a key into one or few rows of ``schema``, which must
-    contain the keys; ``merge`` turns such rows of a key into one such result. Both must
-    give the same however the rows are split up, at any size: a count is a count of rows
-    and then a sum, a distinct count is no such function.
-
-    Every task runs ``partial`` on its Arrow batches and keeps one merged result per key;
-    it hands on what it keeps where that grows beyond ``held_rows``. Results of
-    ``merge_width`` tasks are merged in one place, then those of all places.
+    ``partial`` turns rows of many keys into one or few rows of ``schema`` for each of them;
+    ``merge`` turns such rows into one or few for each key. Both must give the same however
+    the rows are split up, at any size: a count is a count of rows and then a sum, a distinct
+    count is no such function. Functions of one key's rows fit in by :func:`each_key`.
+
+    Every task calls ``partial`` on ``held_rows`` rows at a time. Its results are all that is
+    shuffled; they come to ``merge`` sorted by key, whole keys at a time, and where a key has
+    more than ``held_rows`` of them, in turns with what they gave so far. Keys are Arrow
+    values and never change their type: frames have them as Arrow-backed columns, in which
+    null is no NaN, and a result with a key that the frame did not have fails. Whole numbers
+    beside nulls come as nullable ones. Keys must be of plain types.
     """
     keys = list(keys)
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-
-    def of_each_key(function: Callable[[Frame], Frame], frame: Frame) -> Frame:
-        parts = [function(group) for _, group in frame.groupby(keys, dropna=False, sort=False)]
-        return pd.concat(parts, ignore_index=True)
-
-    def reduce_task(frames: Iterator[Frame]) -> Iterator[Frame]:
-        held: list[Frame] = []
-        rows, limit = 0, held_rows
-        for frame in frames:
-            if frame.empty:
-                continue
-            held.append(of_each_key(partial, frame))
-            rows += len(held[-1])
-            if rows > limit:
-                merged = of_each_key(merge, pd.concat(held, ignore_index=True))
-                held, rows = [merged], len(merged)
-                if rows > held_rows / 2:
-                    yield merged
-                    held, rows = [], 0
-        if held:
-            yield of_each_key(merge, pd.concat(held, ignore_index=True))
-
-    def merge_place(frame: Frame) -> Frame:
-        return merge(frame.drop(columns="__place"))
-
-    place = F.floor(F.spark_partition_id() / F.lit(merge_width)).alias("__place")
-    return (
-        df.mapInPandas(reduce_task, fields)
-        .select("*", place)
-        .groupBy(*keys, "__place")
-        .applyInPandas(merge_place, fields)
-        .groupBy(*keys)
-        .applyInPandas(merge, fields)
-    )
-
-
-def cap_partitions(df: DataFrame, limit: int) -> DataFrame:
-    """This many partitions, for a small result on its way to a sink.
-
-    The result is shuffled, so that the stage that computes it keeps all its tasks.
+    if missing := [key for key in keys if key not in fields.names]:
+        raise ValueError(f"the result lacks keys {missing}")
+    if nested := [key for key in keys if isinstance(df.schema[key].dataType, (StructType, ArrayType, MapType, VariantType))]:
+        raise ValueError(f"keys of nested types: {nested}")
+    arrow_schema = df.sparkSession.createDataFrame([], fields).toArrow().schema
+    # Zero and minus zero are one key.
+    floating = {key: F.col(key) + F.lit(0).cast(df.schema[key].dataType) for key in keys
+                if isinstance(df.schema[key].dataType, (DoubleType, FloatType))}
+    rows = df.withColumns(floating) if floating else df
+
+    def call(function: Callable[[Frame], Frame], table: pa.Table) -> pa.Table:
+        result = pa.Table.from_pandas(
+            function(_key_frame(table, keys))[arrow_schema.names], schema=arrow_schema, preserve_index=False
+        )
+        for key in keys:
+            known = pc.is_in(result.column(key), pc.unique(table.column(key)).cast(result.schema.field(key).type))
+            if not pc.all(known, min_count=0).as_py():
+                raise ValueError(f"the function changed values of key {key!r}")
+        return result
+
+    def reduce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tables(batches, held_rows):
+            yield from call(partial, table).to_batches()
+
+    def merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for table in _tables(batches, held_rows):
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            # The last key may go on in the next table.
+            start = _last_key(table, keys)
+            if start:
+                yield from call(merge, table.slice(0, start)).to_batches()
+                rest = table.slice(start)
+            else:
+                rest = call(merge, table)
+        if rest is not None:
+            yield from call(merge, rest).to_batches()
+
+    parts = rows.mapInArrow(reduce_task, fields).repartition(*keys).sortWithinPartitions(*keys)
+    return parts.mapInArrow(merge_task, fields)
+
+
+def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches in turn as tables of about so many rows."""
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            part = batch.slice(start, rows)
+            held.append(part)
+            size += len(part)
+            if size >= rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _key_frame(table: pa.Table, keys: Sequence[str]) -> Frame:
+    columns = {}
+    for name, column in zip(table.column_names, table.columns):
+        whole = pa.types.is_integer(column.type) and column.null_count
+        columns[name] = column.to_pandas(types_mapper=pd.ArrowDtype if name in keys or whole else None)
+    return pd.DataFrame(columns)
+
+
+def _last_key(table: pa.Table, keys: Sequence[str]) -> int:
+    """Where the rows of the table's last key begin."""
+    same = np.ones(len(table), dtype=bool)
+    for key in keys:
+        column = table.column(key)
+        last = column[-1]
+        if not last.is_valid:
+            equal = pc.is_null(column)
+        elif pa.types.is_floating(column.type) and last.as_py() != last.as_py():
+            equal = pc.is_nan(column)
+        else:
+            equal = pc.equal(column, last)
+        same &= np.asarray(pc.fill_null(equal, False))
+    others = np.flatnonzero(~same)
+    return int(others[-1]) + 1 if len(others) else 0
+
+
+def cap_partitions(df: DataFrame, limit: int, shuffle: bool = False) -> DataFrame:
+    """At most this many partitions; fewer stay as they are.
+
+    For a small result on its way to a sink: the stage that gives it runs in as few tasks.
+    Where that stage still reads much, ``shuffle`` lets it keep its tasks and deals the
+    result to exactly ``limit`` partitions.
     """
-    return df.repartition(limit)
+    return df.repartition(limit) if shuffle else df.coalesce(limit)

@@ -230,24 +230,61 @@ def test_combine_groups_any_split(spark):
     import pandas as pd
 
     def partial(frame):
-        return pd.DataFrame({"k": [frame["k"].iloc[0]], "total": [int(frame["v"].sum())]})
+        return pd.DataFrame({"total": [int(frame["v"].sum())]})
 
     def merge(frame):
-        return pd.DataFrame({"k": [frame["k"].iloc[0]], "total": [int(frame["total"].sum())]})
+        return pd.DataFrame({"total": [int(frame["total"].sum())]})
+
+    def sums(column):
+        return lambda frame: frame.groupby("k", dropna=False, as_index=False).agg(total=(column, "sum"))
 
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"),
                                   F.col("id").alias("v"))
     want = rows(df.groupBy("k").agg(F.sum("v")))
     schema = "k bigint, total bigint"
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for partitions, size, width, held in ((1, 50, 1000, 100_000), (7, 50, 3, 4), (50, 10_000, 3, 30), (7, 50, 2, 30)):
+    for partitions, size, held in ((1, 50, 100_000), (7, 50, 4), (50, 10_000, 30), (7, 50, 1)):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
         split = df.repartition(partitions)
-        got = py.combine_groups(split, ["k"], partial, merge, schema, merge_width=width, held_rows=held)
-        assert rows(got) == want
+        for functions in ((sums("v"), sums("total")), (py.each_key(["k"], partial), py.each_key(["k"], merge))):
+            assert rows(py.combine_groups(split, ["k"], *functions, schema, held_rows=held)) == want
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
 
 
+def test_combine_groups_keeps_keys_apart(spark):
+    import pandas as pd
+
+    nan, big = float("nan"), 2**53
+    data = [(big + 1, None, 0.0, 1), (big + 1, None, -0.0, 1), (None, "a", nan, 1), (big, "", None, 1), (big, None, None, 1)]
+    data += [(None, "a", nan, big + 1), (None, None, 1.5, None), (big, "", None, big)]
+    df = spark.createDataFrame(data, "i long, s string, f double, v long").repartition(3)
+    keys = ["i", "s", "f"]
+
+    def sums(frame):
+        return frame.groupby(keys, dropna=False, as_index=False).agg({"v": "sum"})
+
+    one = py.each_key(keys, lambda frame: pd.DataFrame({"v": [frame["v"].sum()]}))
+    want = rows(df.groupBy(*keys).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v")))
+    for function in (sums, one):
+        for held in (1, 2, 1000):
+            got = py.combine_groups(df, keys, function, function, "i long, s string, f double, v long", held_rows=held)
+            assert list(map(str, rows(got))) == list(map(str, want))
+    assert len(want) == 5
+    assert rows(py.combine_groups(df.limit(0), keys, sums, sums, "i long, s string, f double, v long")) == []
+
+
+def test_combine_groups_finds_changed_keys(spark):
+    df = spark.createDataFrame([(2**53 + 1, 1), (None, 2)], "k long, v long").coalesce(1)
+
+    def through_floats(frame):
+        return frame.assign(k=frame["k"].astype("float64"))
+
+    with pytest.raises(PySparkException, match="changed values of key"):
+        py.combine_groups(df, ["k"], through_floats, through_floats, "k long, v long").collect()
+    with pytest.raises(ValueError):
+        py.combine_groups(df, ["k"], through_floats, through_floats, "v long")
+
+
 def test_process_records_bad_json_fails(spark):
     df = spark.createDataFrame([("{",)], "data string")
     with pytest.raises(PySparkException):
@@ -257,3 +294,5 @@ def test_process_records_bad_json_fails(spark):
 def test_cap_partitions(spark):
     assert py.cap_partitions(spark.range(100, numPartitions=50), 4).rdd.getNumPartitions() == 4
     assert py.cap_partitions(spark.range(100, numPartitions=50), 4).count() == 100
+    assert py.cap_partitions(spark.range(100, numPartitions=4), 32).rdd.getNumPartitions() == 4
+    assert py.cap_partitions(spark.range(100, numPartitions=4), 32, shuffle=True).rdd.getNumPartitions() == 32
