@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
-from ..session import working_folder
+from ..session import written
 from .joins import join_groups
 
 
@@ -46,10 +46,7 @@ def running_sums(
     names = {name: as_column(column) for name, column in sums.items()}
     if block is None:
         ranges = df.repartitionByRange(*keys, *(split_by or order_by))
-        ranges = ranges.withColumn("__block", F.spark_partition_id())
-        path = working_folder(df.sparkSession, "ranges")
-        ranges.write.parquet(path)
-        blocks = df.sparkSession.read.schema(ranges.schema).parquet(path)
+        blocks = written(ranges.withColumn("__block", F.spark_partition_id()), "ranges")
     else:
         blocks = df.withColumn("__block", as_column(block))
     upto = (Window.unboundedPreceding, -1)

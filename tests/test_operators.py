@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from riskflow.config import Dataset, FilterRule
-from riskflow.operators import nesting
+from riskflow.operators import aggregates, nesting
 from riskflow.operators import python_functions as py
 from riskflow.operators.aggregates import (
     Aggregate,
@@ -189,6 +189,31 @@ def test_few_values_of_a_large_group_are_put_in_order(spark):
     assert result.first()["m"] == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("margin", [aggregates.MARGIN, 1e-7])
+def test_medians_of_large_groups_of_several_columns(spark, monkeypatch, margin):
+    """Also where sketches miss the middle, as all do with a margin that small."""
+    monkeypatch.setattr(aggregates, "MARGIN", margin)
+    nan = F.lit(float("nan"))
+    df = spark.range(60_000, numPartitions=6).select(
+        F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 4000 > 0, F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
+        F.when(F.col("id") % 11 > 0, F.exp(F.randn(7) * 3)).alias("a"),
+        F.floor(F.rand(8) * 5).cast("int").alias("b"),
+        F.when(F.col("id") % 9 > 0, F.randn(9)).otherwise(nan).alias("c"),
+        F.when(F.col("id") % 2 > 0, nan).otherwise(F.randn(9)).alias("d"),
+    )
+    names = ["a", "b", "c", "d"]
+    got = aggregates.group_medians(df, ["k"], {f"m{c}": c for c in names})
+    want = df.groupBy("k").agg(*[F.median(c).cast("double").alias(f"m{c}") for c in names])
+    assert got.columns == want.columns
+    assert [tuple(map(str, r)) for r in rows(got)] == [tuple(map(str, r)) for r in rows(want)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 4095, 4096, 4097, 8191])
+def test_median_around_the_size_of_a_sketch(spark, size):
+    df = spark.range(size, numPartitions=5).select(F.lit(None).cast("int").alias("k"), F.hash("id").alias("v"))
+    assert group_median(df, ["k"], "v", "m").first()["m"] == df.agg(F.median("v")).first()[0]
+
+
 def test_distinct_count_ignores_null(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", None)], "k string, v int")
     assert rows(distinct_count(df, ["k"], "v", "n")) == [("a", 1), ("b", 0)]
