@@ -221,6 +221,23 @@ def collect_large_groups(t):
     return nesting.unnest_rows(rows, ["event_type", "chunk"], ["user_id", "value"])
 
 
+@query(
+    "g16_collect_ranked",
+    """
+    with entries as (
+      select event_type, user_id, value, count(*) as copies from events group by 1, 2, 3),
+    ranked as (
+      select *, row_number() over (partition by event_type order by user_id, value) - 1 as place from entries)
+    select event_type, place // 500 as part, place % 500 as place, user_id, value, copies from ranked
+    """,
+)
+def collect_ranked(t):
+    """Lists of a few keys that own all rows."""
+    lists = nesting.collect_ranked(t.events, ["event_type"], ["user_id", "value"], size=500)
+    rows = lists.select("event_type", "part", F.posexplode("rows").alias("place", "row"))
+    return rows.select("event_type", "part", F.col("place").cast("long").alias("place"), "row.*")
+
+
 @query("g17_map_by_date", LAST_OF_DAY)
 def map_by_date(t):
     maps = nesting.features_by_date(

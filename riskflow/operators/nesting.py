@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
+from .ordering import running_sums
 
 
 def collect_rows(
@@ -29,8 +30,30 @@ def collect_rows(
     return entries.groupBy(*keys, "chunk").agg(rows.alias("rows"))
 
 
+def collect_ranked(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    size: int = 10_000,
+    split_by: Sequence[str | Column] = (),
+) -> DataFrame:
+    """Rows of each key in order, as lists of up to ``size`` entries, one row per list.
+
+    For keys with more rows than any one task may hold, where no column bounds them: lists
+    are cut by rank and called ``part`` 0, 1 and so on; all but a key's last are full. Equal
+    rows are one entry with their number in ``copies``. Ranks come from ranges of the order
+    (see :func:`running_sums`, also for ``split_by``), computed when this is called.
+    """
+    entries = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("copies"))
+    ranked = running_sums(entries, keys, columns, {"__rank": F.lit(1)}, split_by)
+    part = F.floor(F.col("__rank") / size).alias("part")
+    rows = F.array_sort(F.collect_list(F.struct("__rank", *columns, "copies")))
+    lists = ranked.groupBy(*keys, part).agg(rows.alias("rows"))
+    return lists.withColumn("rows", F.transform("rows", lambda row: row.dropFields("__rank")))
+
+
 def unnest_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The rows that :func:`collect_rows` gathered, each with its ``copies``."""
+    """The rows that were gathered into lists, each with its ``copies``."""
     entries = df.select(*keys, F.explode("rows").alias("__row"))
     return entries.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in (*columns, "copies")])
 

@@ -5,10 +5,11 @@ import statistics
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskflow.config import Dataset, FilterRule
-from riskflow.operators import aggregates, nesting
+from riskflow.operators import aggregates, nesting, ordering
 from riskflow.operators import python_functions as py
 from riskflow.operators.aggregates import (
     Aggregate,
@@ -22,6 +23,7 @@ from riskflow.operators.columns import rename_by_position, select_qualified
 from riskflow.operators.filters import apply_filters
 from riskflow.operators.joins import chain_join, join_groups, join_on_keys
 from riskflow.operators.ordering import head, newest
+from riskflow.session import written
 
 
 def rows(df):
@@ -231,6 +233,46 @@ def test_collect_rows_in_chunks_of_the_caller(spark):
     assert whole.count() == 3 and rows(nesting.unnest_rows(whole, ["k"], ["v"])) == want
 
 
+def test_running_sums_in_ranges_and_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    data = [("hot", i, rng.choice([None, 1, 5])) for i in range(5000)] + [(None, i, i) for i in range(7)]
+    data += [(f"k{i % 50}", i, 2) for i in range(400)] + [("hot", None, 9), ("k1", None, 4)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, t int, v int")
+    own = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("k", "t", "v", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(a) for c, a in ((F.lit(1), "rank"), (F.col("v"), "sum"))])
+    sums = {"rank": F.lit(1), "sum": "v"}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cuts = []
+    monkeypatch.setattr(ordering, "written", lambda frame, name: cuts.append(written(frame, name)) or cuts[-1])
+    try:
+        assert rows(ordering.running_sums(df, ["k"], ["t"], sums).select(want.columns)) == rows(want)
+        # No range has all rows of the large key.
+        assert cuts[0].filter("k = 'hot'").select("__block").distinct().count() > 1
+        assert rows(ordering.running_sums(df, ["k"], ["t"], sums, split_by=[F.floor(F.col("t") / 9)]).select(want.columns)) == rows(want)
+        block = F.coalesce(F.floor(F.col("t") / 64), F.lit(-1))
+        assert rows(ordering.running_sums(df, ["k"], ["t"], sums, block=block).select(want.columns)) == rows(want)
+        assert len(cuts) == 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_lists_of_one_key_are_bounded(spark):
+    df = spark.range(1_000_000, numPartitions=8).select(
+        F.when(F.col("id") > 5, "hot").alias("k"), (F.col("id") * 7919 % 400_000).alias("v")
+    )
+    lists = nesting.collect_ranked(df, ["k"], ["v"], size=1000).cache()
+    sizes = [(r["k"], r["part"], r["n"]) for r in lists.select("k", "part", F.size("rows").alias("n")).collect()]
+    assert sorted(s for s in sizes if s[0]) == [("hot", i, 1000) for i in range(400)]
+    assert [s for s in sizes if not s[0]] == [(None, 0, 6)]
+    again = nesting.unnest_rows(lists, ["k"], ["v"])
+    want = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("copies"))
+    assert again.exceptAll(want).isEmpty() and again.count() == want.count()
+    ends = lists.filter("k = 'hot'").select("part", F.col("rows")[0]["v"].alias("first"), F.element_at("rows", -1)["v"].alias("last"))
+    assert sorted(map(tuple, ends.collect())) == [(i, 1000 * i, 1000 * i + 999) for i in range(400)]
+    lists.unpersist()
+
+
 def test_features_by_date_last_one_wins(spark):
     df = spark.createDataFrame(
         [("x", "2024-01-02", 1, 1.0), ("x", "2024-01-02", 2, None), ("x", "2024-01-01", 1, 3.0)],
