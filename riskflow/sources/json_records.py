@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from .json_files import JsonFiles, split_document
 
-def json_texts(document: Column) -> Column:
-    """Records of a JSON document as texts: those of an array, or the one value.
 
-    Null where the document is not exactly one JSON value, also where something follows
-    it. Numbers of up to 38 digits keep all of them; keys of an object come in the order
-    of their names. A document may be as large as a variant value.
+@F.pandas_udf(ArrayType(StringType()))
+def json_texts(documents: pd.Series) -> pd.Series:
+    """Records of JSON documents as texts: those of an array, or the one value.
+
+    Null where a document is not exactly one JSON value, also where something follows it.
+    Records keep their text: the order of keys, repeated keys, numbers of any size.
     """
-    # The parser stops where a value ends. It has read all of the document if it came to
-    # a key after it that the document cannot hold, its own hash.
-    end = F.concat(F.lit("end"), F.xxhash64(document).cast("string"))
-    wrapped = F.concat(F.lit('{"d":'), document, F.lit(',"'), end, F.lit('":1}'))
-    parts = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
-    value = parts["d"]
-    records = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
-    texts = F.transform(records, lambda record: F.coalesce(F.to_json(record), F.lit("null")))
-    return F.when((F.size(parts) == 2) & F.map_contains_key(parts, end), texts)
+    return documents.map(split_document, na_action="ignore")
 
 
 def explode_records(documents: DataFrame, strict: bool = True) -> DataFrame:
@@ -60,7 +56,14 @@ def read_documents(spark: SparkSession, path: str, lines: bool = True) -> DataFr
 def ingest_json(
     spark: SparkSession, path: str, lines: bool = True, strict: bool = True
 ) -> DataFrame:
-    """Records of landed JSON files, one row of JSON text each."""
+    """Records of landed JSON files, one row of JSON text each.
+
+    With ``lines`` every line is a document. Without, every file is one, which may be an
+    array of any length: it is read record by record.
+    """
+    if not lines:
+        spark.dataSource.register(JsonFiles)
+        return spark.read.format(JsonFiles.name()).option("strict", str(strict).lower()).load(path)
     return explode_records(read_documents(spark, path, lines), strict)
 
 

@@ -3,12 +3,14 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from riskflow.session import settings_for, working_folder
-from riskflow.sources import json_records, rules_xml, sql_store, synthetic, tables
+from riskflow.sources import json_files, json_records, rules_xml, sql_store, synthetic, tables
 from riskflow.streaming import staging
 
 CATALOGUE_HEADER = ["Feature Name", "Category / Feature Group", "Logical Formula (Human-Friendly)"]
@@ -147,6 +149,66 @@ def test_json_loses_nothing(spark, tmp_path):
         json_records.explode_records(documents).collect()
 
 
+def test_records_keep_their_text(spark, tmp_path):
+    records = ['{"b":1e400,"a":{"z":-0.0,"y":"\\ud83d"}}', '{"a":1,"a":2}', '"\\u00e9é"', "1E5", "-12", "true", "[ 1 , [] ]", "{}"]
+    document = "[" + " ,\t".join(records) + "]"
+    (tmp_path / "x.json").write_text("\n".join([document, *records[:6], "[NaN]", "Infinity", "[1,]", "01"]))
+    documents = json_records.read_documents(spark, str(tmp_path))
+    got = [r["data"] for r in json_records.explode_records(documents, strict=False).collect()]
+    assert sorted(got) == sorted(records + records[:6])
+    assert json_records.bad_documents(documents).count() == 4
+    deep = "[" * 200_000 + "]" * 200_000
+    assert json_files.split_document(deep) is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.recursive(
+        st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8),
+        lambda inner: st.lists(inner, max_size=4) | st.dictionaries(st.text(max_size=4), inner, max_size=3),
+        max_leaves=12,
+    ),
+    st.integers(1, 9),
+    st.booleans(),
+)
+def test_pieces_of_any_size(value, size, ascii_only):
+    text = json.dumps(value, ensure_ascii=ascii_only)
+    pieces = [text[i : i + size] for i in range(0, len(text), size)]
+    got = list(json_files.Scanner(iter(pieces)).records())
+    assert got == [json.dumps(v, ensure_ascii=ascii_only) for v in (value if isinstance(value, list) else [value])]
+    if text[-1] in '"]}':
+        with pytest.raises(ValueError):
+            list(json_files.Scanner(iter(pieces[:-1] + [pieces[-1][:-1]])).records())
+
+
+def test_large_arrays_are_read_in_pieces(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    records = [{"i": i, "text": "x" * (i % 300), "é": [i, None]} for i in range(60_000)]
+    text = json.dumps(records, indent=1, ensure_ascii=False)
+    (tmp_path / "in" / "a.json").write_text(text)
+    (tmp_path / "in" / "b.json").write_text('{"i": -1}')
+    (tmp_path / "in" / "_done").write_text("not read")
+    got = json_records.ingest_json(spark, str(tmp_path / "in"), lines=False)
+    assert [json.loads(r["data"]) for r in got.filter("data not like '%-1%'").collect()] == records
+    assert got.count() == 60_001
+    held = []
+    scanner = json_files.Scanner(text[i : i + 10_000] for i in range(0, len(text), 10_000))
+    for _ in scanner.records():
+        held.append(len(scanner._text))
+    assert max(held) < 25_000
+    (tmp_path / "in" / "c.json").write_text(text[:-1])
+    assert json_records.ingest_json(spark, str(tmp_path / "in"), lines=False, strict=False).count() == 60_001
+    with pytest.raises(PySparkException):
+        json_records.ingest_json(spark, str(tmp_path / "in"), lines=False).count()
+    with pytest.raises(PySparkException):
+        json_records.ingest_json(spark, str(tmp_path / "missing"), lines=False).count()
+
+
+def test_a_record_without_end_is_given_up():
+    with pytest.raises(ValueError, match="does not end"):
+        list(json_files.Scanner(iter(['["', *["x" * 100] * 50]), longest=1000).records())
+
+
 def test_query_store(spark, tmp_path):
     (tmp_path / "big.sql").write_text("select id from {t}\nwhere id > 7")
     (tmp_path / "notes.txt").write_text("not a query")
