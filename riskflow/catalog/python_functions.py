@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import python_functions as py
+from ..operators import record_effects
 from ..operators.aggregates import count_rows
 from .registry import query
 
@@ -57,6 +60,23 @@ def process_records(t):
     )
 
 
+@query(
+    "z4_record_effects",
+    "select cast(json_extract_string(props, '$.k') as bigint) as k from events "
+    "where cast(json_extract_string(props, '$.k') as bigint) % 2 = 0",
+)
+def record_effects_of_run(t):
+    """What a callback emits, each record's once."""
+
+    def announce(record: dict, emit: Callable[[str], None]) -> None:
+        if record["k"] % 2 == 0:
+            emit(str(record["k"]))
+
+    folder = t.new_folder("effects")
+    record_effects.process_each(t.events, announce, folder, "all", column="props")
+    return record_effects.effects(t.spark, folder, "all").select(F.col("value").cast("bigint").alias("k"))
+
+
 @query(
     "z5_cap_partitions",
     "select l_returnflag, l_linestatus, count(*) as size from lineitem group by 1, 2",

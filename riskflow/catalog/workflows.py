@@ -252,8 +252,8 @@ def json_staging(t):
 @query("w5_json_stream", STAGED)
 def json_stream(t):
     folder = t.new_folder("stream")
-    stream = staging.start_staging_stream(t.spark, _land(t), folder, _process)
-    stream.awaitTermination()
+    staging.start_staging_stream(t.spark, _land(t), folder, _process).awaitTermination()
+    staging.start_clean_up_stream(t.spark, folder).awaitTermination()
     return t.spark.read.parquet(f"{folder}/results").select("event_id", "k")
 
 

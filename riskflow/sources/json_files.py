@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import files_in, located
+
 PIECE = 1 << 20
 # Characters after which a record that does not end is given up.
 LONGEST_RECORD = 1 << 28
@@ -109,14 +110,8 @@ def split_document(text: str) -> list[str] | None:
         return None
 
 
-def _located(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
-
-
 def _pieces(path: str) -> Iterator[str]:
-    files, inner = _located(path)
+    files, inner = located(path)
     decoder = codecs.getincrementaldecoder("utf-8")()
     with files.open_input_stream(inner) as stream:
         while data := stream.read(PIECE):
@@ -133,18 +128,7 @@ class RecordReader(DataSourceReader):
         self._strict = options.get("strict", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        files, inner = _located(self._path)
-        scheme = self._path.split("://")[0] + "://" if "://" in self._path else ""
-        info = files.get_file_info(inner)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self._path)
-        found = [info] if info.is_file else files.get_file_info(fs.FileSelector(inner))
-        names = sorted(i.path for i in found if i.is_file and not i.base_name.startswith(("_", ".")))
-        if scheme and scheme != "file://":
-            # File systems name files without the scheme and host they were asked by.
-            host = self._path.removeprefix(scheme).removesuffix(inner)
-            names = [f"{scheme}{host}{name}" for name in names]
-        return [InputPartition(name) for name in names]
+        return [InputPartition(name) for name in files_in(self._path)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path = partition.value

@@ -8,14 +8,17 @@ the one before has written, so losing executors costs no more than one step.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.ordering import newest
+from ..sources.files import delete
 from ..sources.json_records import explode_records, ingest_json, with_record_ids
 
 logger = logging.getLogger(__name__)
@@ -36,12 +39,15 @@ def process_staged(spark: SparkSession, folder: str, process: Process) -> None:
     set_flag(spark, folder)
 
 
-def set_flag(spark: SparkSession, folder: str, done: bool = True) -> None:
-    """Add a completion flag."""
+def set_flag(
+    spark: SparkSession, folder: str, done: bool = True, batch_id: int | None = None
+) -> None:
+    """Add a completion flag, of one batch of a stream if its id is given."""
     flag = spark.range(1).select(
         F.lit(done).alias("done"), F.current_timestamp().alias("flagged_at")
     )
-    flag.write.mode("append").parquet(f"{folder}/flags")
+    part = "" if batch_id is None else f"/batch_id={batch_id}"
+    flag.write.mode("append").parquet(f"{folder}/flags{part}")
 
 
 def is_done(spark: SparkSession, folder: str) -> bool:
@@ -62,7 +68,7 @@ def clean_up(spark: SparkSession, folder: str) -> bool:
         logger.info("processing not complete, staged records kept")
         return False
     for name in ("staged", "flags"):
-        _delete(spark, f"{folder}/{name}")
+        delete(f"{folder}/{name}")
     return True
 
 
@@ -96,10 +102,12 @@ def start_staging_stream(
 ) -> StreamingQuery:
     """The same in micro-batches over files as they land, until none are left.
 
-    Spark may run a batch twice after a failure. All output of a batch, its flag
-    included, goes to that batch's own partition and replaces what was there, so
-    the outcome counts each record once. ``process`` gets ``batch_id``, ``id`` and
-    ``data``; the first two together are unique over the whole stream.
+    Spark may run a batch twice after a failure. All output of a batch goes to that
+    batch's own partition and replaces what was there, so the outcome counts each record
+    once; flags are added, and the newest one of a batch counts. ``process`` gets
+    ``batch_id``, ``id`` and ``data``; the first two together are unique over the whole
+    stream. What a batch has staged stays until :func:`start_clean_up_stream` sees that
+    it is done.
     """
     documents = (
         spark.readStream.schema("value string")
@@ -115,11 +123,7 @@ def start_staging_stream(
         records.write.mode("overwrite").parquet(stage)
         staged = session.read.parquet(stage)
         process(staged).write.mode("overwrite").parquet(f"{folder}/results/{part}")
-        flag = session.range(1).select(
-            F.lit(True).alias("done"), F.current_timestamp().alias("flagged_at")
-        )
-        flag.write.mode("overwrite").parquet(f"{folder}/flags/{part}")
-        _delete(session, stage)
+        set_flag(session, folder, batch_id=batch_id)
 
     return (
         documents.writeStream.foreachBatch(run_batch)
@@ -129,7 +133,42 @@ def start_staging_stream(
     )
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Delete a path on whatever file system it names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+def start_clean_up_stream(spark: SparkSession, folder: str) -> StreamingQuery:
+    """Delete what batches have staged once their newest flag says done, until no flag is left.
+
+    The newest flag of each batch is kept as state by its id, so that it counts over all runs
+    of this stream: a batch without a flag, or that has been flagged as not done since, keeps
+    its stage until a later flag says done. Deleting a stage twice changes nothing.
+    """
+    flags = spark.readStream.schema(f"{_FLAG_SCHEMA}, batch_id bigint").parquet(f"{folder}/flags")
+    newest_flags = flags.groupBy("batch_id").applyInPandasWithState(
+        _newest_flag, "batch_id bigint, done boolean", _FLAG_SCHEMA, "update", GroupStateTimeout.NoTimeout
+    )
+
+    def delete_stages(changed: DataFrame, _: int) -> None:
+        # A trigger has as many rows as batches were flagged since the last one.
+        for row in changed.filter("done").select("batch_id").distinct().toLocalIterator():
+            delete(f"{folder}/staged/batch_id={row['batch_id']}")
+
+    return (
+        newest_flags.writeStream.foreachBatch(delete_stages)
+        .outputMode("update")
+        .option("checkpointLocation", f"{folder}/clean_up_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _newest_flag(
+    key: tuple[int], flags: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    done, flagged_at = state.get if state.exists else (False, None)
+    for frame in flags:
+        # Of flags of the same moment one that says not done counts.
+        last = frame.sort_values(["flagged_at", "done"], ascending=[True, False]).iloc[-1]
+        if flagged_at is None or last["flagged_at"] > flagged_at:
+            done, flagged_at = bool(last["done"]), last["flagged_at"]
+        elif last["flagged_at"] == flagged_at:
+            done = done and bool(last["done"])
+    state.update((done, flagged_at))
+    yield pd.DataFrame({"batch_id": [key[0]], "done": [done]})

@@ -1,7 +1,11 @@
 """Table operators on small tables, with skew, nulls and failures."""
 
+import os
 import random
 import statistics
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -9,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskflow.config import Dataset, FilterRule
-from riskflow.operators import aggregates, nesting, ordering
+from riskflow.operators import aggregates, nesting, ordering, record_effects
 from riskflow.operators import python_functions as py
 from riskflow.operators.aggregates import (
     Aggregate,
@@ -358,6 +362,65 @@ def test_process_records_bad_json_fails(spark):
         py.process_records(df, lambda r: r, "a int").collect()
 
 
+def test_effects_of_a_run_count_once(spark, tmp_path):
+    folder = str(tmp_path / "effects")
+    df = spark.range(100, numPartitions=4).select(F.to_json(F.struct("id")).alias("data"))
+
+    def fails(record, emit):
+        emit(f"seen {record['id']}")
+        if record["id"] == 77:
+            raise RuntimeError("lost")
+
+    def works(record, emit):
+        for _ in range(record["id"] % 3):
+            emit(f'{record["id"]}\n"é"')
+
+    with pytest.raises(PySparkException):
+        record_effects.process_each(df, fails, folder, "day 1")
+    with pytest.raises(ValueError):
+        record_effects.effects(spark, folder, "day 1")
+    assert not list((tmp_path / "effects" / "attempts").glob("*/*"))
+    assert record_effects.process_each(df, works, folder, "day 1")
+    assert not record_effects.process_each(df, fails, folder, "day 1")
+    want = sorted(f'{i}\n"é"' for i in range(100) for _ in range(i % 3))
+    assert sorted(r["value"] for r in record_effects.effects(spark, folder, "day 1").collect()) == want
+    assert record_effects.process_each(df.limit(0), works, folder, "day 2")
+    assert record_effects.effects(spark, folder, "day 2").count() == 0
+
+
+RETRIED = """
+import sys
+from pathlib import Path
+from pyspark.sql import SparkSession, functions as F
+from riskflow.operators.record_effects import effects, process_each
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.range(40, numPartitions=2).select(F.to_json(F.struct("id")).alias("data"))
+
+def fails_once(record, emit):
+    emit(str(record["id"]))
+    marker = Path(folder, "failed")
+    if record["id"] == 33 and not marker.exists():
+        marker.touch()
+        raise RuntimeError("lost")
+
+process_each(df, fails_once, folder, "r")
+assert Path(folder, "failed").exists()
+assert sorted(int(r["value"]) for r in effects(spark, folder, "r").collect()) == list(range(40))
+assert len(list(Path(folder, "attempts").glob("*/*"))) == 2
+"""
+
+
+def test_effects_of_a_task_that_runs_twice(tmp_path):
+    # Tasks are tried again only in a session made for it.
+    root = str(Path(__file__).parents[1])
+    ran = subprocess.run(
+        [sys.executable, "-c", RETRIED, str(tmp_path)],
+        env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300,
+    )
+    assert ran.returncode == 0, ran.stderr[-2000:]
+
+
 def test_cap_partitions(spark):
     assert py.cap_partitions(spark.range(100, numPartitions=50), 4).rdd.getNumPartitions() == 4
     assert py.cap_partitions(spark.range(100, numPartitions=50), 4).count() == 100

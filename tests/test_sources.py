@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -321,3 +322,60 @@ def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
     staging.start_staging_stream(spark, landed, folder, fails_once, files_per_batch=1).awaitTermination()
     results = spark.read.parquet(f"{folder}/results")
     assert sorted(r["a"] for r in results.collect()) == [1, 2, 3] and len(seen) == 3
+
+
+def test_stages_go_when_their_newest_flag_says_done(spark, tmp_path):
+    landed = land(tmp_path, '{"a": 1}', '{"a": 2}', '{"a": 3}')
+    folder = str(tmp_path / "run")
+    batches = []
+
+    def fails_once(staged):
+        batches.append(staged.count())
+        if len(batches) == 3:
+            raise RuntimeError("lost")
+        return take_a(staged)
+
+    def staged():
+        return sorted(p.name for p in (tmp_path / "run/staged").glob("batch_id=*"))
+
+    def clean_up():
+        staging.start_clean_up_stream(spark, folder).awaitTermination()
+
+    with pytest.raises(PySparkException):
+        staging.start_staging_stream(spark, landed, folder, fails_once, files_per_batch=1).awaitTermination()
+    assert staged() == ["batch_id=0", "batch_id=1", "batch_id=2"]
+    # One of the finished ones is called back before the clean-up sees it.
+    staging.set_flag(spark, folder, done=False, batch_id=1)
+    clean_up()
+    assert staged() == ["batch_id=1", "batch_id=2"]
+    staging.start_staging_stream(spark, landed, folder, fails_once, files_per_batch=1).awaitTermination()
+    assert staged() == ["batch_id=1", "batch_id=2"]
+    clean_up()
+    assert staged() == ["batch_id=1"]
+    staging.set_flag(spark, folder, batch_id=1)
+    clean_up()
+    assert staged() == []
+    results = spark.read.parquet(f"{folder}/results")
+    assert sorted(r["a"] for r in results.collect()) == [1, 2, 3]
+
+
+def test_newest_flag_wins_in_any_order():
+    class State:
+        def __init__(self):
+            self.get, self.exists = None, False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+    def flags(*rows):
+        return pd.DataFrame(rows, columns=["done", "flagged_at"]).assign(flagged_at=lambda f: pd.to_datetime(f["flagged_at"], unit="s"))
+
+    state = State()
+    for frames, want in (
+        ([flags((True, 5), (False, 2))], True),
+        ([flags((False, 3))], True),
+        ([flags((False, 5))], False),
+        ([flags((True, 9)), flags((False, 8))], True),
+    ):
+        (out,) = staging._newest_flag((4,), iter(frames), state)
+        assert out.to_dict("records") == [{"batch_id": 4, "done": want}]
