@@ -29,6 +29,7 @@ COMPARISONS: dict[str, Callable[[Column, Column], Column]] = {
     "gte": cmp.gte,
     "lte": cmp.lte,
 }
+OPERATORS = (*COMPARISONS, "between", "in", "like")
 
 
 def rule_condition(rule: FilterRule, schema: T.StructType) -> Column | None:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Calculation, DerivedValues, FilterRule, ThresholdValue
+from .rules_schema import shipped_schema
 
 
 def _texts(*names: str) -> T.StructType:
@@ -38,33 +39,41 @@ RULE_SCHEMA = T.StructType(
 )
 
 
-def read_calculations(spark: SparkSession, path: str) -> DataFrame:
+def read_calculations(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
     """One row per ``Calculation`` element of the XML files at the path, in no set order.
 
-    An element that cannot be read fails the query.
+    An element that cannot be read fails the query. So does one that the scan finds to break
+    the schema of rules, unless ``validate`` is off: without dataset or key, with an unknown
+    operator or type of value, or with elements that rules do not have. The error names the
+    file and what is wrong.
     """
-    reader = spark.read.option("rowTag", "Calculation").option("mode", "FAILFAST")
+    reader = _reader(spark, "Calculation", validate)
     return reader.schema(CALCULATION_SCHEMA).xml(path)
 
 
+def _reader(spark: SparkSession, tag: str, validate: bool) -> DataFrameReader:
+    reader = spark.read.option("rowTag", tag).option("mode", "FAILFAST")
+    return reader.option("rowValidationXSDPath", shipped_schema(spark)) if validate else reader
+
+
 def parse_rule(text: Column) -> Column:
     """A text column of whole rules as structs."""
     return F.from_xml(text, RULE_SCHEMA)
 
 
-def load_calculations(spark: SparkSession, path: str) -> list[Calculation]:
+def load_calculations(spark: SparkSession, path: str, validate: bool = True) -> list[Calculation]:
     """Calculations of rule files as config values, by path and then place in the file.
 
     Raises where a file is not well-formed XML, or a calculation or filter lacks what
-    it cannot do without: a rule that lost its filter would hold for everything.
+    it cannot do without: a rule that lost its filter would hold for everything. Elements
+    are checked as by :func:`read_calculations`.
     """
     files = spark.read.text(path, wholetext=True)
     # XPath reads a whole file or fails, and counts what has to be found.
     expected = files.select(F.expr("xpath_int(value, 'count(//Calculation)')").alias("n"))
     total = expected.agg(F.sum("n")).first()[0] or 0
     lists = (
-        spark.read.option("rowTag", "DynamicThresholdCalculations")
-        .option("mode", "FAILFAST")
+        _reader(spark, "DynamicThresholdCalculations", validate)
         .schema(_list_of("Calculation", CALCULATION_SCHEMA))
         .xml(path)
         .select(

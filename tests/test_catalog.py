@@ -55,6 +55,17 @@ def test_every_operator_has_a_query():
     assert len(ids) > 90 and {i.upper() for i in ids} <= covered
 
 
+def test_thresholds_read_and_shuffle_little(spark, sf_dir, capsys):
+    """Statistics of one dataset are one aggregation; joins on their key shuffle them no more."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["w2_dynamic_threshold"](spark, sf_dir).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") <= 4 and plan.count("Exchange hashpartitioning") <= 5
+
+
 def test_entry(spark):
     report = entry_points.entry(spark)
     assert report.columns[:2] == ["category", "high_value_transaction"]

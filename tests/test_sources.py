@@ -74,6 +74,31 @@ def test_broken_rules_fail(spark, tmp_path):
             rules_xml.load_calculations(spark, str(tmp_path / f"{i}.xml"))
 
 
+@pytest.mark.parametrize(
+    "old, new, named",
+    [
+        ("between", "betwixt", "betwixt"),
+        ("<Key>account_id</Key>", "", "Keys"),
+        ("<Keys><Key>a</Key><Key>b</Key></Keys>", "", "Calculation"),
+        ('type="float64">derived.mean +', 'type="float65">derived.mean +', "float65"),
+        ('name="lower" ', "", "name"),
+        ("<DatasetId>ds3</DatasetId>", "<DatasetId> </DatasetId>", "DatasetId"),
+        ("<DatasetId>ds3</DatasetId>", "<DatasetId>ds3</DatasetId><Limit>5</Limit>", "Limit"),
+    ],
+)
+def test_rules_that_break_their_schema_fail_in_the_scan(spark, tmp_path, old, new, named):
+    assert old in RULE
+    (tmp_path / "good.xml").write_text(RULE.replace("between", " BETWEEN ").replace("float64", "Float64"))
+    assert rules_xml.read_calculations(spark, str(tmp_path)).count() == 2
+    (tmp_path / "broken.xml").write_text(RULE.replace(old, new))
+    for read in (rules_xml.read_calculations, rules_xml.load_calculations):
+        with pytest.raises((PySparkException, Py4JJavaError)) as failed:
+            rows = read(spark, str(tmp_path))
+            rows.collect()
+        assert "broken.xml" in str(failed.value) and named in str(failed.value)
+    assert rules_xml.read_calculations(spark, str(tmp_path), validate=False).count() == 4
+
+
 @pytest.mark.parametrize("larger", ["a.xml", "b.xml"])
 def test_rules_come_by_file_and_place(spark, tmp_path, larger):
     for name in ("a.xml", "b.xml"):
