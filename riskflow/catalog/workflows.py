@@ -16,6 +16,7 @@ from ..plans.static_thresholds import (
     threshold_struct,
     typed_thresholds,
 )
+from ..sources import versions
 from ..sources.tables import read_csv
 from ..streaming import staging
 from .registry import query
@@ -64,6 +65,16 @@ def bank_report_files(t):
     return report.withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
+@query("w1_report_versions", BANK_REPORT)
+def report_versions(t):
+    """The newest of two published reports, read as CSV."""
+    folder = t.new_folder("reports")
+    bank.publish_report(bank.bank_report(*bank_tables(t), threshold=1), folder)
+    written = bank.publish_report(bank.bank_report(*bank_tables(t), threshold=50000), folder)
+    report = read_csv(t.spark, versions.current(folder, bank.CSV_NAME), written.schema)
+    return report.withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
 # Three calculations: two over one dataset with different filters, and one that takes
 # its dataset's column as it is.
 CALCULATIONS = [

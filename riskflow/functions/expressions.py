@@ -93,19 +93,23 @@ def column_resolver(dataset_columns: Collection[str] | None = None) -> Resolver:
 
 def config_column(text: str, resolve: Resolver | None = None) -> Column:
     """Column for an expression such as ``derived.mean + 3 * derived.std``."""
+    return _column(parsed(text), resolve or column_resolver(), text)
+
+
+def parsed(text: str) -> ast.expr:
+    """The expression as a tree, in which names after a prefix start with ``f_``."""
     source = text.strip()
     if source.lower() in ("true", "false"):
-        return F.lit(source.lower() == "true")
+        return ast.Constant(source.lower() == "true")
     if _DATE.fullmatch(source):
-        return F.lit(source)
+        return ast.Constant(source)
     # Any field name is allowed after a prefix, also words Python keeps for itself. A date
     # outside quotes is a date, not a subtraction.
     marked = _PATH.sub(lambda m: m[1] or (f"'{m[4]}'" if m[4] else f"{m[2]}.f_{m[3]}"), source)
     try:
-        tree = ast.parse(marked, mode="eval").body
+        return ast.parse(marked, mode="eval").body
     except SyntaxError as error:
         raise ValueError(f"cannot read expression {text!r}") from error
-    return _column(tree, resolve or column_resolver(), text)
 
 
 def _column(node: ast.expr, resolve: Resolver, text: str) -> Column:
@@ -150,6 +154,10 @@ def _compare(left: ast.expr, op: ast.cmpop, right: ast.expr, build: Any, text: s
     return _COMPARE[type(op)](side(left), side(right))
 
 
+def is_date_text(text: str) -> bool:
+    return _DATE.fullmatch(text.strip()) is not None
+
+
 def has_path(text: str) -> bool:
     """Whether the text names a prefixed column outside quotes."""
     return any(m[2] for m in _PATH.finditer(text))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..config import FilterRule
 from ..functions import comparators as cmp
 from ..functions.columns import quoted
+from ..functions.expression_types import check_comparison, types_in
 from ..functions.expressions import (
     column_resolver,
     config_column,
@@ -47,6 +48,7 @@ def rule_condition(rule: FilterRule, schema: T.StructType) -> Column | None:
         if isinstance(value, Column):
             return value
         if isinstance(value, str) and has_path(value):
+            check_comparison(rule.column, value, types_in(schema))
             return config_column(value, column_resolver(schema.fieldNames()))
         return literal_for(value, data_type)
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import flag
 from ..operators.joins import join_on_keys
 from ..sources.tables import read_parquet, write_csv, write_parquet
+from ..sources.versions import publish
+
+# What the report's files are called.
+PARQUET_NAME, CSV_NAME = "grouped_data.parquet", "grouped_data.csv"
 
 
 def active_accounts(
@@ -69,12 +73,28 @@ def write_report(report: DataFrame, output_dir: str) -> DataFrame:
 
     The report is computed once; the CSV is written from the parquet result.
     """
-    write_parquet(report, f"{output_dir}/grouped_data.parquet")
-    written = read_parquet(report.sparkSession, f"{output_dir}/grouped_data.parquet")
-    write_csv(written, f"{output_dir}/grouped_data.csv")
+    write_parquet(report, f"{output_dir}/{PARQUET_NAME}")
+    written = read_parquet(report.sparkSession, f"{output_dir}/{PARQUET_NAME}")
+    write_csv(written, f"{output_dir}/{CSV_NAME}")
     return written
 
 
+def publish_report(report: DataFrame, output_dir: str) -> DataFrame:
+    """Write a report as a new version of parquet and CSV and give what was written.
+
+    Readers of :func:`riskflow.sources.versions.current` find the two of one run, also while
+    another one writes or after it failed.
+    """
+    spark = report.sparkSession
+
+    def as_csv(path: str) -> None:
+        # The report is computed once.
+        write_csv(read_parquet(spark, path.removesuffix(CSV_NAME) + PARQUET_NAME), path)
+
+    version = publish(output_dir, {PARQUET_NAME: lambda path: write_parquet(report, path), CSV_NAME: as_csv})
+    return read_parquet(spark, f"{version}/{PARQUET_NAME}")
+
+
 def bank_report_files(
     spark: SparkSession, input_dir: str, output_dir: str, threshold: float = 500
 ) -> DataFrame:

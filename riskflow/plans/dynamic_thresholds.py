@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Calculation, Dataset, EventTable
 from ..functions.casts import cast_value
 from ..functions.columns import quoted
+from ..functions.expression_types import kinds_of, types_of
 from ..functions.expressions import Resolver, column_resolver, config_column
 from ..functions.structs import ensure_struct_columns, field, field_names, set_fields
 from ..operators.aggregates import Aggregate, group_aggregate
@@ -79,7 +80,9 @@ def _with_thresholds(
             dict(derived), dict(dynamic),
         )
         values = {}
+        types = types_of(df, resolve)
         for j, value in enumerate(calculation.values):
+            kinds_of(value.expression, types)
             column = cast_value(config_column(value.expression, resolve), value.type)
             values[f"__value_{i}_{j}"] = column
             dynamic[value.name] = new_dynamic[value.name] = F.col(f"__value_{i}_{j}")

@@ -6,14 +6,20 @@ import random
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from riskflow.config import Calculation, Dataset, DerivedValues, EventTable, FilterRule, ThresholdValue
 from riskflow.functions import comparators as cmp
+from riskflow.functions import expression_types
 from riskflow.functions.casts import cast_value, typed_value
 from riskflow.functions.columns import composite_key, decoded_base64, flag
 from riskflow.functions.expressions import config_column, parse_sequence
 from riskflow.functions.lists import list_in, list_not_in_list, literal_pattern, normalize_pair_list, split_list
 from riskflow.functions.structs import ensure_struct_columns, field_names, set_fields, struct_of
 from riskflow.operators.columns import cast_columns
+from riskflow.operators.filters import apply_filters
+from riskflow.plans.dynamic_thresholds import dynamic_threshold
+from riskflow.plans.rule_flags import with_flag
 
 
 def values(df, *columns):
@@ -292,3 +298,75 @@ def test_dates_and_whole_numbers_in_expressions(spark):
     }
     got = df.select(*[config_column(text).alias(str(i)) for i, text in enumerate(texts)]).first()
     assert list(got) == list(texts.values())
+
+
+SCHEMA = (
+    "name string, n int, price double, ok boolean, day date, at timestamp, other array<int>, "
+    "derived_values struct<mean: double, label: string>, static_thresholds struct<limit: decimal(9,2), on: boolean>"
+)
+
+
+@pytest.mark.parametrize(
+    "text, named",
+    [
+        ("ev.name - 1", "ev.name is a text, not a number"),
+        ("2 * (ev.n + ev.ok)", "ev.ok is a boolean"),
+        ("ev.day + 1", "ev.day is a date"),
+        ("-derived.label", "derived.label is a text"),
+        ("ev.n > ev.name", "ev.n, a number, is compared with ev.name, a text"),
+        ("ev.day > 5", "ev.day, a date"),
+        ("ev.ok == 1", "ev.ok, a boolean"),
+        ("ev.n in (1, two)", "two, a text"),
+        ("(ev.n > 1) & ev.price", "ev.price is a number, not a boolean"),
+        ("not ev.name", "ev.name is a text"),
+        ("th.limit + th.on", "th.on is a boolean"),
+        ("1 < ev.n < ev.day", "ev.day, a date"),
+        ("ev.name + 'x'", "ev.name is a text"),
+    ],
+)
+def test_kinds_that_do_not_fit_are_named(text, named):
+    types = expression_types.types_in(T.StructType.fromDDL(SCHEMA))
+    with pytest.raises(ValueError) as failed:
+        expression_types.kinds_of(text, types)
+    assert repr(text) in str(failed.value) and named in str(failed.value)
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("ev.n + 3 * derived.mean", {"number"}),
+        ("ev.day >= 2024-01-05", {"boolean"}),
+        ("ev.at < ev.day", {"boolean"}),
+        ("ev.name == Active", {"boolean"}),
+        ("ev.name == '5'", {"boolean"}),
+        ("ev.n == '5'", {"boolean"}),
+        ("ev.ok == true", {"boolean"}),
+        ("ev.ok & (th.on | (ev.n < 1))", {"boolean"}),
+        ("th.limit // 2 ** 3", {"number"}),
+        ("ev.name in (a, b, '2024-01-05')", {"boolean"}),
+        ("ev.missing + dth.unknown", {"number"}),
+        ("ev.day - ev.day", expression_types.ANY),
+        ("ev.other", expression_types.ANY),
+        ("None", expression_types.ANY),
+        ("2024-01-05", {"date", "text"}),
+    ],
+)
+def test_kinds_of_expressions(text, kinds):
+    types = expression_types.types_in(T.StructType.fromDDL(SCHEMA))
+    assert expression_types.kinds_of(text, types) == kinds
+
+
+def test_kinds_are_checked_before_anything_runs(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    with pytest.raises(ValueError, match="ev.name is a text"):
+        with_flag(df, "high", "ev.price > ev.name * 2")
+    with pytest.raises(ValueError, match="is a number, not a boolean"):
+        with_flag(df, "high", "ev.price + 1")
+    with pytest.raises(ValueError, match="column 'n'"):
+        apply_filters(df, [FilterRule("n", "gt", "ds.name")])
+    with pytest.raises(ValueError, match="derived.max is a text"):
+        dynamic_threshold(
+            {"e": EventTable(df, ("n",))},
+            {"d": Dataset(df, ("n",))},
+            [Calculation("d", ("n",), DerivedValues("name", ("max",)), (), (ThresholdValue("upper", "float64", "derived.max + 1"),))],
+        )

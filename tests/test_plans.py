@@ -7,10 +7,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from riskflow.config import Calculation, Dataset, DerivedValues, EventTable, FilterRule, ThresholdValue
+from riskflow.plans import bank_report as reports
 from riskflow.plans.bank_report import active_accounts, bank_report, bank_report_files, joined_transactions
 from riskflow.plans.dynamic_thresholds import dynamic_threshold
 from riskflow.plans.event_level import event_level
 from riskflow.plans.rule_flags import flagged, with_flag
+from riskflow.sources import versions
 from riskflow.plans.static_thresholds import (
     attach_static_thresholds,
     nested_thresholds,
@@ -74,6 +76,40 @@ def test_bank_report_files(spark, bank, tmp_path):
     assert rows(csv) == rows(report) and csv.count() == 6
 
 
+def test_published_reports_come_whole_or_not_at_all(spark, bank, tmp_path, monkeypatch):
+    folder = str(tmp_path / "reports")
+
+    def now():
+        csv = spark.read.option("header", True).schema(first.schema).csv(versions.current(folder, reports.CSV_NAME))
+        return rows(spark.read.parquet(versions.current(folder, reports.PARQUET_NAME))), rows(csv)
+
+    with pytest.raises(FileNotFoundError):
+        versions.current(folder, reports.CSV_NAME)
+    first = reports.publish_report(bank_report(*bank), folder)
+    old = rows(first)
+    assert now() == (old, old)
+
+    def fails(df, path):
+        raise OSError("disk full")
+
+    other = bank_report(*bank, threshold=1)
+    with monkeypatch.context() as patch:
+        patch.setattr(reports, "write_csv", fails)
+        with pytest.raises(OSError):
+            reports.publish_report(other, folder)
+    assert now() == (old, old)
+    assert len(list((tmp_path / "reports/versions").iterdir())) == 1
+    for _ in range(11):
+        new = rows(reports.publish_report(other, folder))
+    assert now() == (new, new) and new != old
+    assert versions.remove_old(folder, keep=2) == 10 and now() == (new, new)
+    assert len(list((tmp_path / "reports/versions").iterdir())) == 2
+    with pytest.raises(ValueError):
+        versions.current(folder, "other.csv")
+    with pytest.raises(ValueError):
+        versions.remove_old(folder, keep=0)
+
+
 def test_active_accounts(bank):
     kept = active_accounts(bank[0])
     assert kept.count() == bank[0].filter("balance > 10000 and status = 'Active'").count() > 0
