@@ -1,33 +1,36 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, found by PartEnum signatures.
+"""Near duplicates by exact Jaccard similarity of word shingles, found by common signatures.
 
 A text's set holds its distinct five-word shingles, as 64-bit hashes. Two sets of sizes a and
-b link when their similarity is 0.75 or more, so they differ in at most (a + b) / 7 elements.
-
-Sizes fall into bands, a band per power of 16; a set near the end of a band takes part in
-the next one as well, so that sets that can link share a band. Within a band the domain of
-hashes is cut into blocks, each block into partitions, and the subsets of ``SUBSET`` of the
-``PARTS`` partitions of every block are enumerated: a signature is the hash of the set's
-elements in such a subset. An element in which two sets differ spoils as many signatures as
-there are subsets that hold its partition, and all others are equal. Of a set's signatures
-(empty ones aside), in an order that all sets share, only as many are kept as could be
-spoiled and one more, so two sets that link keep one in common (their first common one).
-Parameters: subsets of one in two partitions give the fewest signatures. The shared order
-puts signatures last whose elements all are frequent in a sample of texts, as those of
-passages that many documents share; the order only decides the cost, never the result.
+b, a <= b, link when their similarity is 0.75 or more: then they have 3 (a + b) / 7 elements
+in common, so the smaller lacks at most a / 7 of its elements in the larger, and the larger
+at most b / 4 of its own in the smaller.
+
+The domain of hashes is partitioned down to single elements, so that a signature is an
+element, and the elements of all sets are put in one order. Each set gives its first
+a / 4 + 1 elements as signatures, of which the first a / 7 + 1 also count where it is the
+smaller of two; the first element that two linked sets have in common is among both. (Larger
+partitions and enumerated subsets of them can only be bounded by the symmetric difference of
+both sets, which takes more signatures and lets more pairs through; see the README for
+figures.) The order puts elements last that are frequent in a sample of texts, as those of
+passages that many documents share; it only decides the cost, never the result. So a passage
+shared by many texts is a signature only of sets of which it is three quarters, and one of
+the smaller side only where it is six sevenths, and those link with each other.
 
 Texts of equal set are one class before anything else. Classes that share a signature meet
 at one of them. Pairs are first held against sketches (the parity of the number of elements
 in each part of the domain, 1024 parts or more by size; sketches differ in no more places
-than sets do), which
-refutes most pairs that do not link; the others are verified on the whole texts. Verified
-links join classes to components. Signatures whose classes are not all in one component by then are gone through
-again with another class in the middle, and in the end pair by pair across components, so
-no link is lost and no pair within a component is looked at.
+than sets do), which refutes most pairs that do not link; the others are verified on the
+whole texts. Verified links join classes to components. Signatures whose classes are not all
+in one component by then are gone through again with another class in the middle, and in the
+end the smaller ones are held against the larger ones of other components, so no link is
+lost and no pair within a component is looked at.
 
 Defined cases: a null or empty text, and one of white space only, has the empty set and
 links with nothing. Texts under five words have their whole sequence as one shingle. A null
 id is a document that never names a component; a component of null ids only has a null name.
-Rows that repeat an id are documents of their own.
+Rows that repeat an id are documents of their own; rows that repeat a text link with each
+other. An empty table has no rows. Very long texts are read whole, one at a time. Other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +38,6 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,26 +47,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .rows_decided import rows_decided
 from .stored import stored
 from .word_hashes import WordHashes, mixed, multipliers
 
 SHINGLE = 5
-PARTS = 2
-SUBSET = 1
-#: Sizes of a band differ by less than 2 ** BAND_BITS; sets of the first bands (under 256
-#: elements) have one partition for each element.
-BAND_BITS = 4
-SINGLE_BANDS = 2
 SAMPLE_DOCS = 10_000
 FREQUENT_IN_SAMPLE = 3
 FREQUENT_LIMIT = 100_000
-BROADCAST_KEYS = 500_000
 STAR_ROUNDS = 1
 #: Sketches of small sets have 1024 bits; each step takes eight times as many.
 SKETCH_BITS = 1 << 10
 SKETCH_STEP = 8
 FACTORS = multipliers(SHINGLE)
-BAND_SALTS = multipliers(128)
+#: Elements of the texts whose profiles are handed on together.
+BATCH_ELEMENTS = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -92,53 +88,17 @@ def is_link(left: np.ndarray, right: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(left) + len(right) - common) and common > 0
 
 
-def _subset_signatures(elements: np.ndarray, frequent: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all subsets of partitions that hold elements; whether all of those are frequent."""
-    salt = BAND_SALTS[band]
-    if band < SINGLE_BANDS:
-        return mixed(elements ^ salt), frequent
-    # At least twice as many partitions as the band's largest set has elements; the sorted
-    # elements of a partition are neighbours.
-    bits = BAND_BITS * (band + 1) + 1
-    places = elements >> np.uint64(64 - bits)
-    starts = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
-    sums = np.add.reduceat(mixed(elements ^ salt), starts)
-    rare = np.maximum.reduceat((~frequent).astype(np.uint8), starts)
-    if SUBSET == 1:
-        return mixed(sums), rare == 0
-    block, part = places[starts] // np.uint64(PARTS), places[starts] % np.uint64(PARTS)
-    out, out_rare = [], []
-    for subset in combinations(range(PARTS), SUBSET):
-        inside = np.flatnonzero(np.isin(part, subset))
-        if len(inside):
-            firsts = np.flatnonzero(np.concatenate(([True], block[inside][1:] != block[inside][:-1])))
-            number = np.uint64(sum(1 << i for i in subset))
-            out.append(mixed(np.add.reduceat(sums[inside], firsts) + number))
-            out_rare.append(np.maximum.reduceat(rare[inside], firsts))
-    return np.concatenate(out), np.concatenate(out_rare) == 0
-
-
-def signatures_of(elements: np.ndarray, frequent_elements: np.ndarray) -> np.ndarray:
-    """The signatures of a set of which sets that link with it have at least one."""
+def signatures_of(elements: np.ndarray, frequent_elements: np.ndarray) -> tuple[np.ndarray, int]:
+    """The signatures of a set, and how many of them, from the first on, count where it is the smaller."""
     size = len(elements)
     if not size:
-        return np.zeros(0, dtype=np.uint64)
-    frequent = np.zeros(size, dtype=bool)
+        return np.zeros(0, dtype=np.uint64), 0
     if len(frequent_elements):
         at = np.minimum(np.searchsorted(frequent_elements, elements), len(frequent_elements) - 1)
         frequent = frequent_elements[at] == elements
-    band = (size.bit_length() - 1) // BAND_BITS
-    largest = 4 * size // 3
-    out = []
-    for number in (band, band + 1) if largest >> (BAND_BITS * (band + 1)) else (band,):
-        values, all_frequent = _subset_signatures(elements, frequent, number)
-        differing = (size + min(largest, (1 << (BAND_BITS * (number + 1))) - 1)) // 7
-        spoiled = differing * (comb(PARTS - 1, SUBSET - 1) if number >= SINGLE_BANDS else 1)
-        if len(values) <= spoiled:
-            raise ValueError("too few signatures for the guarantee: elements are not spread like hashes")
-        order = np.lexsort((values, all_frequent))
-        out.append(values[order[: spoiled + 1]])
-    return np.unique(np.concatenate(out))
+        # Elements are sorted; a stable sort keeps them so among the rare and the frequent.
+        elements = elements[np.argsort(frequent, kind="stable")]
+    return elements[: size // 4 + 1], size // 7 + 1
 
 
 def _print_of(elements: np.ndarray) -> tuple[int, int]:
@@ -167,37 +127,47 @@ def _folded(sketch: Column) -> Column:
 
 
 def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, row (a number), n_shingles, print_a, print_b, signatures, and the text of rows without an id."""
+    """doc_id, text_key, row (a number), n_shingles, print_a, print_b, signatures, n_small, sketch.
+
+    The text comes along for rows without an id.
+    """
+    kind = docs.schema["text_key"].dataType.simpleString()
+
+    def handed_on(part: pa.RecordBatch, row: int, profiles: list[tuple]) -> pa.RecordBatch:
+        sizes, prints, signatures, small, sketches = zip(*profiles)
+        lengths = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
+        ids, texts = part.column("doc_id"), part.column("text")
+        columns = [
+            ids,
+            part.column("text_key"),
+            pa.array(np.arange(row, row + len(part))),
+            pa.array(sizes, pa.int64()),
+            *[pa.array([p[i] for p in prints], pa.int64()) for i in range(2)],
+            pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(signatures).view(np.int64))),
+            pa.array(small, pa.int64()),
+            pa.array(sketches, pa.list_(pa.int64())),
+            pa.array([None if i.is_valid else t.as_py() for i, t in zip(ids, texts)], pa.string()),
+        ]
+        names = ["doc_id", "text_key", "row", "n_shingles", "print_a", "print_b", "signatures", "n_small", "sketch", "text"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, prints, signatures, sketches = [], [], [], []
-            for text in batch.column("text"):
+            start, held, profiles = 0, 0, []
+            for i, text in enumerate(batch.column("text")):
                 elements = shingles_of(text.as_py())
-                sizes.append(len(elements))
-                prints.append(_print_of(elements))
-                sketches.append(_sketch(elements))
-                signatures.append(signatures_of(elements, frequent).view(np.int64))
-            ids = batch.column("doc_id")
-            lengths = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
-            values = np.concatenate(signatures) if signatures else np.zeros(0, np.int64)
-            rows, row = np.arange(row, row + len(ids)), row + len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array(rows),
-                    pa.array(sizes, pa.int64()),
-                    *[pa.array([p[i] for p in prints], pa.int64()) for i in range(2)],
-                    pa.ListArray.from_arrays(pa.array(lengths), pa.array(values)),
-                    pa.array(sketches, pa.list_(pa.int64())),
-                    pa.array([None if i.is_valid else t.as_py() for i, t in zip(ids, batch.column("text"))], pa.string()),
-                ],
-                ["doc_id", "row", "n_shingles", "print_a", "print_b", "signatures", "sketch", "text"],
-            )
+                signatures, small = signatures_of(elements, frequent)
+                profiles.append((len(elements), _print_of(elements), signatures.copy(), small, _sketch(elements)))
+                held += len(elements)
+                if held >= BATCH_ELEMENTS or i + 1 == len(batch):
+                    yield handed_on(batch.slice(start, len(profiles)), row, profiles)
+                    row, start, held, profiles = row + len(profiles), i + 1, 0, []
 
     return docs.mapInArrow(
-        profile, "doc_id bigint, row bigint, n_shingles bigint, print_a bigint, print_b bigint, signatures array<bigint>, sketch array<bigint>, text string"
+        profile,
+        f"doc_id bigint, text_key {kind}, row bigint, n_shingles bigint, print_a bigint, print_b bigint, "
+        "signatures array<bigint>, n_small bigint, sketch array<bigint>, text string",
     )
 
 
@@ -275,9 +245,6 @@ def _class_texts(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFr
     """The text of one document of each class in ``keys``: key, text."""
     wanted = classes.join(keys, "key")
     named = wanted.filter("text is null").select(F.col("first_id").alias("doc_id"), "key", "print_a", "print_b")
-    if keys.count() <= BROADCAST_KEYS:
-        # Rows of four numbers. The texts then need not be shuffled.
-        named = F.broadcast(named)
     by_id = docs.join(named, "doc_id").dropDuplicates(["doc_id", "key", "text"])
     loose = wanted.filter("text is not null").select("key", "print_a", "print_b", "text")
 
@@ -296,17 +263,28 @@ def _class_texts(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFr
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    return _documents(docs, id_column, text_column, F.lit(None).cast("string")).select("doc_id", "n_shingles", "component_id")
+
+
+def _documents(docs: DataFrame, id_column: str, text_column: str, text_key: Column) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, label (of the component), component_id."""
+    source = docs.select(
+        F.col(id_column).cast("bigint").alias("doc_id"), text_key.alias("text_key"), F.col(text_column).cast("string").alias("text")
+    )
     profiles = stored(_profiles(source, frequent_shingles(source)), "profiles")
     prints = ["print_a", "print_b"]
     named = F.coalesce("first_id", "print_a")
     classes = stored(
         profiles.filter("n_shingles > 0")
         .groupBy(*prints)
-        .agg(F.min("doc_id").alias("first_id"), F.first("text", ignorenulls=True).alias("text"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+        .agg(
+            F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("text", ignorenulls=True).alias("text"),
+            F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"),
+        )
         .select(
             *prints,
             "first_id",
+            "row",
             "size",
             "sketch",
             F.when(F.col("first_id").isNull(), F.coalesce("text", F.lit(""))).alias("text"),
@@ -315,29 +293,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         ),
         "classes",
     )
-    members = stored(profiles.drop("signatures", "sketch", "text").join(classes.drop("text", "size", "sketch"), prints, "left"), "members")
-    multi = _shared_signatures(profiles, members)
+    multi = _shared_signatures(profiles, classes)
     labels = _linked(multi, source, classes)
-    labelled = members.alias("m").join(labels.alias("l"), F.col("m.key") == F.col("l.key"), "left")
-    labelled = labelled.select("doc_id", "n_shingles", F.coalesce("l.label", "m.key").alias("label"))
+    keys = classes.select(*prints, "key").join(labels, "key", "left").select(*prints, F.coalesce("label", "key").alias("label"))
+    labelled = profiles.select("doc_id", "text_key", "n_shingles", *prints).join(keys, prints, "left").drop(*prints)
     names = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(names, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    name = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return labelled.join(names, "label", "left").withColumn("component_id", name)
 
 
-def _shared_signatures(profiles: DataFrame, members: DataFrame) -> DataFrame:
-    """Signatures of two classes and more: signature, pivot, key of each other class.
+def _shared_signatures(profiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Signatures of two classes and more: signature, key, size, place (in the set's order), n_small, pivot.
 
-    Profiles meet under their row's number; only those that share a signature with an
-    earlier row are then given the key of their class.
+    Each class gives the signatures of one of its rows. Which class is the pivot is found by
+    an aggregation, so that a signature of very many classes comes together in no task.
     """
-    each = profiles.select(F.explode("signatures").alias("signature"), "row")
-    by_row = Window.partitionBy("signature").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = each.withColumn("first_row", F.first("row").over(by_row)).filter("row <> first_row")
-    keys = members.select("row", "key")
-    named = met.join(keys, "row").drop("row").join(keys.select(F.col("row").alias("first_row"), F.col("key").alias("pivot")), "first_row")
-    return stored(named.filter("key <> pivot").select("signature", "pivot", "key").distinct(), "shared-signatures")
+    rows = profiles.select("row", "signatures", "n_small").join(classes.select("row", "key", "size"), "row")
+    each = rows.select(F.posexplode("signatures").alias("place", "signature"), "key", "size", "n_small")
+    is_small = F.col("place") < F.col("n_small")
+    shared = each.groupBy("signature").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.bool_or(is_small).alias("any_small"))
+    shared = shared.filter("n > 1 and any_small").select("signature", "pivot")
+    return stored(each.join(shared, "signature"), "shared-signatures")
 
 
 def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -359,15 +335,11 @@ def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         fits = F.expr("4 * least(a_size, b_size) >= 3 * greatest(a_size, b_size)")
         return out.filter(fits & (7 * places <= F.col("a_size") + F.col("b_size"))).select("a", "b")
 
-    pairs = multi.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
-    done = stored(_verified(possible(pairs), docs, classes), "verified-pairs")
+    with_pivot = multi.filter("key <> pivot").select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b"))
+    done = stored(_verified(possible(with_pivot.distinct()), docs, classes), "verified-pairs")
     labels = components(done.filter("linked"))
-    # Signatures of two classes are settled by their one pair.
-    wide = multi.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1").select("signature")
-    wide = multi.join(wide, "signature", "left_semi")
-    everyone = stored(wide.select("signature", "key").union(wide.select("signature", "pivot")).distinct(), "wide-signatures")
     for turn in range(STAR_ROUNDS + 1):
-        tagged = everyone.join(labels, "key", "left").select("signature", "key", F.coalesce("label", "key").alias("label"))
+        tagged = multi.join(labels, "key", "left").select("signature", "key", "size", "place", "n_small", F.coalesce("label", "key").alias("label"))
         open_ones = (
             tagged.groupBy("signature")
             .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("key", "label"), F.xxhash64(F.lit(turn), "key")).alias("middle"))
@@ -379,9 +351,13 @@ def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         if turn < STAR_ROUNDS:
             near = tagged.filter("label <> middle.label").select("key", F.col("middle.key").alias("other"))
         else:
-            left, right = tagged.alias("l"), tagged.alias("r")
-            near = left.join(right, F.col("l.signature") == F.col("r.signature")).filter("l.label < r.label")
-            near = near.select("l.key", F.col("r.key").alias("other"))
+            # Every link that is left has its smaller set among the one and its larger among the
+            # other. At the first element in common, all the others come after it in both sets.
+            smaller, larger = tagged.filter("place < n_small").alias("s"), tagged.alias("l")
+            near = smaller.join(larger, F.col("s.signature") == F.col("l.signature"))
+            near = near.filter("s.label <> l.label and s.size <= l.size")
+            near = near.filter("7 * least(s.size - s.place, l.size - l.place) >= 3 * (s.size + l.size)")
+            near = near.select("s.key", F.col("l.key").alias("other"))
         fresh = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         fresh = possible(fresh).join(done, ["a", "b"], "left_anti")
         verified = stored(_verified(fresh, docs, classes), "verified-pairs")
@@ -392,6 +368,20 @@ def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` of the smallest id of each component, and those without an id."""
-    gone = near_duplicates(docs, id_column, text_column).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_column] == gone["__gone_id"], "left_anti")
+    """One row of each component, with all its columns; rows without words all stay.
+
+    It is the one with the smallest id, nulls last, and of rows of one id that with the
+    smallest digest of its text. Of rows that repeat both, one stays.
+    """
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    found = _documents(docs, id_column, text_column, F.sha2(text, 256)).filter("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = found.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # Components of one row have nothing to drop.
+    kept = first.filter("n > 1").select("label", F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
+    decided = found.join(kept, "label").withColumn(
+        "__kept", F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    )
+    decided = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    decided = decided.agg(F.first("__kept").alias("__kept"), F.count("*").alias("__copies"))
+    return rows_decided(docs, decided, F.col(id_column).cast("bigint"), F.sha2(text, 256))

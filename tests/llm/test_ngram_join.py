@@ -1,5 +1,6 @@
 """The n-gram join against all pairs."""
 
+import hashlib
 import random
 import re
 
@@ -86,29 +87,48 @@ def test_chains_copies_and_shared_passages(spark, monkeypatch, seed, sample):
     assert rows_of(near_duplicates(frame.limit(0))) == []
 
 
-@pytest.mark.parametrize(("parts", "subset"), [(2, 1), (3, 2), (4, 2)])
-def test_signatures_meet_for_all_similar_sets(monkeypatch, parts, subset):
-    monkeypatch.setattr(ngram_join, "PARTS", parts)
-    monkeypatch.setattr(ngram_join, "SUBSET", subset)
+def test_signatures_meet_for_all_similar_sets():
     rng = np.random.default_rng(4)
-    none = np.zeros(0, dtype=np.uint64)
-    for _ in range(400):
+    none, met = np.zeros(0, dtype=np.uint64), 0
+    for _ in range(600):
         size = int(rng.integers(1, 700))
         left = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
         lost, new = int(rng.integers(0, size // 5 + 1)), int(rng.integers(0, size // 6 + 1))
         right = np.unique(np.concatenate((left[lost:], rng.integers(0, 2**63, new, dtype=np.uint64) * np.uint64(2))))
-        if len(right) and is_link(left, right):
-            frequent = np.sort(left[: int(rng.integers(0, len(left)))])
-            if subset == 1 or min(len(left), len(right)) >= 64:
-                for hot in (none, frequent):
-                    try:
-                        ours, theirs = signatures_of(left, hot), signatures_of(right, hot)
-                    except ValueError:
-                        assert subset > 1
-                        continue
-                    assert len(np.intersect1d(ours, theirs))
+        if not len(right) or not is_link(left, right):
+            continue
+        smaller, larger = sorted((left, right), key=len)
+        for hot in (none, np.sort(left[: int(rng.integers(0, len(left)))]), np.sort(left[lost:])):
+            ours, small = signatures_of(smaller, hot)
+            theirs, _ = signatures_of(larger, hot)
+            assert len(np.intersect1d(ours[:small], theirs))
+            met += 1
+    assert met > 300
+
+
+def test_unlinked_texts_that_share_most_of_their_words(spark):
+    """Texts of which three quarters are one passage: not near enough to link, and few pairs to look at."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(64)]
+    docs = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([17, 18, 19, 20, 25]))])) for i in range(300)]
+    docs += [(1000 + i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([2, 9, 12]))])) for i in range(40)]
+    docs += [(2000 + i, text + " more") for i, (_, text) in enumerate(docs[:20])]
+    assert rows_of(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == plain_components(docs)
+
+
+def test_one_row_of_each_component_stays(spark):
+    w, near = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))
+    u, v = "another text of its own " * 5, "nobody else has this one either " * 3
+    rows = [(1, w, "a"), (7, w, "b"), (7, u, "c"), (7, u, "d"), (None, near, "e"), (None, v, "f"), (None, v, "g"), (3, None, "h"), (3, "", "i"), (1, near, "j")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("*", "1 as key", "2 as label")
+    kept = without_near_duplicates(frame.repartition(3))
+    assert kept.columns == frame.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None]
+    smallest = min((w, near), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(map(str, got)) == sorted(map(str, [(1, smallest), (3, ""), (3, None), (7, u)]))
+    assert [r["text"] for r in kept.filter("doc_id is null").collect()] == [v]
 
 
 def test_very_long_text():
     text = "word " * 5 + " ".join(str(i) for i in range(200_000))
-    assert len(signatures_of(shingles_of(text), np.zeros(0, np.uint64))) > 50_000
+    assert len(signatures_of(shingles_of(text), np.zeros(0, np.uint64))[0]) > 50_000
