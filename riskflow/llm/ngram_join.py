@@ -56,6 +56,8 @@ SAMPLE_DOCS = 10_000
 FREQUENT_IN_SAMPLE = 3
 FREQUENT_LIMIT = 100_000
 STAR_ROUNDS = 1
+#: Elements of a set, from the first on, that tell where two sets first meet.
+HEAD = 8
 #: Sketches of small sets have 1024 bits; each step takes eight times as many.
 SKETCH_BITS = 1 << 10
 SKETCH_STEP = 8
@@ -280,6 +282,7 @@ def _documents(docs: DataFrame, id_column: str, text_column: str, text_key: Colu
         .agg(
             F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("text", ignorenulls=True).alias("text"),
             F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"),
+            F.first(F.slice("signatures", 1, HEAD)).alias("head"),
         )
         .select(
             *prints,
@@ -287,6 +290,7 @@ def _documents(docs: DataFrame, id_column: str, text_column: str, text_key: Colu
             "row",
             "size",
             "sketch",
+            "head",
             F.when(F.col("first_id").isNull(), F.coalesce("text", F.lit(""))).alias("text"),
             # An id that names several sets cannot stand for one of them.
             F.when(F.count("*").over(Window.partitionBy(named)) == 1, named).otherwise(F.col("print_a")).alias("key"),
@@ -352,11 +356,14 @@ def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
             near = tagged.filter("label <> middle.label").select("key", F.col("middle.key").alias("other"))
         else:
             # Every link that is left has its smaller set among the one and its larger among the
-            # other. At the first element in common, all the others come after it in both sets.
+            # other. Pairs meet at the first element in common: all the others come after it in
+            # both sets, and none of the first elements of the one is among those of the other.
+            tagged = tagged.join(classes.select("key", "head"), "key").withColumn("head", F.slice("head", F.lit(1), F.col("place")))
             smaller, larger = tagged.filter("place < n_small").alias("s"), tagged.alias("l")
             near = smaller.join(larger, F.col("s.signature") == F.col("l.signature"))
             near = near.filter("s.label <> l.label and s.size <= l.size")
             near = near.filter("7 * least(s.size - s.place, l.size - l.place) >= 3 * (s.size + l.size)")
+            near = near.filter(~F.arrays_overlap("s.head", "l.head"))
             near = near.select("s.key", F.col("l.key").alias("other"))
         fresh = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         fresh = possible(fresh).join(done, ["a", "b"], "left_anti")
