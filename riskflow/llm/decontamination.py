@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows_decided import text_digest
 from .word_hashes import WordHashes, mixed, multipliers
 
 SPAN = 12
@@ -204,6 +205,9 @@ def benchmark_leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which nothing of the benchmark was found."""
-    leaking = benchmark_leaks(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(leaking, docs[id_column].eqNullSafe(leaking["__leak_id"]), "left_anti")
+    """The rows of ``docs`` in whose text nothing of the benchmark was found."""
+    # What leaks is a text; an id may be null or name several.
+    texts = docs.select(text_digest(F.col(text_column)).alias("__digest"), F.col(text_column).alias("__text"))
+    leaking = benchmark_leaks(texts, benchmark, "__digest", "__text").select(F.col("doc_id").alias("__digest")).distinct()
+    marked = docs.withColumn("__digest", text_digest(F.col(text_column)))
+    return marked.join(leaking, "__digest", "left_anti").select(*[F.col(f"`{name}`") for name in docs.columns])

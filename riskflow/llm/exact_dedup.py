@@ -8,8 +8,8 @@ all (a collision) is grouped by the digest of its text instead.
 
 Defined cases: a null text is an empty one; empty texts equal each other. Of equal texts the
 smallest id stays; a null id comes last. Rows that repeat id and text are rows of the group
-like any other; the first of them is not told apart, so all rows with the staying id stay.
-Other columns play no part.
+like any other: all of them are marked as staying, and :func:`without_exact_duplicates`
+keeps one. An empty table has no rows. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows_decided import rows_decided
 from .stored import stored
 
 # Two primes below 2**31, so that a product of two residues fits a long.
@@ -174,6 +175,18 @@ def _unequal(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _grouped(docs, id_column, text_column).select(
+        "doc_id",
+        "keep_id",
+        F.col("group_size").cast("bigint"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "text_sha256",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))).alias("__copy"),
+    ).drop("__copy")
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row per id and normalised text: doc_id, text_sha256, n_rows, keep_id, group_size."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     prints = stored(fingerprints(source), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256")).alias("first")
@@ -200,25 +213,19 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
             again.alias("a"), [F.col(f"s.{c}").eqNullSafe(F.col(f"a.{c}")) for c in [*PRINT, "class"]]
         )
         grouped = grouped.select("s.doc_id", "s.text_sha256", "s.n_rows", "a.keep_id", "a.group_size")
-    return grouped.select(
-        "doc_id",
-        "keep_id",
-        F.col("group_size").cast("bigint"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))).alias("__copy"),
-    ).drop("__copy")
+    return grouped.select("doc_id", "text_sha256", "n_rows", "keep_id", "group_size")
 
 
 def without_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    # An id may be null or name two texts, so that rows are told apart by their text too.
-    kept = (
-        exact_duplicates(docs, id_column, text_column)
-        .filter("kept")
-        .select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-        .distinct()
+    """One row of each group of equal texts, with all its columns: that of the smallest id.
+
+    Of several rows with that id, the one with the smallest hash of its text as it is.
+    """
+    text = F.col(text_column)
+    decided = _grouped(docs, id_column, text_column).filter("group_size > 1").select(
+        F.col("doc_id").alias("__id"),
+        F.col("text_sha256").alias("__key"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__kept"),
+        F.col("n_rows").alias("__copies"),
     )
-    marked = docs.withColumn("__sha", F.sha2(normalized(F.col(text_column)), 256))
-    same = [marked[id_column].eqNullSafe(kept["__kept_id"]), marked["__sha"] == kept["__kept_sha"]]
-    return marked.join(kept, same, "left_semi").drop("__sha")
+    return rows_decided(docs, decided, F.col(id_column), F.sha2(normalized(text), 256), F.xxhash64(text.cast("string")))

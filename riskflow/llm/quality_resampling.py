@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows_decided import text_digest
 from .stored import stored
 from .word_hashes import REMEMBERED, WordHashes, mixed, multipliers
 
@@ -60,8 +61,8 @@ class _Marks(dict):
 
 
 def _shape(marks: str) -> str:
-    """Marks of a word without repeats, up to a length."""
-    return "".join(mark for mark, _ in groupby(marks))[:12]
+    """Marks of a word without repeats."""
+    return "".join(mark for mark, _ in groupby(marks))
 
 
 class _Words(dict):
@@ -178,16 +179,17 @@ def _weights(docs: DataFrame, ratios: np.ndarray, others: np.ndarray) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array(sizes, pa.int64()),
                     pa.array(weights, pa.float64()),
                     pa.array(held, pa.float64()),
                     pa.array([len(text or "") for text in texts], pa.int64()),
                 ],
-                ["doc_id", "n_grams", "log_weight", "held_weight", "n_chars"],
+                ["doc_id", "text_key", "n_grams", "log_weight", "held_weight", "n_chars"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(weigh, f"doc_id {kind}, n_grams bigint, log_weight double, held_weight double, n_chars bigint")
+    return docs.mapInArrow(weigh, f"doc_id {kind}, text_key string, n_grams bigint, log_weight double, held_weight double, n_chars bigint")
 
 
 def gumbel(seed: int, *columns: str) -> Column:
@@ -227,7 +229,16 @@ def resample(
     loss: float = LOSS,
 ) -> DataFrame:
     """The documents sampled: doc_id, n_grams, log_weight, key, kept (always true)."""
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    no_key = F.lit(None).cast("string")
+    return _sampled(docs, labels, seed, id_column, text_column, loss, no_key).drop("text_key")
+
+
+def _sampled(
+    docs: DataFrame, labels: DataFrame, seed: int, id_column: str, text_column: str, loss: float, text_key: Column
+) -> DataFrame:
+    source = docs.select(
+        F.col(id_column).alias("doc_id"), text_key.alias("text_key"), F.col(text_column).cast("string").alias("text")
+    )
     source = source.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(FOLDS)))
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     wanted = F.pmod(F.xxhash64(F.lit(seed), "good_id"), F.lit(1_000_000))
@@ -260,6 +271,10 @@ def resample(
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the sample holds."""
-    kept = resample(docs, labels, id_column=id_column, text_column=text_column).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """The rows of ``docs`` that the sample holds; of rows of one id each by its own text."""
+    digest = text_digest(F.col(text_column))
+    kept = _sampled(docs, labels, 0, id_column, text_column, LOSS, digest)
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).distinct()
+    marked = docs.withColumn("__digest", digest)
+    same = [marked[id_column].eqNullSafe(kept["__kept_id"]), marked["__digest"] == kept["__kept_key"]]
+    return marked.join(kept, same, "left_semi").select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -6,20 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rows_decided(docs: DataFrame, decided: DataFrame, id_: Column, key: Column) -> DataFrame:
+def text_digest(text: Column) -> Column:
+    """What stands for a whole text beside its id; null and empty texts are equal."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def rows_decided(docs: DataFrame, decided: DataFrame, id_: Column, key: Column, order: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     ``decided`` has one row per id and digest of a text (``__id``, ``__key``) of which
     something is decided: whether it stays (``__kept``) and how many rows have both
-    (``__copies``). Of several such rows one stays. Rows not named there stay as they are.
-    An id alone does not tell rows apart, since it may be null or repeat.
+    (``__copies``). Of several such rows one stays, the first by ``order``. Rows not named
+    there stay as they are. An id alone does not tell rows apart: it may be null or repeat.
     """
     columns = [F.col(f"`{name}`") for name in docs.columns]
-    marked = docs.select(F.struct(*columns).alias("__row"), id_.alias("__id"), key.alias("__key"))
+    order = F.lit(0) if order is None else order
+    marked = docs.select(F.struct(*columns).alias("__row"), id_.alias("__id"), key.alias("__key"), order.alias("__order"))
     same = [marked["__id"].eqNullSafe(decided["__id"]), marked["__key"] == decided["__key"]]
-    joined = marked.join(decided, same, "left").select("__row", marked["__id"], marked["__key"], "__kept", "__copies")
+    joined = marked.join(decided, same, "left").select("__row", marked["__id"], marked["__key"], "__order", "__kept", "__copies")
     joined = joined.filter(F.coalesce("__kept", F.lit(True)))
     once = joined.filter(F.coalesce("__copies", F.lit(1)) == 1).select("__row.*")
     # Tasks keep one of their copies before any are shuffled.
-    repeated = joined.filter(F.col("__copies") > 1).groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
+    repeated = joined.filter(F.col("__copies") > 1).groupBy("__id", "__key").agg(F.min_by("__row", "__order").alias("__row"))
     return once.unionByName(repeated.select("__row.*"))

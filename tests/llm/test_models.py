@@ -70,7 +70,7 @@ def test_shapes_of_words():
     assert shape("Äpfel") == shape("Apple") != shape("APPLE")
     assert shape("12:30") == shape("9:5") != shape("٣:٤")
     assert shape("!!") == shape("!") != shape("?")
-    assert shape("aB" * 6) == shape("aB" * 600) != shape("aB" * 5)
+    assert len({shape("aB" * n) for n in (5, 6, 600)}) == 3
 
 
 def test_chain_on_held_out_texts(spark):
