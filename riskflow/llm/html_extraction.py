@@ -1,14 +1,22 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser is fed the page in pieces. Its events give lines (the text of
-a block between two block tags) with their number of tags, and the region each line lies
-in. The ratio of text to tags of the lines is smoothed with a Gaussian; two clusters of the
-smoothed ratios give the threshold; regions above it are content. Regions that the markup
-itself names as something else (menus, adverts, forms, comments and the like) are never
-candidates, and where the page marks an article or main part, only that is.
+a block between two block tags) with their number of tags, how much of their text is links,
+and the region each line lies in: the innermost division, list, table or section around it.
+The ratio of text outside links to tags is smoothed over the lines with a Gaussian; two
+clusters of the smoothed ratios give the threshold, and regions above it are content. Where
+the page marks an article or main part, all of it is candidate content, however short its
+paragraphs, but for regions that are nothing than several links.
+
+What the markup itself says is something else (navigation, forms, footers, scripts, roles)
+is never a candidate. Names of classes and ids are only hints, since anybody may use them:
+a part with such a name is left out as long as anything else is left; paragraphs and
+headings only where the name has no other meaning. Comments of readers never come back.
 
 Defined cases: a null or empty page has the empty text. Pages are read whole. Unclosed and
-stray tags are tolerated. Repeated rows give repeated results.
+stray tags are tolerated. Scripts, styles and buttons inside a block do not end it. Regions
+of equal ratio are kept or left out together. Repeated rows give repeated results, an empty
+table none. Columns other than those to keep and the page play no part.
 """
 
 from __future__ import annotations
@@ -39,6 +47,15 @@ ASIDE_NAMES = re.compile(
     r"share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|login|signup|search|skip|pagination|"
     r"pager|toolbar)(?=$|[\s_-])"
 )
+# Names that say the same on a paragraph or heading too.
+PLAIN_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|sponsor\w*|cookie\w*|consent|notice\w*|newsletter|breadcrumb\w*|"
+    r"comments?|commentlist|disqus|replies|pagination|pager)(?=$|[\s_-])"
+)
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption td th caption".split())
+REGIONS = frozenset("div section ul ol dl table center details figure header address article main body".split())
+#: Elements whose text is dropped without ending the block that they stand in.
+WITHIN_BLOCKS = frozenset("script style noscript template svg canvas object audio video iframe button select textarea option".split())
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies)(?=$|[\s_-])")
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -55,6 +72,14 @@ class Line:
     tags: int
     region: int
     rooted: bool
+    hinted: bool = False
+    links: int = 0
+    linked: int = 0
+
+    @property
+    def ratio(self) -> float:
+        """Characters outside links per tag, white space aside."""
+        return max(len(self.text) - self.text.count(" ") - self.linked, 0) / max(self.tags, 1)
 
 
 @dataclass
@@ -64,6 +89,7 @@ class _Open:
     aside: bool
     rooted: bool
     comments: bool
+    hinted: bool = False
 
 
 class LineEvents(HTMLParser):
@@ -75,29 +101,31 @@ class LineEvents(HTMLParser):
         self._open: list[_Open] = [_Open("", 0, False, False, False)]
         self._regions = 0
         self._text: list[str] = []
-        self._tags = 0
+        self._tags = self._links = self._linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in INLINE:
+        if self._ends_line(tag):
             self._end_line()
         self._tags += 1
+        self._links += tag == "a"
         if tag in CLOSES_PARAGRAPH and self._open[-1].tag in INLINE | {"p"}:
             self._close_paragraph()
         if tag in VOID:
             return
-        if tag in ROOTS and self._open[-1].aside and not self._open[-1].comments:
+        if tag in ROOTS and (self._open[-1].aside or self._open[-1].hinted) and not self._open[-1].comments:
             self._leave_asides()
         above = self._open[-1]
         named = dict(attrs)
         names = f"{named.get('class') or ''} {named.get('id') or ''}".lower()
         comments = above.comments or bool(COMMENTS.search(names))
-        aside = above.aside or comments or self._is_aside(tag, named, names, above)
+        aside = above.aside or comments or self._is_aside(tag, named, above)
+        hinted = above.hinted or self._is_hinted(tag, names)
         rooted = above.rooted or tag in ROOTS or named.get("role") == "main"
         region = above.region
-        if aside != above.aside or rooted != above.rooted:
+        if tag in REGIONS or (aside, hinted, rooted) != (above.aside, above.hinted, above.rooted):
             self._regions += 1
             region = self._regions
-        self._open.append(_Open(tag, region, aside, rooted, comments))
+        self._open.append(_Open(tag, region, aside, rooted, comments, hinted))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,7 +135,7 @@ class LineEvents(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        if self._ends_line(tag):
             self._end_line()
         self._tags += 1
         for depth in range(len(self._open) - 1, 0, -1):
@@ -116,23 +144,27 @@ class LineEvents(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if not any(above.tag in NO_TEXT for above in self._open[-3:]):
+        if not any(above.tag in NO_TEXT or above.tag in WITHIN_BLOCKS for above in self._open[-3:]):
             self._text.append(data)
+            if any(above.tag == "a" for above in self._open[-4:]):
+                self._linked += sum(map(len, data.split()))
 
     def close(self) -> None:
         super().close()
         self._end_line()
 
+    def _ends_line(self, tag: str) -> bool:
+        within = tag in WITHIN_BLOCKS or any(above.tag in WITHIN_BLOCKS for above in self._open[-3:])
+        return tag not in INLINE and not within
+
     def _end_line(self) -> None:
         text = " ".join("".join(self._text).split())
         at = self._open[-1]
-        if text and not at.aside:
-            self.lines.append(Line(text, self._tags, at.region, at.rooted))
-        elif text:
-            # A line outside the content still counts among the ratios.
-            self.lines.append(Line(text, self._tags, -1, False))
         if text:
-            self._tags = 0
+            # A line outside the content still counts among the ratios.
+            region, rooted = (-1, False) if at.aside else (at.region, at.rooted)
+            self.lines.append(Line(text, self._tags, region, rooted, at.hinted, self._links, self._linked))
+            self._tags = self._links = self._linked = 0
         self._text.clear()
 
     def _close_paragraph(self) -> None:
@@ -144,11 +176,17 @@ class LineEvents(HTMLParser):
                 return
 
     def _leave_asides(self) -> None:
-        while self._open[-1].aside:
+        while self._open[-1].aside or self._open[-1].hinted:
             self._open.pop()
 
     @staticmethod
-    def _is_aside(tag: str, named: dict, names: str, above: _Open) -> bool:
+    def _is_hinted(tag: str, names: str) -> bool:
+        if tag in ("html", "body") or tag in ROOTS:
+            return False
+        return bool((PLAIN_NAMES if tag in TEXT_BLOCKS else ASIDE_NAMES).search(names))
+
+    @staticmethod
+    def _is_aside(tag: str, named: dict, above: _Open) -> bool:
         if tag in ASIDE or tag in NO_TEXT or tag == "title":
             return True
         if tag in ("html", "body") or tag in ROOTS:
@@ -157,9 +195,7 @@ class LineEvents(HTMLParser):
             return True
         if "hidden" in named or named.get("aria-hidden") == "true":
             return True
-        if (named.get("role") or "").lower() in ASIDE_ROLES:
-            return True
-        return bool(ASIDE_NAMES.search(names))
+        return (named.get("role") or "").lower() in ASIDE_ROLES
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -190,24 +226,40 @@ def cluster_threshold(values: list[float], rounds: int = 20) -> float:
 
 def content_lines(lines: list[Line]) -> list[str]:
     """The lines of the regions whose smoothed ratio reaches the clusters' border."""
-    if not lines:
+    candidates = [line for line in lines if line.region >= 0]
+    rooted = any(line.rooted for line in candidates)
+    candidates = [line for line in candidates if line.rooted == rooted]
+    # Names are heeded while something is left without them.
+    if any(not line.hinted for line in candidates):
+        candidates = [line for line in candidates if not line.hinted]
+    if not candidates:
         return []
-    ratios = smoothed([len(line.text) / max(line.tags, 1) for line in lines])
-    threshold = cluster_threshold(ratios)
-    rooted = any(line.rooted for line in lines if line.region >= 0)
+    if rooted:
+        menus = _menus(candidates)
+        return [line.text for line in candidates if line.region not in menus]
+    ratios = dict(zip(map(id, lines), smoothed([line.ratio for line in lines])))
     weight: dict[int, int] = {}
     total: dict[int, float] = {}
-    for line, ratio in zip(lines, ratios):
-        if line.region >= 0 and line.rooted == rooted:
-            weight[line.region] = weight.get(line.region, 0) + len(line.text)
-            total[line.region] = total.get(line.region, 0.0) + ratio * len(line.text)
-    if not weight:
-        return []
+    for line in candidates:
+        weight[line.region] = weight.get(line.region, 0) + len(line.text)
+        total[line.region] = total.get(line.region, 0.0) + ratios[id(line)] * len(line.text)
     means = {region: total[region] / weight[region] for region in weight}
-    # The best candidate is content even if all that lies around it has more text per tag;
-    # regions that the page itself marks as its article are parts of one article.
-    border = 0.0 if rooted else min(threshold, max(means.values()))
-    return [line.text for line in lines if line.region in means and line.rooted == rooted and means[line.region] >= border]
+    # The best candidate is content even if all that lies around it has more text per tag.
+    border = min(cluster_threshold(list(ratios.values())), max(means.values()))
+    menus = _menus(candidates)
+    kept = {region for region, mean in means.items() if mean >= border and region not in menus}
+    return [line.text for line in candidates if line.region in kept]
+
+
+def _menus(lines: list[Line]) -> set[int]:
+    """Regions of two links and more without any text outside links, unless there are no others."""
+    links: dict[int, int] = {}
+    texts: set[int] = set()
+    for line in lines:
+        links[line.region] = links.get(line.region, 0) + line.links
+        if line.ratio > 0:
+            texts.add(line.region)
+    return {region for region, n in links.items() if n >= 2 and region not in texts} if texts else set()
 
 
 def main_text(html: str | None) -> str:

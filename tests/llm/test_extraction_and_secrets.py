@@ -44,13 +44,66 @@ ARTICLE = "A long sentence about a subject that goes on for a while, so that it
         (f"<main><p>{ARTICLE}</p></main><div class='comments'><article><p>{ARTICLE}</p></article></div>", ARTICLE.strip()),
         (f"<nav><ul><li>open<article><p>{ARTICLE}</p></article>", ARTICLE.strip()),
         (f"<article><div class='cookie-notice'>c</div><p>a &lt;b&gt;&#33; &copy;\n\t x</p><script>var t='</p>'</script><p>{ARTICLE}", f"a <b>! © x\n{ARTICLE.strip()}"),
-        (f"<ul class=menu><li><a>x</a><li><a>y</a></ul><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><div><a>q</a><a>r</a></div>", f"{ARTICLE.strip()}\n{ARTICLE.strip()}\nq r".removesuffix("\nq r") + "\nqr"),
+        (f"<ul class=menu><li><a>x</a><li><a>y</a></ul><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><div><a>q</a><a>r</a></div>", f"{ARTICLE.strip()}\n{ARTICLE.strip()}"),
     ],
 )
 def test_page_shapes(page, text):
     assert main_text(page) == text
 
 
+LONG = "Plain words of a paragraph that has something to say and takes its time to say it. " * 2
+P = f"<p>{LONG}</p>"
+TEXT = LONG.strip()
+LINKS = "<a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Menus and adverts without a name of their own.
+        (f"<div>{LINKS}</div><div>{P}{P}</div>", f"{TEXT}\n{TEXT}"),
+        (f"<div>{P}</div><ul><li><a>One</a></li><li><a>Two</a></li></ul>", TEXT),
+        (f"<article>{P}<div>{LINKS}</div>{P}</article>", f"{TEXT}\n{TEXT}"),
+        (f"<article>{P}<ul><li><a>One</a><li><a>Two</a></ul></article>", TEXT),
+        (f"<div>{LINKS} {LINKS}</div><div>{P}</div><div><a>Terms</a><a>Privacy</a></div>", TEXT),
+        (f"<table><tr><td><a>One</a><td><a>Two</a></table><div>{P}</div>", TEXT),
+        (f"<div>{P}{P}</div><div>Sale <b>now</b> <i>on</i> <b>!</b> <a>buy</a></div>", f"{TEXT}\n{TEXT}"),
+        # Links in a text are text.
+        (f"<article><p>See <a>this</a> and <a>that</a>.</p>{P}</article>", f"See this and that.\n{TEXT}"),
+        (f"<article><h2><a>Title</a></h2>{P}</article>", f"Title\n{TEXT}"),
+        (f"<article>{P}<ul><li><a>One</a> is a start</li><li><a>Two</a></li></ul></article>", f"{TEXT}\nOne is a start\nTwo"),
+        ("<article><p><a>only</a> <a>links</a></p></article>", "only links"),
+        # Names are hints: they do not make a page empty, and mean less on a paragraph.
+        ("<article><p class='social'>Text</p></article>", "Text"),
+        (f"<article><div class='social science'>{P}</div></article>", TEXT),
+        (f"<div id='main-menu-wrapper'>{P}</div>", TEXT),
+        (f"<article><p class='menu side'>Soup</p>{P}</article>", f"Soup\n{TEXT}"),
+        (f"<article><p class='ad'>Buy</p>{P}</article>", TEXT),
+        (f"<article><h2 class='search'>Looking for it</h2>{P}</article>", f"Looking for it\n{TEXT}"),
+        (f"<article><div class='related'>{P}</div><p>Short.</p></article>", "Short."),
+        (f"<div class='sidebar'>{P}{P}</div><div><p>Mine.</p></div>", "Mine."),
+        (f"<article><div class=comments>{P}</div></article>", ""),
+        (f"<div class='headline shared'>{P}</div>", TEXT),
+        # What stands inside a block does not end it.
+        ("<p>Hello <script>x()</script>world</p>", "Hello world"),
+        ("<article><p>Hello <button>Buy</button> world</p></article>", "Hello world"),
+        ("<article><p>a<style>p{}</style>b <svg><text>c</text></svg>d</p></article>", "ab d"),
+        ("<article><p>one<br>two</p><p>three<hr>four</p></article>", "one\ntwo\nthree\nfour"),
+        ("<article><p>x <select><option>1<option>2</select> y</p></article>", "x y"),
+        # Tags and roles say what a part is.
+        (f"<div role=navigation>{P}</div><div role=main>{P}<footer>f</footer></div>", TEXT),
+        (f"<header>{P}</header><div>{P}</div><footer>{P}{P}</footer>", TEXT),
+        (f"<article><header><h1>T</h1></header>{P}</article>", f"T\n{TEXT}"),
+        (f"<div hidden>{P}</div><div aria-hidden=true>{P}</div><div>{P}</div>", TEXT),
+        (f"<div class=menu><article>{P}</article></div>", TEXT),
+        (f"<p>{LONG}", TEXT),
+        ("no markup at all", "no markup at all"),
+    ],
+)
+def test_hand_made_pages(page, text):
+    assert main_text(page) == text
+
+
 def test_very_long_page_and_tie_of_ratios():
     body = "".join(f"<p>word{i} and more words in this line</p>" for i in range(20_000))
     assert main_text(f"<article>{body}</article>").count("\n") == 19_999
