@@ -10,8 +10,12 @@ Models are fitted on a bounded sample of labelled texts (``TRAIN_DOCS``), a task
 fold; every document is scored, whole.
 
 Defined cases: a null or empty text has no features and gets the models' base rates.
-Labels that are null do not take part. A category whose sample holds one class only is
-predicted as its rate. Repeated rows get equal results.
+Labels that are null do not take part; of several labels of a document the smallest counts,
+and of several texts the one with the smallest digest is learnt from. A category whose
+sample holds one class only is predicted as its rate. Repeated rows get equal results, equal
+probabilities the same assignment. Texts are read whole, one at a time. Ids may be of any
+type. Without labels nothing is assigned; an empty table gives no rows. Columns other than
+id, text and categories play no part.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows_decided import text_digest
 from .stored import stored
 
 FEATURES = 1 << 17
@@ -172,7 +177,8 @@ def _fold_models(sample: DataFrame, category: str, earlier: Sequence[str]) -> Da
         probability = _sigmoid(_margins(held, chained[~learn], model))
         return pd.DataFrame({"doc_id": rows["doc_id"][~learn], "probability": probability, "model": None})
 
-    return copies.groupBy("model_fold").applyInPandas(train, "doc_id bigint, probability double, model binary")
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    return copies.groupBy("model_fold").applyInPandas(train, f"doc_id {kind}, probability double, model binary")
 
 
 def best_threshold(probability: np.ndarray, truth: np.ndarray) -> float:
@@ -193,7 +199,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -
 
     ``docs`` has doc_id and text, ``labels`` has doc_id and a 0/1 column per category.
     """
-    marked = labels.dropna(subset=["doc_id", *categories]).dropDuplicates(["doc_id"]).select("doc_id", *categories)
+    marked = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.min(c).alias(c) for c in categories])
     total = marked.count()
     if total > TRAIN_DOCS:
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
@@ -208,10 +214,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -
             )
 
     typed = marked.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories])
-    texts = docs.dropna(subset=["doc_id"]).join(typed, "doc_id").select("doc_id", *categories, "text")
-    schema = "doc_id bigint, " + ", ".join(f"{c} int" for c in categories) + ", features array<bigint>"
+    texts = docs.dropna(subset=["doc_id"]).join(typed, "doc_id").groupBy("doc_id", *categories)
+    texts = texts.agg(F.min_by("text", text_digest(F.col("text"))).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} int" for c in categories) + ", features array<bigint>"
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
-    sample = stored(texts.mapInArrow(with_features, schema).dropDuplicates(["doc_id"]).withColumn("fold", fold), "labelled-texts")
+    sample = stored(texts.mapInArrow(with_features, schema).withColumn("fold", fold), "labelled-texts")
     models, thresholds = [], []
     for i, category in enumerate(categories):
         earlier = [f"p_{name}" for name in categories[:i]]

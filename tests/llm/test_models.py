@@ -99,3 +99,21 @@ def test_pipeline_stages_keep_columns(spark, sf_dir):
         if name != "best_fit_packing":
             assert out.columns == docs.columns
         assert {r["doc_id"] for r in out.select("doc_id").collect()} <= ids
+
+
+def test_chain_with_text_ids_conflicts_and_ties(spark):
+    rows = labelled(5, 300)
+    edges = [(rows[0][0], rows[9][1]), (None, rows[1][1]), (9001, None), (9002, ""), (9003, rows[1][1] * 3000)]
+    docs = [(r[0], r[1]) for r in rows] + edges + [rows[2][:2]] * 2
+    marks = [(r[0], 1 - r[2], r[3]) for r in rows] + [(r[0], 1, 1) for r in rows[:40]] + [(None, 1, 1), (5, None, 1)]
+    results = []
+    for kind in ("bigint", "string"):
+        for parts in (2, 5):
+            frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text", "1 as features", "2 as fold")
+            labels = spark.createDataFrame(marks, "doc_id long, low int, toxic int").selectExpr(f"cast(doc_id as {kind}) doc_id", "low", "toxic")
+            found = toxicity(frame.repartition(parts), labels.repartition(parts), ["low", "toxic"]).collect()
+            assert len(found) == len(docs)
+            results.append(sorted((str(r["doc_id"]), round(r["p_low"], 6), round(r["p_toxic"], 6), r["is_low"], r["is_toxic"]) for r in found))
+        assert results[-1] == results[-2]
+    by_id = {r[0]: r for r in results[-1]}
+    assert by_id["9001"][1:] == by_id["9002"][1:]
