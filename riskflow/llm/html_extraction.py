@@ -6,7 +6,7 @@ and the region each line lies in: the innermost division, list, table or section
 The ratio of text outside links to tags is smoothed over the lines with a Gaussian; two
 clusters of the smoothed ratios give the threshold, and regions above it are content. Where
 the page marks an article or main part, all of it is candidate content, however short its
-paragraphs, but for regions that are nothing than several links.
+paragraphs, but for regions that hold several links and nothing else.
 
 What the markup itself says is something else (navigation, forms, footers, scripts, roles)
 is never a candidate. Names of classes and ids are only hints, since anybody may use them:
