@@ -200,6 +200,18 @@ def test_cast_columns_unsigned_and_lenient(spark):
     assert tuple(cast_columns(bad, {"a": "uint32", "b": "int32"}, strict=False).first()) == (None, None)
 
 
+@pytest.mark.parametrize("name", ["uint32", "uint64"])
+def test_negative_fractions_are_not_unsigned(spark, name):
+    df = spark.createDataFrame([(-0.4,), (-0.0,), (0.4,), (7.0,), (-7.0,), (None,)], "a double")
+    cast = [r[0] for r in cast_columns(df, {"a": name}, strict=False).collect()]
+    assert cast == [None, 0, 0, 7, None, None]
+    texts = spark.createDataFrame([("-0.4",), ("-0",), ("5",), ("x",)], "a string")
+    lenient = [r[0] for r in cast_columns(texts, {"a": "uint32"}, strict=False).collect()]
+    assert lenient == [None, 0, 5, None]
+    with pytest.raises(PySparkException, match=f"not a {name}"):
+        cast_columns(df.limit(1), {"a": name}).collect()
+
+
 def test_cast_value_defaults_to_text(spark):
     df = spark.range(1).select(F.lit(3).alias("v"))
     assert values(df, cast_value(F.col("v"), "float64"), cast_value(F.col("v"), None)) == [(3.0, "3")]
