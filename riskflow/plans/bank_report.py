@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag
-from ..operators.joins import join_on_keys
+from ..operators.joins import join_groups, join_on_keys
 from ..sources.tables import read_parquet, write_csv, write_parquet
 from ..sources.versions import publish
 
@@ -35,23 +35,25 @@ def bank_report(
 ) -> DataFrame:
     """Totals per merchant category and high-value flag.
 
-    Transactions are summed per account, merchant and flag before they are joined:
-    an account or merchant with very many transactions is pre-aggregated in every
-    task and reaches the joins as one row per partner, never as all of its
-    transactions.
+    Two passes over the transactions, each with small groups: sums per account, category and
+    flag, which account for balances and distinct accounts, and the merchants seen per flag.
+    So no task holds the pairs of account and merchant, of which there are about as many as
+    transactions, and an account or merchant with very many transactions is pre-aggregated
+    in every task.
     """
-    high = F.coalesce(F.col("amount") > threshold, F.lit(False))
-    pairs = (
-        transactions.withColumn("__high", high)
-        .groupBy("account_id", "merchant_id", "__high")
+    keys = ["account_id", "merchant_id"]
+    flagged = transactions.withColumn("__high", F.coalesce(F.col("amount") > threshold, F.lit(False)))
+    categories = merchants.select("merchant_id", "category")
+    per_account = (
+        join_on_keys(flagged.select(*keys, "__high", "amount", "transaction_id"), categories, ["merchant_id"])
+        .groupBy("account_id", "category", "__high")
         .agg(
             F.sum("amount").alias("__amount"),
             F.count("transaction_id").alias("__transactions"),
             F.count(F.lit(1)).alias("__rows"),
         )
     )
-    joined = join_on_keys(pairs, merchants.select("merchant_id", "category"), ["merchant_id"])
-    joined = join_on_keys(joined, accounts.select("account_id", "balance"), ["account_id"])
+    joined = join_on_keys(per_account, accounts.select("account_id", "balance"), ["account_id"])
     balance, rows = F.col("balance"), F.col("__rows").cast("decimal(18,0)")
     weighted = balance * (rows if _is_decimal(accounts, "balance") else F.col("__rows"))
     report = joined.groupBy("category", "__high").agg(
@@ -62,8 +64,12 @@ def bank_report(
             / F.sum(F.when(balance.isNotNull(), F.col("__rows")))
         ).alias("avg_balance"),
         F.countDistinct("account_id").alias("unique_accounts"),
-        F.countDistinct("merchant_id").alias("unique_merchants"),
     )
+    known = join_on_keys(flagged.select(*keys, "__high"), accounts.select("account_id"), ["account_id"], how="left_semi")
+    seen = join_on_keys(known.select("merchant_id", "__high").distinct(), categories, ["merchant_id"])
+    unique = seen.groupBy("category", "__high").agg(F.countDistinct("merchant_id").alias("unique_merchants"))
+    # Both have the same groups: those of transactions whose account and merchant are known.
+    report = join_groups(report, unique, ["category", "__high"])
     named = report.withColumn("__high", flag(F.col("__high")))
     return named.withColumnRenamed("__high", "high_value_transaction")
 

@@ -68,6 +68,31 @@ def test_bank_report_equals_the_direct_form(spark, bank):
     spark.conf.set("spark.sql.shuffle.partitions", default)
 
 
+def test_bank_report_of_repeated_keys(spark, bank):
+    """Rows of accounts and merchants that repeat a key count as often as in the direct form."""
+    accounts, transactions, merchants = bank
+    accounts = accounts.union(spark.createDataFrame([(0, 7.0, "Active"), (1, None, "Active"), (None, 1.0, "Active")], accounts.schema))
+    merchants = merchants.union(spark.createDataFrame([(0, "food"), (0, None), (2, "fuel"), (None, "fuel")], merchants.schema))
+    tables = (accounts, transactions, merchants)
+    direct = joined_transactions(*tables).groupBy("category", "high_value_transaction").agg(
+        F.sum("amount"), F.count("transaction_id"), F.avg("balance"),
+        F.countDistinct("account_id"), F.countDistinct("merchant_id"),
+    )
+    want = {r[:2]: r[2:] for r in rows(direct)}
+    got = {r[:2]: r[2:] for r in rows(bank_report(*tables))}
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values)
+
+
+def test_bank_report_groups_no_pairs(bank, capsys):
+    """Pairs of account and merchant are about as many as transactions; no task holds them."""
+    bank_report(*bank).explain()
+    plan = capsys.readouterr().out
+    groups = [line for line in plan.splitlines() if "Aggregate(keys=" in line]
+    assert groups and not [line for line in groups if "account_id" in line and "merchant_id" in line]
+
+
 def test_bank_report_files(spark, bank, tmp_path):
     for name, table in zip(("accounts", "transactions", "merchants"), bank):
         table.write.parquet(str(tmp_path / f"{name}.parquet"))
