@@ -67,9 +67,7 @@ def xml_rules(t):
         F.struct(values.alias("Value")).alias("Values"),
     )
     path = t.new_folder("xml")
-    calculations.write.option("rowTag", "Calculation").option(
-        "rootTag", "DynamicThresholdCalculations"
-    ).xml(path)
+    rules_xml.write_calculations(calculations, path)
     rows = rules_xml.read_calculations(t.spark, path)
     return rows.select(
         F.col("DatasetId").alias("dataset_id"),

@@ -39,6 +39,20 @@ RULE_SCHEMA = T.StructType(
 )
 
 
+# The most rules in a file; a file is read by one task.
+RULES_A_FILE = 20_000
+
+
+def write_calculations(rules: DataFrame, path: str) -> None:
+    """Write one ``Calculation`` element per row, in files of at most ``RULES_A_FILE``.
+
+    An XML file is read by one task, so what a task reads is bounded by the rules of a file
+    and not by all of them.
+    """
+    writer = rules.write.option("rowTag", "Calculation").option("rootTag", "DynamicThresholdCalculations")
+    writer.option("maxRecordsPerFile", RULES_A_FILE).xml(path)
+
+
 def read_calculations(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
     """One row per ``Calculation`` element of the XML files at the path, in no set order.
 

@@ -50,6 +50,19 @@ RULE = """<Rule><DynamicThresholdCalculations>
 </DynamicThresholdCalculations></Rule>"""
 
 
+def test_rules_are_written_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rules_xml, "RULES_A_FILE", 10)
+    rules = spark.range(35).coalesce(1).select(
+        F.concat(F.lit("ds"), "id").alias("DatasetId"), F.struct(F.array(F.lit("a <b>")).alias("Key")).alias("Keys")
+    )
+    rules_xml.write_calculations(rules, str(tmp_path / "rules"))
+    files = list((tmp_path / "rules").glob("part-*"))
+    assert sorted(file.read_text().count("<Calculation>") for file in files) == [5, 10, 10, 10]
+    got = [r[0] for r in rules_xml.read_calculations(spark, str(tmp_path / "rules")).select("DatasetId").collect()]
+    assert sorted(got) == sorted(f"ds{i}" for i in range(35))
+    assert len(rules_xml.load_calculations(spark, str(tmp_path / "rules"))) == 35
+
+
 def test_csv_as_other_tools_write_it(spark, tmp_path):
     (tmp_path / "a.csv").write_text('t,id\n"say ""hi"", now",1\n" s ",2\n"",3\n,4\n"two\nlines",5\n')
     got = tables.read_csv(spark, str(tmp_path / "a.csv"), "id int, t string", line_breaks=True)
