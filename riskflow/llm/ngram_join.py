@@ -129,14 +129,14 @@ def _folded(sketch: Column) -> Column:
 
 
 def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text_key, row (a number), n_shingles, print_a, print_b, signatures, n_small, sketch.
+    """doc_id, text_key, row (a number), n_shingles, print_a, print_b, signatures, sketch.
 
     The text comes along for rows without an id.
     """
     kind = docs.schema["text_key"].dataType.simpleString()
 
     def handed_on(part: pa.RecordBatch, row: int, profiles: list[tuple]) -> pa.RecordBatch:
-        sizes, prints, signatures, small, sketches = zip(*profiles)
+        sizes, prints, signatures, sketches = zip(*profiles)
         lengths = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
         ids, texts = part.column("doc_id"), part.column("text")
         columns = [
@@ -146,11 +146,10 @@ def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             pa.array(sizes, pa.int64()),
             *[pa.array([p[i] for p in prints], pa.int64()) for i in range(2)],
             pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(signatures).view(np.int64))),
-            pa.array(small, pa.int64()),
             pa.array(sketches, pa.list_(pa.int64())),
             pa.array([None if i.is_valid else t.as_py() for i, t in zip(ids, texts)], pa.string()),
         ]
-        names = ["doc_id", "text_key", "row", "n_shingles", "print_a", "print_b", "signatures", "n_small", "sketch", "text"]
+        names = ["doc_id", "text_key", "row", "n_shingles", "print_a", "print_b", "signatures", "sketch", "text"]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +158,8 @@ def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             start, held, profiles = 0, 0, []
             for i, text in enumerate(batch.column("text")):
                 elements = shingles_of(text.as_py())
-                signatures, small = signatures_of(elements, frequent)
-                profiles.append((len(elements), _print_of(elements), signatures.copy(), small, _sketch(elements)))
+                signatures, _ = signatures_of(elements, frequent)
+                profiles.append((len(elements), _print_of(elements), signatures.copy(), _sketch(elements)))
                 held += len(elements)
                 if held >= BATCH_ELEMENTS or i + 1 == len(batch):
                     yield handed_on(batch.slice(start, len(profiles)), row, profiles)
@@ -169,7 +168,7 @@ def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(
         profile,
         f"doc_id bigint, text_key {kind}, row bigint, n_shingles bigint, print_a bigint, print_b bigint, "
-        "signatures array<bigint>, n_small bigint, sketch array<bigint>, text string",
+        "signatures array<bigint>, sketch array<bigint>, text string",
     )
 
 
@@ -281,24 +280,23 @@ def _documents(docs: DataFrame, id_column: str, text_column: str, text_key: Colu
         .groupBy(*prints)
         .agg(
             F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("text", ignorenulls=True).alias("text"),
-            F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"),
-            F.first(F.slice("signatures", 1, HEAD)).alias("head"),
+            F.first("n_shingles").alias("size"),
         )
         .select(
             *prints,
             "first_id",
             "row",
             "size",
-            "sketch",
-            "head",
             F.when(F.col("first_id").isNull(), F.coalesce("text", F.lit(""))).alias("text"),
             # An id that names several sets cannot stand for one of them.
             F.when(F.count("*").over(Window.partitionBy(named)) == 1, named).otherwise(F.col("print_a")).alias("key"),
         ),
         "classes",
     )
+    sketches = profiles.select("row", "sketch", F.slice("signatures", 1, HEAD).alias("head"))
+    sketches = stored(sketches.join(classes.select("row", "key", "size"), "row").drop("row"), "sketches")
     multi = _shared_signatures(profiles, classes)
-    labels = _linked(multi, source, classes)
+    labels = _linked(multi, source, classes, sketches)
     keys = classes.select(*prints, "key").join(labels, "key", "left").select(*prints, F.coalesce("label", "key").alias("label"))
     labelled = profiles.select("doc_id", "text_key", "n_shingles", *prints).join(keys, prints, "left").drop(*prints)
     names = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -312,22 +310,27 @@ def _shared_signatures(profiles: DataFrame, classes: DataFrame) -> DataFrame:
     Each class gives the signatures of one of its rows. Which class is the pivot is found by
     an aggregation, so that a signature of very many classes comes together in no task.
     """
-    rows = profiles.select("row", "signatures", "n_small").join(classes.select("row", "key", "size"), "row")
-    each = rows.select(F.posexplode("signatures").alias("place", "signature"), "key", "size", "n_small")
-    is_small = F.col("place") < F.col("n_small")
-    shared = each.groupBy("signature").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.bool_or(is_small).alias("any_small"))
+    rows = profiles.select("row", "signatures").join(classes.select("row", "key", "size"), "row")
+    each = rows.select(F.posexplode("signatures").alias("place", "signature"), "key", "size")
+    # Place and size in one number, as very many rows are shuffled.
+    each = each.select("signature", "key", (F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("size")).alias("at"))
+    place, size = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    n_small = F.floor(size / 7) + 1
+    shared = each.groupBy("signature").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.bool_or(place < n_small).alias("any_small"))
     shared = shared.filter("n > 1 and any_small").select("signature", "pivot")
-    return stored(each.join(shared, "signature"), "shared-signatures")
+    found = each.join(shared, "signature")
+    columns = ["signature", "key", size.alias("size"), place.cast("int").alias("place"), n_small.alias("n_small"), "pivot"]
+    return stored(found.select(*columns), "shared-signatures")
 
 
-def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
     """key and label of all classes that link with another."""
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and sketches do not refute."""
         out = pairs
         for name in ("a", "b"):
-            out = out.join(classes.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "sketch")]), name)
+            out = out.join(sketches.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "sketch")]), name)
         left, right = F.col("a_sketch"), F.col("b_sketch")
         # Sets that can link are at most one step of sketches apart.
         left, right = (
@@ -358,7 +361,7 @@ def _linked(multi: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
             # Every link that is left has its smaller set among the one and its larger among the
             # other. Pairs meet at the first element in common: all the others come after it in
             # both sets, and none of the first elements of the one is among those of the other.
-            tagged = tagged.join(classes.select("key", "head"), "key").withColumn("head", F.slice("head", F.lit(1), F.col("place")))
+            tagged = tagged.join(sketches.select("key", "head"), "key").withColumn("head", F.slice("head", F.lit(1), F.col("place")))
             smaller, larger = tagged.filter("place < n_small").alias("s"), tagged.alias("l")
             near = smaller.join(larger, F.col("s.signature") == F.col("l.signature"))
             near = near.filter("s.label <> l.label and s.size <= l.size")

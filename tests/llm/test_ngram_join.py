@@ -129,6 +129,14 @@ def test_one_row_of_each_component_stays(spark):
     assert [r["text"] for r in kept.filter("doc_id is null").collect()] == [v]
 
 
+def test_places_and_sizes_come_whole(spark):
+    """Sets of many sizes, where the number of signatures depends on the size."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.randrange(10**7)}" for _ in range(rng.randrange(1, 3_000)))) for i in range(40)]
+    docs += [(100 + i, text + " " + " ".join(f"n{i}-{k}" for k in range(text.count(" ") // 9))) for i, (_, text) in enumerate(docs)]
+    assert rows_of(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == plain_components(docs)
+
+
 def test_very_long_text():
     text = "word " * 5 + " ".join(str(i) for i in range(200_000))
     assert len(signatures_of(shingles_of(text), np.zeros(0, np.uint64))[0]) > 50_000
