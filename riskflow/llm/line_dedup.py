@@ -10,7 +10,9 @@ A variant is hashed from chunks: the hash of the text without a character combin
 the chunks before it, of its own chunk and of the chunks after it, shifted by one. All sums
 of one line are linear in its length. Which lines can have a partner is known beforehand:
 one edit leaves the first or the last part of a line as it is, so a line whose two parts
-both occur nowhere else is done. Equal lines are one row before anything else, so that a
+both occur nowhere else is done. The others are cut into eighths: an edit leaves all but one
+of them as they are, so characters go only in an eighth around which two lines are equal, and
+variants are of that eighth, with a hash of the rest. Equal lines are one row before anything else, so that a
 line repeated in a third of all documents is one line here.
 
 Defined cases: lines are compared without white space at their ends. Blank lines always
@@ -29,6 +31,9 @@ from .stored import stored
 
 MIN_CHARS = 16
 CHUNK = 64
+#: Places of an edit that are told apart by what is around them; a power of two.
+GAPS = 8
+WHITE_SPACE = "\t\n\x0b\x0c\r "
 #: No document has so many lines; no id is as large.
 LINES = 1 << 31
 NO_DOCUMENT = str(1 << 63)
@@ -36,9 +41,10 @@ NO_DOCUMENT = str(1 << 63)
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
     """Every line that is not blank: doc_id, line_no, line, key_a, key_b."""
+    # Trimmed within the array, as a filter on a column made here would trim once more.
+    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda raw: F.btrim(raw, F.lit(WHITE_SPACE)))
     return (
-        docs.select("doc_id", *more, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-        .select("doc_id", "line_no", *more, F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("line"))
+        docs.select("doc_id", *more, F.posexplode(trimmed).alias("line_no", "line"))
         .filter("line <> ''")
         # 128 bits that stand for a line.
         .withColumns({"key_a": F.xxhash64("line"), "key_b": F.xxhash64(F.lit("second"), "line")})
@@ -54,31 +60,42 @@ def _place() -> Column:
     return (document * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(32,0)")
 
 
-def _kept_part(size: Column) -> Column:
-    """Size of the first and last part for lines of about ``size`` characters, under half."""
-    return (F.floor(size / 8) * 4).cast("int")
+def _part_keys(line: Column) -> list[Column]:
+    """Keys of which lines within one edit share at least one; null where there is no other size of parts.
 
-
-def _part_keys(line: Column) -> Column:
-    """Keys of which lines within one edit share at least one.
-
-    Sizes of parts change at multiples of eight characters; a line next to such a border
-    also takes the size of the lines across it.
+    The first and the last part, under half of the line each. Their size changes at multiples
+    of eight characters; a line next to such a border also takes the size of the lines across it.
     """
     size = F.length(line)
-    near = F.array_distinct(F.transform(F.array(size - 1, size, size + 1), _kept_part))
+    own, across = (F.shiftleft(F.shiftright(near, 3), 2) for near in (size - 1, size + 1))
 
-    def keys(part: Column) -> Column:
-        return F.array(
+    def keys(part: Column) -> list[Column]:
+        return [
             F.xxhash64(F.lit("first"), part, F.substr(line, F.lit(1), part)),
             F.xxhash64(F.lit("last"), part, F.substr(line, size - part + 1)),
-        )
+        ]
+
+    return keys(own) + [F.when(across != own, key) for key in keys(across)]
 
-    return F.flatten(F.transform(near, keys))
+
+def _gaps(lines: DataFrame) -> DataFrame:
+    """Every line without each of its eighths: line_id, ``gap`` (a hash of the rest), ``start``, ``line`` (the eighth).
+
+    Of two lines within one edit, some gap has the edit in both, and they are equal around it.
+    It begins at a multiple of an eighth of the shorter one, rounded down, and ends at one
+    from the end. Lines next to a border of sizes take both sizes, as for parts.
+    """
+    size, step = F.length("line"), GAPS.bit_length() - 1
+    parts = F.array_distinct(F.array(*[F.shiftright(near, step) for near in (size - 1, size + 1)]))
+    each = lines.select("line_id", "line", F.explode(parts).alias("part"))
+    each = each.select("line_id", "line", "part", F.explode(F.sequence(F.lit(0), F.lit(GAPS - 1))).alias("i"))
+    start, rest = F.col("i") * F.col("part"), (GAPS - 1 - F.col("i")) * F.col("part")
+    around = F.xxhash64("part", "i", F.substr("line", F.lit(1), start), F.substr("line", size - rest + 1))
+    return each.select("line_id", around.alias("gap"), start.alias("start"), F.substr("line", start + 1, size - start - rest).alias("line"))
 
 
 def _deletions(lines: DataFrame) -> DataFrame:
-    """Every line without each of its characters: line_id, ``variant`` (a hash), ``place``."""
+    """Every gap without each of its characters: line_id, ``variant`` (a hash), ``place`` (in the whole line)."""
     cut = _cut(lines)
     size = F.length("line")
     pieces = (
@@ -91,6 +108,8 @@ def _deletions(lines: DataFrame) -> DataFrame:
         )
         .select(
             "line_id",
+            "gap",
+            "start",
             size.alias("size"),
             "i",
             "rest",
@@ -102,8 +121,8 @@ def _deletions(lines: DataFrame) -> DataFrame:
     own = F.when(piece == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64("i", piece))
     return pieces.select(
         "line_id",
-        F.xxhash64(F.lit("text"), F.col("size") - 1, F.col("rest").bitwiseXOR(own)).alias("variant"),
-        (F.col("i") * CHUNK + F.col("at")).alias("place"),
+        F.xxhash64("gap", F.col("size") - 1, F.col("rest").bitwiseXOR(own)).alias("variant"),
+        (F.col("start") + F.col("i") * CHUNK + F.col("at")).alias("place"),
     )
 
 
@@ -130,7 +149,7 @@ def _xor(items: Column) -> Column:
 
 def _candidate_lines(source: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All distinct lines (key_a, key_b, seen) and those that may have a partner (and line, line_id)."""
-    parts = [F.when(F.length("line") >= MIN_CHARS, F.get(_part_keys(F.col("line")), F.lit(i))).alias(f"part_{i}") for i in range(4)]
+    parts = [F.when(F.length("line") >= MIN_CHARS, key).alias(f"part_{i}") for i, key in enumerate(_part_keys(F.col("line")))]
     names = [f"part_{i}" for i in range(4)]
     distinct = stored(
         lines.select(*KEY, _place().alias("place"), *parts)
@@ -146,7 +165,8 @@ def _candidate_lines(source: DataFrame, lines: DataFrame) -> tuple[DataFrame, Da
     document = ((F.col("seen") - line_no) / F.lit(LINES).cast("decimal(11,0)")).cast("decimal(20,0)")
     wanted = able.select(F.when(document < F.lit(NO_DOCUMENT).cast("decimal(20,0)"), document).cast("bigint").alias("doc_id"), line_no.alias("line_no"))
     by_document = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    found = source.alias("d").join(by_document.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.wanted")
+    # Joined in one way at all sizes, so that small tables tell what large ones take.
+    found = source.alias("d").join(by_document.alias("w").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.text", "w.wanted")
     there = _lines(found, "wanted").filter(F.array_contains("wanted", F.col("line_no"))).drop("wanted")
     texts = there.withColumn("seen", _place()).join(able, [*KEY, "seen"], "left_semi").dropDuplicates(KEY)
     # Numbers of sorted rows are in the rows' order.
@@ -159,10 +179,14 @@ def _meetings(lines: DataFrame) -> DataFrame:
 
     Deletions at the same place are replaced characters, each meets the earliest of them. A
     whole line equals deletions of longer lines: they meet it, and it meets the earliest.
+    Both are looked for in the gaps that several lines have the same around.
     """
-    whole = _cut(lines).select(
+    gaps = _gaps(lines)
+    shared = gaps.groupBy("gap").agg(F.count("*").alias("n")).filter("n > 1").select("gap")
+    gaps = stored(gaps.join(shared, "gap", "left_semi"), "shared-gaps")
+    whole = _cut(gaps).select(
         "line_id",
-        F.xxhash64(F.lit("text"), F.length("line"), _xor(F.col("own"))).alias("variant"),
+        F.xxhash64("gap", F.length("line"), _xor(F.col("own"))).alias("variant"),
         F.lit(None).cast("int").alias("place"),
     )
     # One shuffle and one sort serve both windows.
@@ -171,7 +195,7 @@ def _meetings(lines: DataFrame) -> DataFrame:
     placed = Window.partitionBy("variant", "place").orderBy("line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_whole = F.col("place").isNull()
     met = (
-        _deletions(lines)
+        _deletions(gaps)
         .unionByName(whole)
         .withColumns({"whole": F.max(F.when(is_whole, F.col("line_id"))).over(same), "earliest": F.min("line_id").over(same)})
         .withColumn("first", F.first("line_id").over(placed))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskflow.llm.chat_format import conversation_digests, escaped, format_windows, read_loss, read_turns, unescaped
+from riskflow.llm import line_dedup
 from riskflow.llm.line_dedup import MIN_CHARS, dedup_lines, near_duplicate_lines
 from riskflow.llm.queries import QUERIES
 
@@ -128,6 +129,26 @@ def test_line_edges(spark):
     assert dedup_lines(frame.withColumn("text", F.lit(None).cast("string"))).filter("text = ''").count() == 4
 
 
+def test_only_places_of_shared_gaps_are_tried(spark, monkeypatch):
+    rng = random.Random(5)
+    start = "".join(rng.choices("abcdefgh", k=90))
+    own = [start + "".join(rng.choices("abcdefgh", k=70)) for _ in range(20)]
+    near = own[3][:40] + "Z" + own[3][41:]
+    tried = []
+    made = line_dedup._deletions
+    monkeypatch.setattr(line_dedup, "_deletions", lambda lines: tried.append(made(lines)) or tried[-1])
+    docs = spark.createDataFrame(list(enumerate([*own, near])), "doc_id long, text string")
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in near_duplicate_lines(docs).collect()} == {(20, 3)}
+    # Each of all 21 lines without each of its 160 characters would be 3,360. Two lines give the
+    # gaps of both sizes of parts around the edit.
+    assert 0 < tried[0].count() <= 200
+
+
+def test_space_before_an_odd_line_end_is_part_of_a_line(spark):
+    docs = spark.createDataFrame([(1, "tie\u2028"), (2, "tie \u2028"), (3, "\x0b tie\u2028\t")], "doc_id long, text string")
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in near_duplicate_lines(docs).collect()} == {(3, 1)}
+
+
 def test_rows_of_one_id_lose_their_own_lines(spark):
     docs = [(1, "first line\nsecond line"), (1, "third line\nfirst line"), (1, "third line\nfirst line"), (2, None)]
     rows = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
