@@ -16,15 +16,15 @@ sequence length only, so it may be kept whole on the driver and in each task.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import insort
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +36,15 @@ SEPARATOR = np.zeros(1, "<u4").tobytes()
 CACHE_WORDS = 100_000
 CACHE_CHARS = 64
 
+#: Characters of the texts that are split together, and words whose ids are remembered.
+GROUP_CHARS = 1 << 23
+KEPT_WORDS = 300_000
+
 # A run of letters and a run of signs after it are tokenized apart from each other. These
 # letters have one form only, and lower case one by one.
-PLAIN_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+PLAIN_WORD = r"^(?P<letters>[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
+# Second bytes of those letters that a byte-level vocabulary does not write as the character of their number.
+OTHER_BYTES = "\x9f\xa0\xad"
 
 
 class Recent:
@@ -70,49 +76,89 @@ class Recent:
         return young
 
 
+class Remembered:
+    """Ids of words as binary values; those of words given lately are kept, a bounded number."""
+
+    def __init__(self, ids_of: Callable[[pa.Array], pa.Array]) -> None:
+        self._ids_of = ids_of
+        self._words, self._ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words."""
+        at = pc.index_in(words, value_set=self._words)
+        fresh = words.filter(at.is_null())
+        known, ids = self._words, self._ids
+        if len(fresh):
+            known, ids = pa.concat_arrays([known, fresh]), pa.concat_arrays([ids, self._ids_of(fresh)])
+            places = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            places[places < 0] = len(self._words) + np.arange(len(fresh))
+            at = pa.array(places)
+        found = ids.take(at)
+        if len(known) > KEPT_WORDS:
+            known, ids = words[:KEPT_WORDS], found[:KEPT_WORDS]
+        short = pc.less_equal(pc.binary_length(known), CACHE_CHARS)
+        self._words, self._ids = known.filter(short), ids.filter(short)
+        return found
+
+
 class WordIds:
     """Token ids of texts, as little-endian bytes.
 
     The tokenizer never merges across white space, so the ids of a text are those of its
-    words in turn, and frequent words are remembered. The memory is bounded.
+    words in turn, and words given lately are remembered. The memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words, self._letters = Recent(), Recent()
+        # For words that normalizing and splitting leave as they are.
+        self._merges = Tokenizer(self._tokenizer.model)
+        self._merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._written = {byte: written.pre_tokenize_str(chr(ord(byte) + 0x40))[0][0][1] for byte in OTHER_BYTES}
+        self._words, self._letters, self._signs = Remembered(self._of_words), Remembered(self._of_letters), Remembered(self._encoded)
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self._words.add(self._of_words(self._words.missing(set().union(*split))))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def _of_words(self, words: list[str]) -> dict[str, bytes]:
-        plain = {word: (match[1].lower(), match[2]) for word in words if (match := PLAIN_WORD.fullmatch(word))}
-        parts = {part for pair in plain.values() for part in pair}
-        letters = self._letters.missing(parts)
-        fresh = self._of_letters([part for part in letters if part.isalpha()])
-        known = self._letters.add(fresh | self._encoded([part for part in letters if not part.isalpha()]))
-        found = {word: known[core] + known[signs] for word, (core, signs) in plain.items()}
-        return found | self._encoded([word for word in words if word not in plain])
-
-    def _of_letters(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters only, encoded as one text: each ends where a token ends a word."""
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        split = pc.split_pattern(pa.array([text.replace("\n", " ") for text in texts], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        # Binary values lie behind each other, so those of all words are the ids of all texts.
+        ids = self._words.of(words.dictionary).take(words.indices)
+        _, ends, data = ids.buffers()
+        places = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        return [data[start:end].to_pybytes() if start < end else b"" for start, end in zip(places, places[1:])]
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        parts = pc.extract_regex(words, PLAIN_WORD)
+        plain = parts.is_valid()
+        letters = pc.utf8_lower(parts.field("letters").filter(plain)).dictionary_encode()
+        signs = parts.field("signs").filter(plain).dictionary_encode()
+        both = [own.of(part.dictionary).take(part.indices) for own, part in ((self._letters, letters), (self._signs, signs))]
+        found = pa.concat_arrays([pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary())), self._encoded(words.filter(pc.invert(plain)))])
+        # Plain words came before the others.
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        return found.take(pa.array(np.argsort(order)))
+
+    def _of_letters(self, words: pa.Array) -> pa.Array:
+        """Words of small plain letters only, merged as one text: each ends where a token ends a word."""
+        # Every byte as the character of its number, but for some.
+        text = " ".join(words.to_pylist()).encode().decode("latin-1")
+        for byte, character in self._written.items():
+            text = text.replace(byte, character)
+        ids = np.array(self._merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self._ends[np.minimum(ids, len(self._ends) - 1)]) + 1
         if len(ends) != len(words):
             return self._encoded(words)
-        data, places = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return {word: data[start:end] for word, start, end in zip(words, places, places[1:])}
+        places = np.append(0, 4 * ends)
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)])
 
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        encoded = self._tokenizer.encode_batch(words, add_special_tokens=False)
-        return {word: np.array(ids.ids, "<u4").tobytes() for word, ids in zip(words, encoded)}
+    def _encoded(self, words: pa.Array) -> pa.Array:
+        encoded = self._tokenizer.encode_batch(words.to_pylist(), add_special_tokens=False)
+        return pa.array([np.array(ids.ids, "<u4").tobytes() for ids in encoded], pa.large_binary())
 
 
 @lru_cache(maxsize=2)
@@ -120,7 +166,7 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _groups(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
+def _groups(texts: pa.Array, chars: int = GROUP_CHARS) -> Iterator[list[str]]:
     """The texts in turn, in lists of bounded size (or one text)."""
     group, size = [], 0
     for value in texts:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from riskflow.llm import packing
 from riskflow.llm.packing import WordIds, best_fit_plan, pack_documents
 from riskflow.llm.queries import QUERIES, TOKENIZER
 
@@ -73,6 +74,42 @@ def test_ids_of_words(text):
     assert np.frombuffer(WORDS.texts([text])[0], "<u4").tolist() == plain_ids(text)[:-1]
 
 
+def test_all_plain_characters():
+    characters = [chr(number) for number in range(33, 256)]
+    text = " ".join([a + b for a in characters for b in ("", "a", "!", "É", "\xad", "s ")])
+    assert np.frombuffer(WORDS.texts([text, "", text])[2], "<u4").tolist() == plain_ids(text)[:-1]
+
+
+def test_plain_letters_are_merged_only(monkeypatch):
+    """Normalizing and splitting again is most of the time of a new word."""
+
+    class Whole:
+        def __init__(self, tokenizer):
+            self.given, self._tokenizer = [], tokenizer
+
+        def encode(self, text, **options):
+            self.given.append(text)
+            return self._tokenizer.encode(text, **options)
+
+        def encode_batch(self, texts, **options):
+            self.given.extend(texts)
+            return self._tokenizer.encode_batch(texts, **options)
+
+    words = WordIds(TOKENIZER)
+    monkeypatch.setattr(words, "_tokenizer", Whole(words._tokenizer))
+    text = "Größe, of ÀÉÎ thiswordisnew... x2\nof of"
+    assert np.frombuffer(words.texts([text])[0], "<u4").tolist() == plain_ids(text)[:-1]
+    assert sorted(words._tokenizer.given) == ["", ",", "...", "x2"]
+
+
+def test_bounded_memory_of_words(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    words = WordIds(TOKENIZER)
+    for text in ["a b c d e", "e f g a", "y" * 70 + " a é", "", "a b"]:
+        assert np.frombuffer(words.texts([text])[0], "<u4").tolist() == plain_ids(text)[:-1]
+        assert all(len(kept._words) <= 3 and max([len(w) for w in kept._words.to_pylist()], default=0) <= 64 for kept in (words._words, words._letters))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 400), max_size=20))
 def test_plan(histogram):
