@@ -37,8 +37,8 @@ CACHE_WORDS = 100_000
 CACHE_CHARS = 64
 
 #: Characters of the texts that are split together, and words whose ids are remembered.
-GROUP_CHARS = 1 << 23
-KEPT_WORDS = 300_000
+GROUP_CHARS = 1 << 21
+KEPT_WORDS = 150_000
 
 # A run of letters and a run of signs after it are tokenized apart from each other. These
 # letters have one form only, and lower case one by one.

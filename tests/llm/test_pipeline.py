@@ -8,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from riskflow.llm.quality_resampling import resample, without_rejected
-from riskflow.llm.rows_decided import text_digest
+from riskflow.llm.rows_decided import rows_decided, text_digest
 
 from .test_ngram_join import plain_set
 
@@ -120,3 +121,18 @@ def test_rejected_rows_go_by_their_own_text(spark):
 def test_empty_tables(spark, tmp_path):
     land(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_do_not_repeat_are_read_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, None)], "doc_id long, text string")
+    schema = "__id long, __key string, __kept boolean, __copies long"
+
+    def decided(*rows):
+        return rows_decided(docs, spark.createDataFrame(rows, schema), F.col("doc_id"), F.coalesce("text", F.lit("")))
+
+    single = decided((1, "a", False, 1), (3, "", True, 1))
+    assert sorted(map(tuple, single.collect()), key=str) == sorted([(2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, None)], key=str)
+    assert "Union" not in single._jdf.queryExecution().optimizedPlan().toString()
+    repeated = decided((1, "a", True, 1), (2, "b", True, 2), (None, "c", False, 2))
+    assert sorted(map(tuple, repeated.collect()), key=str) == sorted([(1, "a"), (2, "b"), (3, None)], key=str)
+    assert sorted(map(tuple, decided((None, "c", True, 2), (2, "b", False, 2)).collect()), key=str) == sorted([(1, "a"), (None, "c"), (3, None)], key=str)
